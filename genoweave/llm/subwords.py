@@ -373,7 +373,7 @@ def tokenize(documents: DataFrame, model_path: str, text: str = "text", keep: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(SparkFiles.get(name))
-        for batch in pieces(batches, "__text", 24 << 20):
+        for batch in pieces(batches, "__text", 12 << 20):
             ids, offsets = encode(texts_of(batch, "__text"), v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in fields] + [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(decode(ids, offsets, v), pa.string())],
@@ -397,7 +397,7 @@ def token_digests(documents: DataFrame, model_path: str, text: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(SparkFiles.get(name))
-        for batch in pieces(batches, "__text", 24 << 20):
+        for batch in pieces(batches, "__text", 12 << 20):
             ids, offsets = encode(texts_of(batch, "__text"), v)
             data = ids.astype("<u4").tobytes()
             digests = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
