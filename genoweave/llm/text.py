@@ -21,7 +21,7 @@ def is_space(data: np.ndarray) -> np.ndarray:
     return _IS_SPACE[data]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most_bytes`` of ``column``, or one row.
 
     No row is ever cut: a longer text forms a batch of its own.
