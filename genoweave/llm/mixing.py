@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every row has a 60-bit hash. Words are summed by source and hash bucket; the bucket
+Every row has a 48-bit hash. Words are summed by source and hash bucket; the bucket
 in which a source's budget runs out is split into buckets again, and only that one,
 until the threshold is a single hash. Rows below it are taken. What is left of the
 budget goes, under a nested threshold, to later rows small enough for it. Nothing is
@@ -19,14 +19,14 @@ from genoweave.plans.durable import write_table
 WEIGHTS = (1, 2, 3)
 #: A source gives at most this many times its size.
 MOST_COPIES = 3
-HASH_BITS = 60
+HASH_BITS = 48
 LEVEL_BITS = 12
 PASSES = 3
 
 
 def row_hash(doc_id: Column) -> Column:
-    """60 bits of the MD5 of the id as text (null: empty), as a number."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    """48 bits of the MD5 of the id as text (null: empty), as a number."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def _same_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
 def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """Per source the hash at which ``budget`` runs out and the words left then: source, tau, rest.
 
-    ``rows`` (source, __size, __hash); ``budgets`` (source, budget). tau is 2**60
+    ``rows`` (source, __size, __hash); ``budgets`` (source, budget). tau is 2**48
     where all rows fit. Each level sums the rows of the one bucket that is open.
     """
     state = budgets.select("source", F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("rest"), F.lit(True).alias("open"))
@@ -158,7 +158,7 @@ def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> D
 MIX_SQL = f"""
 with s as (select doc_id, source,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h from documents),
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, {HASH_BITS // 4}))::bigint as h from documents),
 t as (select source, sum(size)::bigint as source_size from s group by source),
 w as (select *, 1 + (row_number() over (order by source is null, encode(source)) - 1) % 3 as w, source_size * 3 as cap from t),
 v as (select *, cap / w as stop, sum(source_size) over () as total,
