@@ -125,23 +125,27 @@ def dedup_lines(documents: DataFrame, batches: int = BATCHES, keep: tuple[str, .
         .agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
         .withColumnRenamed("doc_id", "__lost_id")
     )
+    # Many hashes are dealt into buckets here, below the join, so that it happens once a document and not once a line.
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.filter("__lost", lambda d: F.pmod(d["h1"], F.lit(BUCKETS)) == b))
+    lost = lost.withColumn("__dealt", F.when(F.size("__lost") > BUCKETS, buckets))
     kept = documents.select(*keep, F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
     met = kept.join(lost, F.col("__id").eqNullSafe(F.col("__lost_id")), "left")
-    text = F.col("__text")
-    pair = lambda k: F.struct(_first_hash(k).alias("h1"), _second_hash(k).alias("h2"))
-    hit = lambda k, among: (F.char_length(k) >= LEAST_CHARS) & F.array_contains(among, pair(k))
-    bucket = lambda k: F.element_at(F.col("__dealt"), (F.pmod(_first_hash(k), F.lit(BUCKETS)) + 1).cast("int"))
-    many = F.size("__lost") > BUCKETS
-    dealt = F.when(many, F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.filter(F.col("__lost"), lambda d: F.pmod(d["h1"], F.lit(BUCKETS)) == b)))
-    out = met.withColumn("__dealt", dealt).withColumn("__lines", F.split(F.coalesce(text, F.lit("")), "\n", -1))
-    keys = line_keys(text)
-    goes = F.when(F.col("__lost").isNull(), F.lit(None)).when(many, F.transform(keys, lambda k: hit(k, bucket(k)))).otherwise(F.transform(keys, lambda k: hit(k, F.col("__lost"))))
-    out = out.withColumn("__goes", goes)
-    left = F.filter("__lines", lambda x, i: ~F.element_at(F.col("__goes"), i + 1))
-    out = out.withColumn("__left", F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(left))
+    text = F.coalesce(F.col("__text"), F.lit(""))
+
+    def goes(line: Column) -> Column:
+        key = line["key"]
+        pair = F.struct(_first_hash(key).alias("h1"), _second_hash(key).alias("h2"))
+        bucket = F.element_at(F.col("__dealt"), (F.pmod(_first_hash(key), F.lit(BUCKETS)) + 1).cast("int"))
+        among = F.when(F.col("__dealt").isNotNull(), F.array_contains(bucket, pair)).otherwise(F.array_contains(F.col("__lost"), pair))
+        return F.when(F.char_length(key) >= LEAST_CHARS, among).otherwise(F.lit(False))
+
+    lines = F.split(text, "\n", -1)
+    paired = F.transform(lines, lambda x: F.struct(x.alias("line"), F.btrim(_lowered(x), F.lit(SPACES)).alias("key")))
+    left = F.transform(F.filter(paired, lambda x: ~goes(x)), lambda x: x["line"])
+    out = met.withColumn("__lines", F.size(lines)).withColumn("__left", F.when(F.col("__lost").isNotNull(), left))
     return out.select(
         *keep,
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__left")).cast("long").alias("n_dropped"),
-        F.when(F.col("__lost").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join("__left", "\n")).alias("kept_text"),
+        F.col("__lines").cast("long").alias("n_lines"),
+        F.when(F.col("__lost").isNull(), 0).otherwise(F.col("__lines") - F.size("__left")).cast("long").alias("n_dropped"),
+        F.when(F.col("__lost").isNull(), text).otherwise(F.array_join("__left", "\n")).alias("kept_text"),
     )
