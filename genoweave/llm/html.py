@@ -46,7 +46,8 @@ CHROME_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article post entry story content main body text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 
@@ -112,8 +113,10 @@ def read_page(html: str) -> Page:
         token = _TOKEN.match(html, at)
         if token is None:
             break
+        if token.group(0) == "<":  # a quote that never ends: the tag ends at the next '>'
+            token = _LOOSE.match(html, at) or token
         at = token.end()
-        name = token.group(2)
+        name = token.group(2) if token.re is _LOOSE or token.lastindex else None
         if name is None:
             text = token.group(0)
             if not text.startswith(("<!", "<?")):

@@ -72,6 +72,7 @@ ARTICLE = "<article><h1>Title &amp; more</h1><p>First <b>bold</b>&nbsp;text.<br>
         ("no tags at all", "no tags at all"),
         ("<p>un<b>closed <i>x", "unclosed x"),
         ("</div></p><main>a</main>b", "a"),
+        ('<article>1 < 2 <a title="x>y</a> z</article>', "1 < 2 y z"),
         ("<!-- c --><article>&lt;tag&gt; &#233; &copy;<!-- in --> z</article", "<tag> é © z"),
     ],
 )
@@ -81,7 +82,7 @@ def test_main_text(page, text):
 
 def test_wrapper_of_a_host():
     one = html.signature("<nav><a>m</a></nav><article><h1>a</h1><p>x</p><p>y</p></article><div>Imprint</div>")
-    two = html.signature("<nav><a>m</a></nav><article><h1>b</h1><p>z</p></article><div>Imprint</div><div>extra</div>")
+    two = html.signature("<nav><a>m</a></nav><article><h1>b</h1><p>z</p></article><div>Imprint</div><section>extra</section>")
     streams = [(tokens, 5, texts, [False] * len(tokens)) for tokens, _, _, texts in (one, two)]
     wrapper = html.infer(streams)
     shown = [n.token for n in wrapper if not n.optional]
