@@ -93,6 +93,9 @@ def passages(values: pa.Array, model: ToxicModel) -> list[tuple[int, list[tuple[
     ids, known = coded(words)
     own = np.array([model.scores.get(w, model.other) for w in known.to_pylist()] or [model.other])
     scored = own[ids] if len(ids) else np.zeros(0)
+    # a word right after itself says nothing new
+    again = np.flatnonzero(ids[1:] == ids[:-1]) + 1
+    scored[again[~np.isin(again, starts)]] = model.other
     special = np.flatnonzero(scored != model.other)
     cut = np.searchsorted(special, starts)
     return [
