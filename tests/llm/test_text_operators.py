@@ -263,8 +263,8 @@ def test_mixing(docs, empty):
     assert sizes == collections.Counter(len(WORD.findall(t)) for _, t in _all(docs))
     assert all(r.taken <= 3 * r.size and r.taken % max(1, r.size) == 0 for r in got)
     total = sum(r.size for r in got)
-    by = {r.target: r.source_size for r in got}
-    assert abs(sum(by) - total) < 1e-6 * total and all(t <= 3 * s + 1e-6 for t, s in by.items())
+    by = {(r.target, r.source_size) for r in got}
+    assert abs(sum(t for t, _ in by) - total) < 1e-6 * total and all(t <= 3 * s + 1e-6 for t, s in by)
     assert sorted(map(tuple, mixing.mix_sizes(docs.repartition(7)).collect())) == sorted(map(tuple, got))
     assert mixing.mix_sizes(empty).count() == 0
 
