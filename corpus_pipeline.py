@@ -20,9 +20,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shared lines go from all documents but one; n_chars follows the text."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    clean = lines.dedup_lines(docs, keep=tuple(others))
+    held = docs.select("doc_id", "text", F.struct(*others).alias("__row"))
+    clean = lines.dedup_lines(held, keep=("__row",))
     out = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return clean.select(*(out[c].alias(c) if c in out else c for c in docs.columns))
+    return clean.select(*((out[c] if c in out else F.col("__row").getField(c)).alias(c) for c in docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,7 +134,7 @@ def test_against_sql(spark, sf, name):
 
 
 def test_pipeline(spark, sf):
-    docs = queries.table(spark, sf, "documents")
+    docs = queries.table(spark, sf, "documents").selectExpr("*", "doc_id as n_lines", "source as kept", "1 as size", "lang as fp")
     columns, counts = docs.columns, [docs.count()]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stage(spark, docs, sf)
