@@ -6,7 +6,7 @@ import pytest
 from genoweave.queries import ORACLES, QUERIES, SMALL_ORACLES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"reoptimise", "segmentation_waste", "run_stats"}
+SLOW = {"atoms_report", "reoptimise", "segmentation_waste", "run_stats"}
 
 
 @pytest.fixture(scope="module")
