@@ -1,10 +1,12 @@
-"""LM scoring by partial matching: a pretrained byte-context trie with escapes and exclusion.
-
-Spark counts every (context, byte) of the training texts. Contexts frequent enough
-become nodes of a trie over the preceding bytes, nearest first. A node's law gives
-each byte it has seen its count, leaves the number of distinct bytes for the escape
-(method C), and passes the rest to the shorter context with the seen bytes excluded,
-down to a uniform law. Tasks follow the trie for all positions of a batch at once.
+"""LM scoring by partial matching: byte contexts of up to five bytes with escapes and exclusion.
+
+Spark counts every (context, byte) of the training texts; every context that occurs
+is kept. A context's law gives each byte it has seen its count, leaves the number of
+distinct bytes for the escape (method C), and passes the rest to the shorter context
+with the seen bytes excluded, down to a uniform law. Laws are worked out once for each
+distinct (context, byte) of the documents, where contexts with the same last two bytes
+meet; documents ask for theirs in groups, one request for each distinct (context, byte)
+of a group, so what a task holds doesn't grow with the corpus's contexts.
 """
 
 from __future__ import annotations
@@ -16,15 +18,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoweave.llm.text import coded, per_text, pieces, raw, texts_of, words_of
+from genoweave.llm.text import coded, distinct, mixed, per_text, pieces, raw, texts_of, words_of
 from genoweave.plans.durable import write_table
 
 ORDER = 5
-#: Most contexts in the trie, of all lengths together.
-NODES = 3 << 14
+#: Bytes of text whose requests for laws are made together.
+GROUP_BYTES = 16 << 20
+#: Requests that meet their laws in one group, on average.
+REQUESTS = 1 << 20
+#: Rows of the count table whose laws are worked out at once, when no two bytes end more contexts.
+LAWS = 1 << 20
 #: Words of at least one in so many training tokens go to every task; so there are at most so many.
 COMMON_WORDS = 1 << 18
 COMMON_BYTES = 64
@@ -67,8 +74,13 @@ def _run_lengths(ordered: np.ndarray, weights: np.ndarray | None = None) -> tupl
     return ordered[heads], np.add.reduceat(weights, heads) if len(heads) else np.zeros(0, np.int64)
 
 
-def count_corpus(training: DataFrame, order: int = ORDER) -> DataFrame:
-    """Rows (word, gram, n): how often each word, and each context with its byte, occurs. Exactly one of word and gram is set."""
+def count_corpus(documents: DataFrame, order: int = ORDER) -> DataFrame:
+    """Rows (word, gram, n): how often each word, and each context with its byte, occurs. Exactly one of word and gram is set.
+
+    Rows with ``held_out`` set, where there is such a column, count nothing: their
+    words are left out and their grams come with what the other rows count, maybe 0.
+    """
+    held_out = F.col("held_out") if "held_out" in documents.columns else F.lit(False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(words: pa.Array | None, codes: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
@@ -81,9 +93,12 @@ def count_corpus(training: DataFrame, order: int = ORDER) -> DataFrame:
         held, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in pieces(batches, "text"):
             values = texts_of(batch, "text")
-            ids, known = coded(words_of(pc.ascii_lower(values))[0])
+            trains = ~np.asarray(batch.column("held_out"))
+            ids, known = coded(words_of(pc.ascii_lower(values.filter(pa.array(trains))))[0])
             yield emit(known, None, np.bincount(ids, minlength=len(known)))
-            new, new_n = _run_lengths(np.sort(grams(values, order)))
+            marked = np.repeat(trains, np.diff(raw(values)[1]) + 1)
+            new, new_n = _run_lengths(np.sort((grams(values, order) << 1) | marked))
+            new, new_n = _run_lengths(new >> 1, new_n * (new & 1))
             both, n = np.concatenate([held, new]), np.concatenate([held_n, new_n])
             at = np.argsort(both, kind="stable")
             held, held_n = _run_lengths(both[at], n[at])
@@ -93,7 +108,7 @@ def count_corpus(training: DataFrame, order: int = ORDER) -> DataFrame:
         if len(held):
             yield emit(None, held, held_n)
 
-    return training.select("text").mapInArrow(run, "word string, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    return documents.select("text", held_out.alias("held_out")).mapInArrow(run, "word string, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -159,38 +174,108 @@ def build_trie(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], order:
     return Trie(order, parent, np.array(last, np.int64), law)
 
 
-def train(counted: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """The trie over a table from ``count_corpus``.
+def train(counted: DataFrame, order: int = ORDER) -> Trie:
+    """The trie of all contexts in a table from ``count_corpus``, for corpora that one process can hold.
 
-    A context's level is the whole part of log2(positions / its occurrences). The
-    trie takes every context, of all lengths, up to the last level at which they
-    number at most ``nodes``; so the driver sees at most ``nodes`` of them, and a
-    context never comes without its suffixes, which are as frequent or more.
+    Tests hold ``laws`` against it; ``score_documents`` doesn't use it.
     """
-    grams_only = counted.where("gram is not null")
-    total = grams_only.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
-    rows = grams_only.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("symbol"), "n")
-    by_length, histogram = [], []
-    for k in range(order, -1, -1):
-        if k < order:
-            rows = rows.groupBy(F.col("context").bitwiseAND((1 << 8 * k) - 1).alias("context"), "symbol").agg(F.sum("n").alias("n"))
-            rows = write_table(rows, f"contexts-{k}")
-        level = F.floor(F.log2(F.lit(float(max(total, 1))) / F.sum("n"))).cast("int")
-        contexts = rows.groupBy("context").agg(level.alias("level"))
-        by_length.insert(0, (rows, contexts))
-        histogram += contexts.groupBy("level").count().collect()
-    last, taken = -1, 0
-    for level in sorted({r.level for r in histogram}):
-        taken += sum(r["count"] for r in histogram if r.level == level)
-        if taken > nodes:
+    found = counted.where("gram is not null and n > 0").select("gram", "n").toPandas()
+    gram, n = found.gram.to_numpy(np.int64), found.n.to_numpy(np.int64)
+    tables = [_summed(gram, n, k) for k in range(order + 1)]
+    return build_trie([(g >> 8, g & 255, c.astype(np.float64)) for g, c in tables], order)
+
+
+def _summed(gram: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by context of length ``k`` and byte."""
+    short = gram & ((1 << 8 * (k + 1)) - 1)
+    at = np.argsort(short, kind="stable")
+    return _run_lengths(short[at], n[at])
+
+
+def _found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value is in a sorted table, and whether it is there."""
+    at = np.minimum(np.searchsorted(table, values), max(0, len(table) - 1))
+    return at, table[at] == values if len(table) else np.zeros(len(values), bool)
+
+
+def laws_of(gram: np.ndarray, n: np.ndarray, short: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """log10 of the probability of each gram's byte after its context.
+
+    ``gram`` and ``n`` hold all rows of the count table whose contexts end in the same
+    two bytes as any of them; ``short`` the counts of the whole corpus after one byte.
+    Bytes seen after a context were seen after every shorter one; so all that a longer
+    context takes from a shorter one's law is what its own bytes count there. For each
+    context, ``shared`` is what its parent's law divides by without these bytes, and
+    ``escapes`` sums the logarithms of the escapes from its parent on downwards.
+    """
+    tables = [_summed(*short, k) for k in (0, 1)] + [_summed(gram[n > 0], n[n > 0], k) for k in range(2, order + 1)]
+    none = -np.log10(256 - len(tables[0][0]))
+    value, below = np.full(len(gram), none), np.full(len(gram), none)
+    seen_shorter = log_shorter = None
+    for k in range(order + 1):
+        rows, counts = tables[k]
+        if not len(rows):
             break
-        last = level
-    entries = []
-    for rows, contexts in by_length:
-        chosen = F.broadcast(contexts.where(F.col("level") <= last).select("context"))
-        found = rows.join(chosen, "context").select("context", "symbol", "n").toPandas()
-        entries.append((found.context.to_numpy(np.int64), found.symbol.to_numpy(np.int64), found.n.to_numpy(np.float64)))
-    return build_trie(entries, order)
+        heads = np.flatnonzero(np.concatenate([[True], rows[1:] >> 8 != rows[:-1] >> 8]))
+        contexts, total, kinds = rows[heads] >> 8, np.add.reduceat(counts, heads), np.diff(np.concatenate([heads, [len(rows)]]))
+        if k == 0:
+            shared, escapes = np.ones(1), np.zeros(1)
+        else:
+            parent = np.searchsorted(contexts_shorter, contexts & ((1 << 8 * (k - 1)) - 1))
+            taken = np.add.reduceat(tables[k - 1][1][np.searchsorted(tables[k - 1][0], rows & ((1 << 8 * k) - 1))], heads)
+            left = kinds_shorter[parent] - kinds
+            shared = np.where(left > 0, total_shorter[parent] - taken + left, 1)
+            escapes = escapes_shorter[parent] + np.log10(np.where(left > 0, left, 1) / shared)
+        at, have = _found(contexts, (gram >> 8) & ((1 << 8 * k) - 1))
+        place, seen = _found(rows, gram & ((1 << 8 * (k + 1)) - 1))
+        log_count = np.log10(counts[place])
+        if k:
+            first = have & ~seen & seen_shorter
+            below = np.where(first, log_shorter - np.log10(shared[at]) - escapes[at], below)
+        whole = np.log10(total[at] + kinds[at])
+        value = np.where(seen, log_count - whole, np.where(have, np.log10(kinds[at]) - whole + escapes[at] + below, value))
+        contexts_shorter, total_shorter, kinds_shorter, escapes_shorter = contexts, total, kinds, escapes
+        seen_shorter, log_shorter = seen, log_count
+    return value
+
+
+def _part(gram: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(gram) % np.uint64(parts)).astype(np.int32)
+
+
+def laws(counted: DataFrame, order: int = ORDER, parts: int = 1) -> DataFrame:
+    """Rows (gram, law, part): log10 of the byte's probability, for each gram of a table from ``count_corpus``.
+
+    What is sent to every task is the counts after one byte, 65,536 at most.
+    """
+    rows = counted.where("gram is not null").select("gram", "n")
+    short = rows.where("n > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
+    shared = rows.sparkSession.sparkContext.broadcast((short.gram.to_numpy(np.int64), short.n.to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            law = laws_of(gram, n, shared.value, order)
+            return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(law.astype(np.float32)), pa.array(_part(gram, parts))], names=["gram", "law", "part"])
+
+        grams_held, counts_held, size = [], [], 0
+        for batch in batches:
+            grams_held.append(np.asarray(batch.column("gram")))
+            counts_held.append(np.asarray(batch.column("n")))
+            size += batch.num_rows
+            if size >= LAWS:
+                gram, n = np.concatenate(grams_held), np.concatenate(counts_held)
+                end = (gram >> 8) & 0xFFFF
+                cut = int(np.searchsorted(end, end[-1]))
+                if cut:
+                    yield work(gram[:cut], n[:cut])
+                grams_held, counts_held, size = [gram[cut:]], [n[cut:]], 0 if cut == 0 else len(gram) - cut
+        if grams_held:
+            gram, n = np.concatenate(grams_held), np.concatenate(counts_held)
+            if len(gram):
+                yield work(gram, n)
+
+    end = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
+    return rows.repartition(end).sortWithinPartitions(end).mapInArrow(run, "gram long, law float, part int")
 
 
 def log10_probabilities(values: pa.Array, trie: Trie) -> np.ndarray:
@@ -211,6 +296,22 @@ def log10_probabilities(values: pa.Array, trie: Trie) -> np.ndarray:
     return per_text(out, np.concatenate([[0], np.cumsum(sizes)]))
 
 
+def _steps(ordered: np.ndarray) -> bytes:
+    """Sorted numbers as differences, which compress."""
+    return np.diff(ordered, prepend=0).astype(np.int64).tobytes()
+
+
+def _from_steps(steps: pa.Scalar) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps.as_buffer(), np.int64))
+
+
+def _dealt(gram: np.ndarray, parts: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The order of sorted grams by part, and the grams of each part in order."""
+    part = _part(gram, parts)
+    at = np.argsort(part, kind="stable")
+    return at, np.split(gram[at], np.searchsorted(part[at], np.arange(1, parts)))
+
+
 def is_held_out(column: str = "doc_id"):
     """Rows kept from training: the CRC-32 of the id as text leaves 2 by 7. A null id trains."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -221,27 +322,39 @@ def score_documents(documents: DataFrame) -> DataFrame:
 
     Words that make up at least one in ``COMMON_WORDS`` training tokens are counted
     against a table in every task; the others leave the task as one row per
-    distinct word and document, and meet their counts in a join. Null texts count
-    as empty (one end token). Every row is scored, repeated ids too; without
-    training rows every count is 0 and the trie is one uniform node.
+    distinct word and document, and meet their counts in a join. Grams leave it as
+    one sorted list per group of documents, whose parts meet their laws; the laws
+    then meet the group's texts. Null texts count as empty (one end token). Every
+    row is scored, repeated ids too; without training rows every count is 0 and
+    the law uniform.
     """
     spark = documents.sparkSession
     marked = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), is_held_out().alias("held_out"))
-    counted = write_table(count_corpus(marked.where("not held_out")), "corpus-counts")
+    counted = write_table(count_corpus(marked), "corpus-counts")
     ends = marked.where("not held_out").select("doc_id").count()
     words = counted.where("word is not null")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = totals.n + ends, totals.v + (1 if ends else 0)
     below = tokens + kinds + 1
     common = words.where((F.col("n") * COMMON_WORDS >= tokens) & (F.octet_length("word") <= COMMON_BYTES)).select("word", "n").toPandas()
-    shared = spark.sparkContext.broadcast((train(counted), common.word.tolist(), common.n.to_numpy(np.int64)))
+    shared = spark.sparkContext.broadcast((common.word.tolist(), common.n.to_numpy(np.int64)))
+    kind = dict(documents.dtypes)["doc_id"]
+    fields = f"group long, doc_id {kind}, held_out boolean, n_tokens long, n_listed long, base_listed double, unlisted array<struct<word:string,k:long>>, text string, kinds long, grams binary"
+    names = ["group", "doc_id", "held_out", "n_tokens", "n_listed", "base_listed", "unlisted", "text", "kinds", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, listed, counts = shared.value
+        listed, counts = shared.value
         listed = pa.array(listed, pa.string())
         value = np.log10(np.concatenate([counts, [0]]) + 1.0) - np.log10(below)
+        group, size, wanted, nulls = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.int64), None
         for batch in pieces(batches, "text"):
             texts = texts_of(batch, "text")
+            if size and size + len(raw(texts)[0]) > GROUP_BYTES:
+                yield requests(group, wanted, nulls)
+                group, size, wanted = group + 1, 0, np.zeros(0, np.int64)
+            size += len(raw(texts)[0]) + len(texts)
+            wanted = distinct(np.concatenate([wanted, distinct(grams(texts))]))
+            nulls = batch.column("doc_id").type
             flat, starts = words_of(pc.ascii_lower(texts))
             ids, known = coded(flat)
             place = np.asarray(pc.fill_null(pc.index_in(known, value_set=listed), len(listed))).astype(np.int64) if len(known) else np.zeros(0, np.int64)
@@ -253,20 +366,69 @@ def score_documents(documents: DataFrame) -> DataFrame:
             owner = pair // max(1, len(known))
             offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
             unlisted = pa.StructArray.from_arrays([known.take(pa.array(pair % max(1, len(known)))), pa.array(n.astype(np.int64))], names=["word", "k"])
+            n = len(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(starts) + 1), pa.array(per_text(~rare, starts)), pa.array(base), pa.array(log10_probabilities(texts, trie)), pa.ListArray.from_arrays(pa.array(offsets), unlisted)],
-                names=["doc_id", "held_out", "n_tokens", "n_listed", "base_listed", "score", "unlisted"],
+                [pa.array(np.full(n, group)), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(starts) + 1), pa.array(per_text(~rare, starts)), pa.array(base), pa.ListArray.from_arrays(pa.array(offsets), unlisted), texts, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
+                names=names,
             )
-
-    kind = dict(documents.dtypes)["doc_id"]
-    scored = marked.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_listed long, base_listed double, score double, unlisted array<struct<word:string,k:long>>")
-    scored = write_table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        if size:
+            yield requests(group, wanted, nulls)
+
+    def requests(group: int, wanted: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        listed = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
+        empty = [pa.nulls(1, t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), listed, pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array([group]), *empty, pa.array([len(wanted)]), pa.array([_steps(wanted)])], names=names)
+
+    placed = write_table(marked.mapInArrow(run, fields).withColumn("row", F.monotonically_increasing_id()), "scored")
+    asked = placed.where("grams is not null").select("group", "grams")
+    parts = -(-(placed.agg(F.sum("kinds").alias("n")).first().n or 1) // REQUESTS)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, steps in zip(batch.column("group").to_pylist(), batch.column("grams"), strict=True):
+                for part, gram in enumerate(_dealt(_from_steps(steps), parts)[1]):
+                    if len(gram):
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([group]), pa.array([_steps(gram)])], names=["part", "group", "grams"])
+
+    def answer(wanted: pa.Table, known: pa.Table) -> pa.Table:
+        gram, law = np.asarray(known.column("gram")), np.asarray(known.column("law"))
+        at = np.argsort(gram)
+        gram, law = gram[at], law[at]
+        out = []
+        for steps in wanted.column("grams"):
+            place, there = _found(gram, _from_steps(steps))
+            if not there.all():
+                raise ValueError("a gram of the documents is missing from their count table")
+            out.append(law[place].tobytes())
+        return pa.table({"group": wanted.column("group"), "part": wanted.column("part"), "laws": pa.array(out, pa.binary())})
+
+    def total(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        is_text = pc.is_null(rows.column("grams"))
+        gram = _from_steps(rows.filter(pc.invert(is_text)).column("grams")[0])
+        law = np.empty(len(gram), np.float32)
+        law[_dealt(gram, parts)[0]] = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in answers.sort_by("part").column("laws")])
+        ids, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for batch in pieces(rows.filter(is_text).select(["row", "text"]).to_batches(), "text"):
+            texts = texts_of(batch, "text")
+            codes = grams(texts)
+            at = np.argsort(codes)
+            heads, n = _run_lengths(codes[at])
+            out = np.empty(len(codes))
+            out[at] = np.repeat(law[np.searchsorted(gram, heads)], n)
+            ids.append(np.asarray(batch.column("row")))
+            sums.append(per_text(out, np.concatenate([[0], np.cumsum(np.diff(raw(texts)[1]) + 1)])))
+        return pa.table({"row": np.concatenate(ids), "score": np.concatenate(sums)})
+
+    dealt = asked.mapInArrow(deal, "part int, group long, grams binary")
+    answers = dealt.groupBy("part").cogroup(laws(counted, ORDER, parts).groupBy("part")).applyInArrow(answer, "group long, part int, laws binary")
+    scores = placed.select("group", "row", "text", "grams").groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(total, "row long, score double")
+    scored = placed.where("grams is null").drop("group", "text", "kinds", "grams")
     rare = scored.select("row", F.explode("unlisted").alias("u")).select("row", "u.word", "u.k")
     met = rare.join(words.select("word", "n"), "word", "left")
     logs = F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.log10(F.lit(float(below)))
     rest = met.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_rare"), F.sum(F.col("k") * logs).alias("base_rare"))
     end = float(np.log10(ends + 1.0) - np.log10(below))
-    return scored.drop("unlisted").join(rest, "row", "left").select(
+    return scored.drop("unlisted").join(scores, "row").join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

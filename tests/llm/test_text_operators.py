@@ -344,3 +344,23 @@ def test_lm_scores(docs, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(train[w] > 0 for w in tokens), total)
         assert abs(base - r.base_score) < 1e-6 * max(1, -base) and r.score < 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
     assert ppm.score_documents(empty).count() == 0
+
+
+def test_no_context_is_lost(spark, monkeypatch):
+    """More contexts than the trie once held; every document's score by the book, held-out ones too."""
+    monkeypatch.setattr(ppm, "REQUESTS", 5000, raising=False)
+    rng = np.random.default_rng(9)
+    rows = [(k, "".join(chr(97 + c) for c in rng.integers(0, 26, 400))) for k in range(60)]
+    train = [t for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    counts = collections.defaultdict(collections.Counter)
+    for t in train:
+        data = bytes([0xFE] * 5) + t.encode() + b"\xff"
+        for p in range(5, len(data)):
+            for k in range(6):
+                counts[k, data[p - k : p]][data[p]] += 1
+    assert len(counts) > 3 << 14
+    out = {r.doc_id: r.score for r in ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for k, t in rows:
+        data = bytes([0xFE] * 5) + t.encode() + b"\xff"
+        want = sum(math.log10(_law(counts, data[p - 5 : p], data[p], 5)) for p in range(5, len(data)))
+        assert abs(out[k] - want) < 1e-3, (k, out[k], want)
