@@ -309,8 +309,9 @@ def content_zones(wrapper: list[Node], least_pages: int = 3) -> tuple[set[str],
     """The zones of a host that hold articles, and hashes of the template's own texts.
 
     A host with an article or main element gives those; any other gives its plain
-    slots. Outside the article, text that ``least_pages`` pages or more share word
-    for word belongs to the template.
+    slots. Outside the article, text that ``least_pages`` pages of different
+    content or more share word for word belongs to the template; copies of a page
+    are one content.
     """
     slots = [n for n in wrapper if n.token == "#"]
     zones = {"main"} if any(n.zone == "main" for n in slots) else {"plain"}
@@ -335,19 +336,24 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in pieces(batches, "html"):
             seen: dict[tuple[str, str], list] = {}
             for host, text in zip(batch.column("host").to_pylist(), texts_of(batch, "html").to_pylist(), strict=True):
-                tokens, _, _, texts = signature(text)
+                tokens, blocks, _, texts = signature(text)
                 key = (host, "\n".join(tokens))
-                low, high, count = seen.setdefault(key, [texts, texts, 0])
-                seen[key] = [[min(p) for p in zip(low, texts, strict=True)], [max(p) for p in zip(high, texts, strict=True)], count + 1]
+                low, high, contents = seen.setdefault(key, [texts, texts, set()])
+                contents.add(xxhash.xxh64_intdigest("\n".join(b.text for b in blocks).encode()) >> 1)
+                seen[key] = [[min(p) for p in zip(low, texts, strict=True)], [max(p) for p in zip(high, texts, strict=True)], contents]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string()), pa.array([v[0] for v in seen.values()], pa.list_(pa.int64())), pa.array([v[1] for v in seen.values()], pa.list_(pa.int64())), pa.array([v[2] for v in seen.values()], pa.int64())],
-                names=["host", "stream", "low", "high", "pages"],
+                [pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string()), pa.array([v[0] for v in seen.values()], pa.list_(pa.int64())), pa.array([v[1] for v in seen.values()], pa.list_(pa.int64())), pa.array([sorted(v[2]) for v in seen.values()], pa.list_(pa.int64()))],
+                names=["host", "stream", "low", "high", "contents"],
             )
 
-    streams = pages.select(_host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, stream string, low array<long>, high array<long>, pages long")
-    slots = streams.select("host", "stream", "pages", F.posexplode(F.arrays_zip("low", "high")).alias("k", "x"))
-    slots = slots.groupBy("host", "stream", "k").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"), F.sum("pages").alias("pages"))
-    distinct = slots.groupBy("host", "stream").agg(F.sort_array(F.collect_list(F.struct("k", "low", "high"))).alias("slots"), F.max("pages").alias("pages"))
+    streams = pages.select(_host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, stream string, low array<long>, high array<long>, contents array<long>")
+    streams = write_table(streams.withColumn("shape", F.xxhash64("stream")), "streams")
+    # equal texts in several shapes are still one content: it counts for one of them
+    pages_of = streams.select("host", "shape", F.explode("contents").alias("content")).groupBy("host", "content").agg(F.min("shape").alias("shape")).groupBy("host", "shape").agg(F.count("*").alias("pages"))
+    slots = streams.select("host", "stream", "shape", F.posexplode(F.arrays_zip("low", "high")).alias("k", "x"))
+    slots = slots.groupBy("host", "stream", "shape", "k").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    distinct = slots.groupBy("host", "stream", "shape").agg(F.sort_array(F.collect_list(F.struct("k", "low", "high"))).alias("slots"))
+    distinct = distinct.join(pages_of, ["host", "shape"], "left").select("host", "stream", "slots", F.coalesce("pages", F.lit(0)).alias("pages"))
 
     def one_host(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values(["pages", "stream"], ascending=[False, True])

@@ -99,6 +99,18 @@ def test_plain_hosts_lose_their_template(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_are_not_the_template(spark):
+    page = "<body><div>Welcome</div><div><h2>{0} head</h2><p>{0} text</p></div></body>"
+    copies = [(k, f"http://copies.example/{k}", page.format("one")) for k in range(4)]
+    single = [(10 + k, f"http://single.example/{k}", "<body><p>only paragraph</p></body>") for k in range(3)]
+    mixed = [(20 + k, f"http://mixed.example/{k}", page.format(f"m{k}")) for k in range(4)] + [(30 + k, f"http://mixed.example/c{k}", "<body><div>Welcome</div><section><p>copied</p><pre>twice</pre></section></body>") for k in range(3)]
+    shapes = [(40 + k, f"http://shapes.example/{k}", f"<body><div class={c}><p>same text</p></div></body>") for k, c in enumerate("xyz")]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(copies + single + mixed + shapes, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == "Welcome one head one text" for k in range(4)) and all(out[10 + k] == "only paragraph" for k in range(3))
+    assert all(out[20 + k] == f"m{k} head m{k} text" for k in range(4)) and all(out[30 + k] == "copied twice" for k in range(3))
+    assert all(out[40 + k] == "same text" for k in range(3))
+
+
 def test_folding_is_balanced():
     folded, place = html.fold(["<ul>", "<li>", "#", "</li>", "<li>", "#", "</li>", "</ul>"])
     assert folded == ["<ul>", "<li>+", "#+", "</li>+", "</ul>"] and place == [0, 1, 2, 3, 1, 2, 3, 4]
