@@ -11,9 +11,10 @@ text is the template's own, and so which slots hold the article.
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,9 @@ CHROME_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article post entry story content main body text".split())
 
+#: Wrappers of a host that one task aligns in one round, on average.
+TOGETHER = 16
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -246,9 +250,12 @@ def align(wrapper: list[Node], stream: list[Node]) -> list[Node]:
         tail += 1
     x, y = wrapper[head : a - tail], stream[head : b - tail]
     best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if _same(x[i], y[j]) else max(best[i + 1, j], best[i, j + 1])
+    codes: dict[tuple[str, str], int] = {}
+    rows, columns = ([codes.setdefault((p.token, p.zone), len(codes)) for p in side] for side in (x, y))
+    columns = np.array(columns, np.int64)
+    for i in range(len(x) - 1, -1, -1):  # a row at a time, from the right
+        reached = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (columns == rows[i]))
+        best[i, :-1] = np.maximum.accumulate(reached[::-1])[::-1]
     out = [_join(p, q) for p, q in zip(wrapper[:head], stream[:head], strict=True)]
     i = j = 0
     while i < len(x) or j < len(y):
@@ -293,16 +300,26 @@ def signature(html: str) -> tuple[list[str], list[Block], list[int], list[int]]:
     return [t + "|" + z if z else t for t, z in zip(folded, zones, strict=True)], page.blocks, where, [0 if m else t for m, t in zip(many, texts, strict=True)]
 
 
+def nodes_of(tokens: list[str], pages: int, texts: list[int], varies: list[bool]) -> list[Node]:
+    """The wrapper of one folded stream."""
+    nodes = []
+    for t, value, other in zip(tokens, texts, varies, strict=True):
+        token, _, zone = t.partition("|")
+        nodes.append(Node(token.removesuffix("+"), repeats=token.endswith("+"), pages=pages, constant=value, zone=zone, varies=other or value == 0))
+    return nodes
+
+
 def infer(streams: list[tuple[list[str], int, list[int], list[bool]]]) -> list[Node]:
     """A host's wrapper from its distinct folded streams (tokens, pages, text hashes, whether texts vary), the most frequent first."""
-    wrapper: list[Node] = []
-    for tokens, pages, texts, varies in streams:
-        nodes = []
-        for t, value, other in zip(tokens, texts, varies, strict=True):
-            token, _, zone = t.partition("|")
-            nodes.append(Node(token.removesuffix("+"), repeats=token.endswith("+"), pages=pages, constant=value, zone=zone, varies=other or value == 0))
-        wrapper = align(wrapper, nodes) if wrapper else nodes
-    return wrapper
+    return merge([nodes_of(*s) for s in streams])
+
+
+def merge(wrappers: list[list[Node]]) -> list[Node]:
+    """One wrapper that covers all, aligned one after another."""
+    out: list[Node] = []
+    for nodes in wrappers:
+        out = align(out, nodes) if out else nodes
+    return out
 
 
 def content_zones(wrapper: list[Node], least_pages: int = 3) -> tuple[set[str], set[int]]:
@@ -329,7 +346,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     Pages become folded streams where they lie; a host's equal streams are summed
     before anything meets in one task, with the least and greatest hash of each
     slot, so a host of very many pages brings one row per distinct stream. Streams
-    of a host align in groups first, and the groups' own streams after.
+    of a host align in groups of about ``TOGETHER`` first, and the groups' wrappers
+    in groups again, round by round, until each host has one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,20 +371,59 @@ def wrappers(pages: DataFrame) -> DataFrame:
     slots = streams.select("host", "stream", "shape", F.posexplode(F.arrays_zip("low", "high")).alias("k", "x"))
     slots = slots.groupBy("host", "stream", "shape", "k").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
     distinct = slots.groupBy("host", "stream", "shape").agg(F.sort_array(F.collect_list(F.struct("k", "low", "high"))).alias("slots"))
-    distinct = distinct.join(pages_of, ["host", "shape"], "left").select("host", "stream", "slots", F.coalesce("pages", F.lit(0)).alias("pages"))
-
-    def one_host(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values(["pages", "stream"], ascending=[False, True])
-        listed = [
-            (stream.split("\n"), int(pages), [s["low"] for s in slots], [s["low"] != s["high"] for s in slots])
-            for stream, pages, slots in zip(found["stream"], found["pages"], found["slots"], strict=True)
-        ]
-        wrapper = infer(listed)
-        zones, own = content_zones(wrapper)
-        text = " ".join(("(" + n.token + ")" + "+" * n.repeats + "?" * n.optional) for n in wrapper)
-        return pd.DataFrame({"host": [key[0]], "wrapper": [text], "zones": [sorted(zones)], "template": [sorted(own)]})
-
-    return distinct.groupBy("host").applyInPandas(one_host, "host string, wrapper string, zones array<string>, template array<long>")
+    distinct = distinct.join(pages_of, ["host", "shape"], "left").select("host", "shape", "stream", "slots", F.coalesce("pages", F.lit(0)).alias("pages"))
+
+    def single(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in parts:
+            made = [
+                _packed(nodes_of(stream.split("\n"), int(n), [s["low"] for s in slots], [s["low"] != s["high"] for s in slots]))
+                for stream, n, slots in zip(found["stream"], found["pages"], found["slots"], strict=True)
+            ]
+            yield pd.DataFrame({"host": found["host"], "shape": found["shape"], "pages": found["pages"], "nodes": made})
+
+    aligned = aligned_in_rounds(write_table(distinct.mapInPandas(single, WRAPPERS), "wrappers-0"))
+
+    def described(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in parts:
+            made = [_unpacked(x) for x in found["nodes"]]
+            chosen = [content_zones(w) for w in made]
+            texts = [" ".join(("(" + n.token + ")" + "+" * n.repeats + "?" * n.optional) for n in w) for w in made]
+            yield pd.DataFrame({"host": found["host"], "wrapper": texts, "zones": [sorted(z) for z, _ in chosen], "template": [sorted(o) for _, o in chosen]})
+
+    return aligned.mapInPandas(described, "host string, wrapper string, zones array<string>, template array<long>")
+
+
+WRAPPERS = "host string, shape long, pages long, nodes string"
+
+
+def _packed(wrapper: list[Node]) -> str:
+    return json.dumps([[x.item() if isinstance(x, np.generic) else x for x in astuple(n)] for n in wrapper])
+
+
+def _unpacked(text: str) -> list[Node]:
+    return [Node(*fields) for fields in json.loads(text)]
+
+
+def dealt(wrappers: DataFrame, turn: int) -> DataFrame:
+    """``wrappers`` with ``part``: each host's rows dealt to parts of about ``TOGETHER`` rows."""
+    sizes = wrappers.groupBy("host").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("shape", F.lit(turn)), F.ceil(F.col("n") / TOGETHER))
+    return wrappers.join(sizes, "host").withColumn("part", part).drop("n")
+
+
+def aligned_in_rounds(wrappers: DataFrame) -> DataFrame:
+    """One row a host: its wrappers aligned part by part, the most frequent first, then the parts' wrappers alike."""
+
+    def one_part(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["pages", "shape"], ascending=[False, True])
+        nodes = merge([_unpacked(x) for x in found["nodes"]])
+        return pd.DataFrame({"host": found["host"].iloc[:1], "shape": [int(found["shape"].min())], "pages": [int(found["pages"].sum())], "nodes": [_packed(nodes)]})
+
+    turn = 0
+    while (wrappers.groupBy("host").count().agg(F.max("count").alias("n")).first().n or 0) > 1:
+        turn += 1
+        wrappers = write_table(dealt(wrappers, turn).groupBy("host", "part").applyInPandas(one_part, WRAPPERS), f"wrappers-{turn}")
+    return wrappers
 
 
 def extract(pages: DataFrame) -> DataFrame:

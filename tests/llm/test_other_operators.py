@@ -111,6 +111,23 @@ def test_copies_are_not_the_template(spark):
     assert all(out[40 + k] == "same text" for k in range(3))
 
 
+def test_streams_of_a_host_meet_in_bounded_groups(spark):
+    rng = np.random.default_rng(4)
+    names = ["h2", "pre", "blockquote", "section", "table", "dl"]
+    rows = []
+    for k in range(400):
+        middle = "".join(f"<{n}>{n} {k}</{n}>" for n in rng.choice(names, 6))
+        rows.append((k, f"http://big.example/{k}", f"<body><div>Welcome here</div>{middle}<div>Imprint</div></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shapes = spark.range(400).selectExpr("'big.example' host", "id shape", "1L pages", "'[]' nodes")
+    sizes = [r["count"] for r in html.dealt(shapes, 1).groupBy("host", "part").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 3 * html.TOGETHER
+    found = html.wrappers(pages).collect()
+    assert len(found) == 1 and {html.xxhash.xxh64_intdigest(t) >> 1 for t in (b"Welcome here", b"Imprint")} == set(found[0].template)
+    out = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert all("Welcome" not in t and "Imprint" not in t and len(t.split()) == 12 for t in out.values())
+
+
 def test_folding_is_balanced():
     folded, place = html.fold(["<ul>", "<li>", "#", "</li>", "<li>", "#", "</li>", "</ul>"])
     assert folded == ["<ul>", "<li>+", "#+", "</li>+", "</ul>"] and place == [0, 1, 2, 3, 1, 2, 3, 4]
