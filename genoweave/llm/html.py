@@ -72,11 +72,11 @@ class Page:
     blocks: list[Block]
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """The element's own name from class and id, and whether it says that it isn't content."""
+def _marks(attributes: str) -> tuple[str, bool, bool]:
+    """The element's own name from class and id, whether it says that it isn't content, and whether only a class or id word hints so."""
     if not attributes or attributes.isspace():
-        return "", False
-    named, chrome = [], False
+        return "", False, False
+    named, chrome, hint = [], False, False
     for key, a, b, c in _MARKS.findall(attributes):
         value, key = (a or b or c), key.lower()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -86,8 +86,8 @@ def _marks(attributes: str) -> tuple[str, bool]:
         else:
             named.append(value)
             words = {w.lower() for w in _NAME.findall(value)}
-            chrome |= bool(words & CHROME_WORDS) and not words & {"article", "post", "entry"}
-    return ".".join(re.sub(r"\d+", "0", v) for v in named), chrome
+            hint |= bool(words & CHROME_WORDS) and not words & {"article", "post", "entry"}
+    return ".".join(re.sub(r"\d+", "0", v) for v in named), chrome, hint
 
 
 def _raw_end(html: str, name: str, start: int) -> int:
@@ -99,7 +99,7 @@ def read_page(html: str) -> Page:
     """Tokenise a page, however malformed: stray end tags are passed over, paragraphs close where HTML closes them."""
     stream: list[str] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []  # name and zone: chrome, main or plain
+    stack: list[tuple[str, str]] = []  # name and zone: chrome, main or plain; hinted (chrome by a word), inner (article or main in it)
     parts: list[str] = []
 
     def zone() -> str:
@@ -135,8 +135,8 @@ def read_page(html: str) -> Page:
             continue
         if name in INLINE:
             if not closing:
-                label, chrome = _marks(attributes)
-                if chrome:  # an inline advert or button: treat as a block
+                label, chrome, hint = _marks(attributes)
+                if chrome or hint:  # an inline advert or button: treat as a block
                     flush()
                     stack.append((name, "chrome"))
                     stream.append(f"<{name}.{label}>")
@@ -163,10 +163,16 @@ def read_page(html: str) -> Page:
             if name in names and stack and stack[-1][0] == closer:
                 stack.pop()
                 stream.append(f"</{closer}>")
-        label, chrome = _marks(attributes)
+        label, chrome, hint = _marks(attributes)
         above = zone()
-        if above == "chrome" or chrome or name in CHROME or name == "header" and above != "main":
+        if above == "chrome" or chrome or name in CHROME or name == "header" and above not in ("main", "inner"):
             own = "chrome"
+        elif hint and name not in ("html", "body"):
+            own = "hinted"
+        elif above == "hinted":
+            own = "inner" if name in MAIN else "hinted"
+        elif above == "inner":
+            own = "inner"
         elif above == "main" or name in MAIN:
             own = "main"
         else:
@@ -174,6 +180,10 @@ def read_page(html: str) -> Page:
         stack.append((name, own))
         stream.append(f"<{name}.{label}>" if label else f"<{name}>")
     flush()
+    # an article in an element that a word makes chrome is the page's article if there is no other
+    inner = "chrome" if any(b.zone == "main" for b in blocks) else "main"
+    for block in blocks:
+        block.zone = {"hinted": "chrome", "inner": inner}.get(block.zone, block.zone)
     return Page(stream, blocks)
 
 

@@ -80,6 +80,19 @@ def test_main_text(page, text):
     assert html.main_text(page, {"main"}, set()) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body class='right-sidebar'><p>kept</p></body>", "kept"),
+        ("<div class='content sidebar-left'><article><p>kept</p><div class=share>Share</div></article></div>", "kept"),
+        ("<article>kept</article><div class=related><article>other</article></div>", "kept"),
+        ("<div role=navigation><article>menu</article></div><p>kept</p>", "kept"),
+    ],
+)
+def test_class_words_only_hint(page, text):
+    assert html.main_text(page, {"main"}, set()) == text
+
+
 def test_wrapper_of_a_host():
     one = html.signature("<nav><a>m</a></nav><article><h1>a</h1><p>x</p><p>y</p></article><div>Imprint</div>")
     two = html.signature("<nav><a>m</a></nav><article><h1>b</h1><p>z</p></article><div>Imprint</div><section>extra</section>")
