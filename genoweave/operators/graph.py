@@ -12,28 +12,55 @@ from genoweave.operators.intervals import asof, containment_join, overlap_join
 from genoweave.operators.ordered import running_sum
 
 
+KEY = ["aln_id", "part", "dir"]
+
+
+def _blocks(alignments: DataFrame, side: str) -> DataFrame:
+    return alignments.select(*KEY, F.col(side).alias("__blocks"))
+
+
 def lift_atoms(atoms: DataFrame, alignments: DataFrame, bucket: int = 1000) -> DataFrame:
-    """Every atom through every alignment that contains it: the pair with m_first and m_last."""
-    pairs = containment_join(atoms, alignments, bucket)
-    a, b = lift(F.col("first"), F.col("blocks"), F.col("strand")), lift(F.col("last"), F.col("blocks"), F.col("strand"))
-    return pairs.withColumn("__a", a).withColumn("__b", b).withColumn("m_first", F.least("__a", "__b")).withColumn("m_last", F.greatest("__a", "__b")).drop("__a", "__b")
+    """Every atom through every alignment that contains it: the pair, without block lists, with m_first and m_last."""
+    pairs = containment_join(atoms, alignments.drop("blocks", "sym"), bucket).join(_blocks(alignments, "blocks"), KEY)
+    a, b = lift(F.col("first"), F.col("__blocks"), F.col("strand")), lift(F.col("last"), F.col("__blocks"), F.col("strand"))
+    return pairs.withColumn("__a", a).withColumn("__b", b).withColumn("m_first", F.least("__a", "__b")).withColumn("m_last", F.greatest("__a", "__b")).drop("__a", "__b", "__blocks")
 
 
-def induced_intervals(lifted: DataFrame, waste: DataFrame, bucket: int = 1000) -> DataFrame:
-    """Waste under the lifted atoms brought back and clipped to the atom, with both end points: distinct (atom_nr, first, last).
+def clipped_waste(lifted: DataFrame, waste: DataFrame, alignments: DataFrame, bucket: int = 1000, by: str = "atom_nr") -> DataFrame:
+    """Waste under the lifted atoms brought back and clipped to the atom: (``by``, first, last), with repeats.
 
     A region whose two images lie strictly on one side of the atom is dropped.
     """
-    pairs = overlap_join(lifted.select("atom_nr", F.col("first").alias("a_first"), F.col("last").alias("a_last"), "strand", "sym", "m_first", "m_last"), waste.select("first", "last"), "m_first", "m_last", bucket)
-    x, y = lift(F.col("first"), F.col("sym"), F.col("strand")), lift(F.col("last"), F.col("sym"), F.col("strand"))
-    back = pairs.select("atom_nr", "a_first", "a_last", x.alias("x"), y.alias("y"))
+    images = lifted.select(F.col(by).alias("__atom"), F.col("first").alias("a_first"), F.col("last").alias("a_last"), "strand", *KEY, "m_first", "m_last")
+    pairs = overlap_join(images, waste.select("first", "last"), "m_first", "m_last", bucket).join(_blocks(alignments, "sym"), KEY)
+    x, y = lift(F.col("first"), F.col("__blocks"), F.col("strand")), lift(F.col("last"), F.col("__blocks"), F.col("strand"))
+    back = pairs.select("__atom", "a_first", "a_last", x.alias("x"), y.alias("y"))
     back = back.where("not (x < a_first and y < a_first) and not (x > a_last and y > a_last)")
-    return back.select("atom_nr", F.greatest(F.least("x", "y"), "a_first").alias("first"), F.least(F.greatest("x", "y"), "a_last").alias("last")).distinct()
+    return back.select(F.col("__atom").alias(by), F.greatest(F.least("x", "y"), "a_first").alias("first"), F.least(F.greatest("x", "y"), "a_last").alias("last"))
+
+
+#: Atoms that one task re-optimises. Their rows are few bytes and much work, so tasks are counted in atoms.
+ATOMS_A_TASK = 500
+
+
+def tasks_for(atoms: DataFrame) -> int:
+    """How many tasks to deal ``atoms`` to, up to the session's number of shuffle partitions."""
+    most = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, -(-atoms.count() // ATOMS_A_TASK)))
+
+
+def induced_intervals(lifted: DataFrame, atoms: DataFrame, waste: DataFrame, alignments: DataFrame, bucket: int = 1000, by: str = "atom_nr") -> DataFrame:
+    """Distinct (``by``, first, last): the clipped waste of every atom and its own two end points.
+
+    Dealt by atom before repeats go, so that what follows by atom needs no other exchange.
+    """
+    return with_ends(clipped_waste(lifted, waste, alignments, bucket, by), atoms, by)
 
 
-def with_ends(intervals: DataFrame, atoms: DataFrame) -> DataFrame:
-    ends = atoms.select("atom_nr", F.explode(F.array("first", "last")).alias("first")).select("atom_nr", "first", F.col("first").alias("last"))
-    return intervals.unionByName(ends).distinct()
+def with_ends(intervals: DataFrame, atoms: DataFrame, by: str = "atom_nr") -> DataFrame:
+    """The intervals and, for every atom, its two end points."""
+    ends = atoms.select(F.col(by).alias("__atom"), F.explode(F.array("first", "last")).alias("first")).select(F.col("__atom").alias(by), "first", F.col("first").alias("last"))
+    return intervals.unionByName(ends).repartition(tasks_for(atoms), by).distinct()
 
 
 def choose_atom(lifted: DataFrame, waste: DataFrame) -> DataFrame:

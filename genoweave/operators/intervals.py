@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from genoweave.operators.ordered import max_before, next_value, running_sum
+from genoweave.operators.ordered import max_before, next_value, numbered_next
+
+
+#: Bins of an interval join: level k has bins of ``bucket`` * FACTOR^k positions, up to level TOP.
+FACTOR, TOP = 8, 2
 
 
 def breakpoints(alignments: DataFrame, sequences: DataFrame) -> DataFrame:
     """Distinct positions: sequence starts, the total length, and both target ends of every alignment."""
-    starts = sequences.select(F.explode(F.array("offset", F.col("offset") + F.col("size"))).alias("pos"), (F.col("offset")).alias("o"))
     # a sequence's end is the next one's start, and the last one's is the total length
+    starts = sequences.select(F.explode(F.array("offset", F.col("offset") + F.col("size"))).alias("pos"))
     ends = alignments.select(F.explode(F.array("t_start", "t_end")).alias("pos"))
-    return starts.select("pos").unionByName(ends).distinct()
+    return starts.unionByName(ends).distinct()
 
 
 def islands(positions: DataFrame, min_length: int) -> DataFrame:
@@ -22,13 +26,20 @@ def islands(positions: DataFrame, min_length: int) -> DataFrame:
     return consolidate(positions.select(F.col("pos").alias("first"), F.col("pos").alias("last")), min_length)
 
 
+def island_heads(regions: DataFrame, min_length: int) -> DataFrame:
+    """Rows (first, reach) of the regions that begin over ``min_length`` after all before them end: at ``reach``, null for the very first."""
+    held = max_before(regions.select("first", "last"), "last", ["first", "last"], "reach")
+    return held.where(F.col("reach").isNull() | (F.col("first") > F.col("reach") + min_length)).select("first", "reach")
+
+
 def consolidate(regions: DataFrame, min_length: int) -> DataFrame:
-    """Regions merged while the next begins at most ``min_length`` after the end so far."""
-    order = ["first", "last"]
-    held = max_before(regions.select("first", "last").distinct(), "last", order, "__reach")
-    new = F.when(F.col("__reach").isNull() | (F.col("first") > F.col("__reach") + min_length), 1).otherwise(0)
-    grouped = running_sum(held, new, order, "__id").groupBy("__id")
-    return grouped.agg(F.min("first").alias("first"), F.max("last").alias("last")).select((F.col("__id") - 1).alias("region_id"), "first", "last")
+    """Regions (region_id from 0, first, last) merged while the next begins at most ``min_length`` after the end so far.
+
+    The end so far where an island begins is the end of the island before it.
+    """
+    end = regions.agg(F.max("last").alias("__end"))
+    out = numbered_next(island_heads(regions, min_length), "reach", "first", "region_id", "last")
+    return out.join(F.broadcast(end)).select("region_id", "first", F.coalesce("last", "__end").alias("last"))
 
 
 def gaps_between(waste: DataFrame) -> DataFrame:
@@ -37,24 +48,49 @@ def gaps_between(waste: DataFrame) -> DataFrame:
     return out.select((F.col("region_id") + 1).alias("atom_nr"), F.col("last").alias("first"), F.col("__next").alias("last"))
 
 
+def _level(length: Column, bucket: int) -> Column:
+    """The level whose bins hold an interval of this length in few pieces."""
+    level = F.lit(0)
+    for k in range(TOP):
+        level = level + (length >= bucket * FACTOR ** (k + 1)).cast("int")
+    return level
+
+
+def _size(level: str, bucket: int) -> str:
+    return f"(case {' '.join(f'when {level} = {k} then {bucket * FACTOR**k}L' for k in range(TOP))} else {bucket * FACTOR**TOP}L end)"
+
+
+def _binned(rows: DataFrame, low: str, high: str, bucket: int, above: bool) -> DataFrame:
+    """One row per bin (__l, __b) that [low, high] touches at its own level and, with ``above``, at all wider ones."""
+    own = rows.withColumn("__own", _level(F.col(high) - F.col(low), bucket))
+    at = own.withColumn("__l", F.explode(F.sequence("__own", F.lit(TOP)))) if above else own.withColumn("__l", F.col("__own"))
+    size = _size("__l", bucket)
+    return at.withColumn("__b", F.explode(F.expr(f"sequence({low} div {size}, {high} div {size})")))
+
+
 def containment_join(inner: DataFrame, outer: DataFrame, bucket: int = 1000) -> DataFrame:
     """Pairs where outer's [t_start, t_end] contains inner's [first, last].
 
-    Outer rows go to every bucket they touch, inner rows to that of their middle: each pair meets once.
+    Outer rows go to the few bins they touch at their level, inner rows to that of
+    their middle at each level where an outer row can hold them: each pair meets once.
+    All outer columns are copied to each bin; leave block lists out and fetch them for the pairs.
     """
-    wide = outer.withColumn("__b", F.explode(F.expr(f"sequence(t_start div {bucket}, t_end div {bucket})")))
-    narrow = inner.withColumn("__b", F.expr(f"((first + last) div 2) div {bucket}"))
-    return narrow.join(wide, "__b").where("t_start <= first and t_end >= last").drop("__b")
+    wide = _binned(outer, "t_start", "t_end", bucket, above=False).drop("__own")
+    levels = F.sequence(_level(F.col("last") - F.col("first"), bucket), F.lit(TOP))
+    narrow = inner.withColumn("__l", F.explode(levels)).withColumn("__b", F.expr(f"((first + last) div 2) div {_size('__l', bucket)}"))
+    return narrow.join(wide, ["__l", "__b"]).where("t_start <= first and t_end >= last").drop("__l", "__b")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, bucket: int = 1000) -> DataFrame:
     """Pairs where left's [low, high] and right's [first, last], closed, share a position.
 
-    Both sides go to the buckets they touch; a pair counts in the first bucket that both touch.
+    A pair meets at the wider of its two levels, in the first bin that both touch.
     """
-    a = left.withColumn("__b", F.explode(F.expr(f"sequence({low} div {bucket}, {high} div {bucket})")))
-    b = right.withColumn("__b", F.explode(F.expr(f"sequence(first div {bucket}, last div {bucket})")))
-    return a.join(b, "__b").where(f"{low} <= last and first <= {high} and __b = greatest({low} div {bucket}, first div {bucket})").drop("__b")
+    a = _binned(left, low, high, bucket, above=True).withColumnRenamed("__own", "__p")
+    b = _binned(right, "first", "last", bucket, above=True).withColumnRenamed("__own", "__q")
+    size = _size("__l", bucket)
+    once = f"__l = greatest(__p, __q) and __b = greatest({low} div {size}, first div {size})"
+    return a.join(b, ["__l", "__b"]).where(f"{low} <= last and first <= {high} and {once}").drop("__l", "__b", "__p", "__q")
 
 
 def asof(rows: DataFrame, at: str, regions: DataFrame, key: str, value: str, name: str, chunk: int = 1 << 20) -> DataFrame:
@@ -87,5 +123,6 @@ def minimal_maximal(intervals: DataFrame, by: str) -> DataFrame:
 
 def stab_join(points: DataFrame, spans: DataFrame, bucket: int = 1000) -> DataFrame:
     """Pairs where ``pos`` lies strictly within (lo, hi)."""
-    wide = spans.withColumn("__b", F.explode(F.expr(f"sequence(lo div {bucket}, hi div {bucket})")))
-    return points.withColumn("__b", F.expr(f"pos div {bucket}")).join(wide, "__b").where("pos > lo and pos < hi").drop("__b")
+    wide = _binned(spans, "lo", "hi", bucket, above=False).drop("__own")
+    at = points.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(TOP)))).withColumn("__b", F.expr(f"pos div {_size('__l', bucket)}"))
+    return at.join(wide, ["__l", "__b"]).where("pos > lo and pos < hi").drop("__l", "__b")

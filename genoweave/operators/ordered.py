@@ -47,3 +47,16 @@ def next_value(rows: DataFrame, value: str, order: list[str], name: str, chunk:
     carried = _carried(cut, F.min_by(value, F.struct(*order))).select(F.col("__chunk").alias("__c"), F.lead("__v").over(later).alias("__from"))
     local = cut.withColumn("__local", F.lead(value).over(w))
     return local.join(carried, F.col("__chunk") == F.col("__c")).withColumn(name, F.coalesce("__local", "__from")).drop("__chunk", "__c", "__from", "__local")
+
+
+def numbered_next(rows: DataFrame, value: str, order: str, number: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Adds ``number`` (place in the order, from 0) and ``name`` (``value`` of the next row, null for the last) in one pass."""
+    cut, w = _chunked(rows, [order], chunk)
+    by = W.partitionBy(F.lit(1)).orderBy("__chunk")
+    sums = cut.groupBy("__chunk").agg(F.count("*").alias("__n"), F.min_by(F.struct(F.col(value).alias("v")), order).alias("__v"))
+    before = F.coalesce(F.sum("__n").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carried = sums.select(F.col("__chunk").alias("__c"), before.alias("__before"), F.lead("__v").over(by).alias("__later"))
+    local = cut.withColumn("__k", F.row_number().over(w) - 1).withColumn("__next", F.lead(F.struct(F.col(value).alias("v"))).over(w))
+    out = local.join(carried, F.col("__chunk") == F.col("__c"))
+    out = out.withColumn(number, F.col("__k") + F.col("__before")).withColumn(name, F.coalesce("__next", "__later")["v"])
+    return out.drop("__chunk", "__c", "__before", "__later", "__k", "__next")

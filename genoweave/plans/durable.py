@@ -11,14 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: the session's ``spark.checkpoint.dir``.
 
-    Where the setting is absent (single-machine tests), a temporary folder is
-    made once for the session and remembered as its checkpoint folder.
+    On one machine (master ``local``), and only there, a temporary folder takes its
+    place where the setting is absent.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         current = context._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="genoweave-")
+        if current.isDefined():
+            folder = current.get()
+        elif context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="genoweave-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
@@ -30,9 +35,33 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
 def write_table(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written as Parquet to the shared folder and read again."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def drop_tables(*frames: DataFrame) -> None:
+    """Delete the files behind frames that ``write_table`` gave and nothing will read again."""
+    for frame in frames:
+        for file in frame.inputFiles():
+            folder = file.rsplit("/", 1)[0]
+            if "/tables/" in folder:
+                _delete(frame.sparkSession, folder)
+                break
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete every table that this application wrote; for the end of a job whose result is stored elsewhere."""
+    _delete(spark, _tables(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

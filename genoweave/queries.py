@@ -174,7 +174,7 @@ def overlap_join(spark, sf_dir):
 
 
 def _induced(s: Stages) -> DataFrame:
-    return graph.with_ends(graph.induced_intervals(s.lifted(), s.waste), s.atoms)
+    return graph.induced_intervals(s.lifted(), s.atoms, s.waste, s.alignments)
 
 
 @query
