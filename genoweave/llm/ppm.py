@@ -27,7 +27,7 @@ from genoweave.plans.durable import write_table
 
 ORDER = 5
 #: Bytes of text whose requests for laws are made together.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 48 << 20
 #: Requests that meet their laws in one group, on average.
 REQUESTS = 1 << 20
 #: Rows of the count table whose laws are worked out at once, when no two bytes end more contexts.
@@ -296,13 +296,25 @@ def log10_probabilities(values: pa.Array, trie: Trie) -> np.ndarray:
     return per_text(out, np.concatenate([[0], np.cumsum(sizes)]))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as their count and the compressed planes of their bytes."""
+    planes = np.ascontiguousarray(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], 8 * n, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
 def _steps(ordered: np.ndarray) -> bytes:
     """Sorted numbers as differences, which compress."""
-    return np.diff(ordered, prepend=0).astype(np.int64).tobytes()
+    return _packed(np.diff(ordered, prepend=0))
 
 
 def _from_steps(steps: pa.Scalar) -> np.ndarray:
-    return np.cumsum(np.frombuffer(steps.as_buffer(), np.int64))
+    return np.cumsum(_unpacked(steps.as_py()))
 
 
 def _dealt(gram: np.ndarray, parts: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -324,7 +336,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     against a table in every task; the others leave the task as one row per
     distinct word and document, and meet their counts in a join. Grams leave it as
     one sorted list per group of documents, whose parts meet their laws; the laws
-    then meet the group's texts. Null texts count as empty (one end token). Every
+    then meet the group's texts, which move as compressed blocks. Null texts count as empty (one end token). Every
     row is scored, repeated ids too; without training rows every count is 0 and
     the law uniform.
     """
@@ -339,18 +351,19 @@ def score_documents(documents: DataFrame) -> DataFrame:
     common = words.where((F.col("n") * COMMON_WORDS >= tokens) & (F.octet_length("word") <= COMMON_BYTES)).select("word", "n").toPandas()
     shared = spark.sparkContext.broadcast((common.word.tolist(), common.n.to_numpy(np.int64)))
     kind = dict(documents.dtypes)["doc_id"]
-    fields = f"group long, doc_id {kind}, held_out boolean, n_tokens long, n_listed long, base_listed double, unlisted array<struct<word:string,k:long>>, text string, kinds long, grams binary"
-    names = ["group", "doc_id", "held_out", "n_tokens", "n_listed", "base_listed", "unlisted", "text", "kinds", "grams"]
+    fields = f"group long, row long, doc_id {kind}, held_out boolean, n_tokens long, n_listed long, base_listed double, unlisted array<struct<word:string,k:long>>, kinds long, block binary, sizes binary, grams binary"
+    names = ["group", "row", "doc_id", "held_out", "n_tokens", "n_listed", "base_listed", "unlisted", "kinds", "block", "sizes", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, counts = shared.value
         listed = pa.array(listed, pa.string())
         value = np.log10(np.concatenate([counts, [0]]) + 1.0) - np.log10(below)
         group, size, wanted, nulls = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.int64), None
+        row = group
         for batch in pieces(batches, "text"):
             texts = texts_of(batch, "text")
             if size and size + len(raw(texts)[0]) > GROUP_BYTES:
-                yield requests(group, wanted, nulls)
+                yield other(nulls, group, kinds=len(wanted), grams=_steps(wanted))
                 group, size, wanted = group + 1, 0, np.zeros(0, np.int64)
             size += len(raw(texts)[0]) + len(texts)
             wanted = distinct(np.concatenate([wanted, distinct(grams(texts))]))
@@ -368,18 +381,23 @@ def score_documents(documents: DataFrame) -> DataFrame:
             unlisted = pa.StructArray.from_arrays([known.take(pa.array(pair % max(1, len(known)))), pa.array(n.astype(np.int64))], names=["word", "k"])
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, group)), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(starts) + 1), pa.array(per_text(~rare, starts)), pa.array(base), pa.ListArray.from_arrays(pa.array(offsets), unlisted), texts, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
+                [pa.array(np.full(n, group)), pa.array(np.arange(row, row + n)), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(starts) + 1), pa.array(per_text(~rare, starts)), pa.array(base), pa.ListArray.from_arrays(pa.array(offsets), unlisted), pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.binary()) for _ in range(3))],
                 names=names,
             )
+            data, at = raw(texts)
+            yield other(nulls, group, row, block=pa.compress(data.tobytes(), "zstd", asbytes=True), sizes=_packed(np.diff(at)))
+            row += n
         if size:
-            yield requests(group, wanted, nulls)
+            yield other(nulls, group, kinds=len(wanted), grams=_steps(wanted))
 
-    def requests(group: int, wanted: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    def other(kind: pa.DataType, group: int, row: int | None = None, kinds: int | None = None, block: bytes | None = None, sizes: bytes | None = None, grams: bytes | None = None) -> pa.RecordBatch:
+        """A row that is no document's: a block of texts from ``row`` on, or a group's grams."""
         listed = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
-        empty = [pa.nulls(1, t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), listed, pa.string())]
-        return pa.RecordBatch.from_arrays([pa.array([group]), *empty, pa.array([len(wanted)]), pa.array([_steps(wanted)])], names=names)
+        empty = [pa.nulls(1, t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), listed)]
+        ends = [pa.array([x], pa.binary()) for x in (block, sizes, grams)]
+        return pa.RecordBatch.from_arrays([pa.array([group]), pa.array([row], pa.int64()), *empty, pa.array([kinds], pa.int64()), *ends], names=names)
 
-    placed = write_table(marked.mapInArrow(run, fields).withColumn("row", F.monotonically_increasing_id()), "scored")
+    placed = write_table(marked.mapInArrow(run, fields), "scored")
     asked = placed.where("grams is not null").select("group", "grams")
     parts = -(-(placed.agg(F.sum("kinds").alias("n")).first().n or 1) // REQUESTS)
 
@@ -403,26 +421,30 @@ def score_documents(documents: DataFrame) -> DataFrame:
         return pa.table({"group": wanted.column("group"), "part": wanted.column("part"), "laws": pa.array(out, pa.binary())})
 
     def total(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        is_text = pc.is_null(rows.column("grams"))
-        gram = _from_steps(rows.filter(pc.invert(is_text)).column("grams")[0])
+        is_block = pc.is_valid(rows.column("block"))
+        gram = _from_steps(rows.filter(pc.invert(is_block)).column("grams")[0])
         law = np.empty(len(gram), np.float32)
         law[_dealt(gram, parts)[0]] = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in answers.sort_by("part").column("laws")])
         ids, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for batch in pieces(rows.filter(is_text).select(["row", "text"]).to_batches(), "text"):
-            texts = texts_of(batch, "text")
+        blocks = rows.filter(is_block)
+        for row, block, packed in zip(blocks.column("row").to_pylist(), blocks.column("block"), blocks.column("sizes"), strict=True):
+            ends = np.concatenate([[0], np.cumsum(_unpacked(packed.as_py()))])
+            data = pa.decompress(block.as_buffer(), int(ends[-1]), "zstd")
+            texts = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), data])
             codes = grams(texts)
             at = np.argsort(codes)
             heads, n = _run_lengths(codes[at])
             out = np.empty(len(codes))
             out[at] = np.repeat(law[np.searchsorted(gram, heads)], n)
-            ids.append(np.asarray(batch.column("row")))
-            sums.append(per_text(out, np.concatenate([[0], np.cumsum(np.diff(raw(texts)[1]) + 1)])))
+            ids.append(np.arange(row, row + len(texts)))
+            sums.append(per_text(out, np.concatenate([[0], np.cumsum(np.diff(ends) + 1)])))
         return pa.table({"row": np.concatenate(ids), "score": np.concatenate(sums)})
 
     dealt = asked.mapInArrow(deal, "part int, group long, grams binary")
     answers = dealt.groupBy("part").cogroup(laws(counted, ORDER, parts).groupBy("part")).applyInArrow(answer, "group long, part int, laws binary")
-    scores = placed.select("group", "row", "text", "grams").groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(total, "row long, score double")
-    scored = placed.where("grams is null").drop("group", "text", "kinds", "grams")
+    sent = placed.where("block is not null or grams is not null").select("group", "row", "block", "sizes", "grams")
+    scores = sent.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(total, "row long, score double")
+    scored = placed.where("block is null and grams is null").drop("group", "kinds", "block", "sizes", "grams")
     rare = scored.select("row", F.explode("unlisted").alias("u")).select("row", "u.word", "u.k")
     met = rare.join(words.select("word", "n"), "word", "left")
     logs = F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.log10(F.lit(float(below)))
