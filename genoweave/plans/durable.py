@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +49,44 @@ def write_table(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def write_sorted(frame: DataFrame, keys: list[str], name: str, by: str | None = None, dealt: bool = False) -> DataFrame:
+    """``frame`` in the shared folder as a table bucketed and sorted by ``keys``, one file a bucket (and value of ``by``).
+
+    ``dealt`` says that the frame comes from such tables, by bucket already. There are as many buckets as shuffle partitions. Joins and aggregations by the keys
+    need no exchange of it, and under ``sorted_scans`` no sort either.
+    """
+    spark = frame.sparkSession
+    label = f"{name}_{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{label}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [by, *keys] if by else keys
+    rows = frame if dealt else frame.repartition(buckets, *keys)
+    writer = rows.sortWithinPartitions(*order).write.format("parquet").option("path", path)
+    if by:
+        writer = writer.partitionBy(by)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(label)
+    return spark.table(label)
+
+
+@contextlib.contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside know that tables of ``write_sorted`` are sorted."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_tables(*frames: DataFrame) -> None:
     """Delete the files behind frames that ``write_table`` gave and nothing will read again."""
     for frame in frames:
         for file in frame.inputFiles():
-            folder = file.rsplit("/", 1)[0]
-            if "/tables/" in folder:
-                _delete(frame.sparkSession, folder)
+            before, mark, rest = file.partition(f"/tables/{frame.sparkSession.sparkContext.applicationId}/")
+            if mark:
+                _delete(frame.sparkSession, before + mark + rest.split("/")[0])
                 break
 
 
