@@ -1,27 +1,31 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame operations only.
 
-A run is a table (h1, h2, documents, keeper), one row per distinct line key of the
-documents it covers, sorted by hash within hash partitions. Each batch of documents
-adds its own run to level 0; when a level holds ``FANOUT`` runs they are compacted
-into one of the next level. A batch is cleaned by a merge anti-join of its line
-hashes against the runs.
+A run is a table (h1, h2, documents), one row per distinct line key of the
+documents it covers, bucketed and sorted by hash. Batches of documents come in
+descending order of their ids. Each one merge-anti-joins its line hashes against the
+runs: what no run has yet is kept by the greatest id of this batch. It then adds its
+own run to level 0; when a level holds two runs they are merged into one of the next
+level, by a merge join of the sorted tables. In the end the runs say which keys enough documents hold.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoweave.llm.text import SPACES
-from genoweave.plans.durable import write_table
+from genoweave.plans.durable import sorted_scans, write_sorted, write_table
 
-#: Code points a key needs, documents it must be found in, batches, and runs of a level before compaction.
+#: Code points a key needs, documents it must be found in, and batches.
 LEAST_CHARS = 20
 LEAST_DOCUMENTS = 3
-BATCHES = 4
-FANOUT = 4
+BATCHES = 6
+#: Ids that batches are cut by, and how many of the most frequent keys are looked up without an exchange of their lines.
+SAMPLED_IDS = 1000
+HOT_KEYS = 1000
 #: Hashes to drop of one text above which they are looked up by bucket.
 BUCKETS = 1024
 
@@ -46,85 +50,109 @@ def _second_hash(key: Column) -> Column:
     return F.xxhash64(F.lit("second"), key)
 
 
+KEYS = ["h1", "h2"]
+
+
 def batch_lines(batch: DataFrame) -> DataFrame:
-    """Rows (h1, h2, doc_id): the distinct keys of each document that are long enough."""
+    """Rows (h1, h2, doc_id, with ``batch`` if there is such a column): the distinct keys of each document that are long enough."""
+    more = ["batch"] if "batch" in batch.columns else []
     keys = F.array_distinct(F.filter(line_keys(F.col("text")), lambda k: F.char_length(k) >= LEAST_CHARS))
-    return batch.select("doc_id", F.explode(keys).alias("key")).select(_first_hash(F.col("key")).alias("h1"), _second_hash(F.col("key")).alias("h2"), "doc_id")
+    rows = batch.select("doc_id", *more, F.explode(keys).alias("key"))
+    return rows.select(_first_hash(F.col("key")).alias("h1"), _second_hash(F.col("key")).alias("h2"), "doc_id", *more)
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("h1", "h2").agg(F.sum("documents").alias("documents"), F.max("keeper").alias("keeper"))
+def run_of(rows: DataFrame, *by: str) -> DataFrame:
+    """Of distinct rows (h1, h2, doc_id): how many documents hold each key, and their greatest id."""
+    return rows.groupBy(*by, *KEYS).agg(F.count("*").alias("documents"), F.max("doc_id").alias("top"))
 
 
 @dataclass
 class LineRuns:
-    """The runs, level by level. All of them are tables in the shared folder."""
+    """The runs, level by level. All of them are sorted tables in the shared folder."""
 
     levels: list[list[DataFrame]] = field(default_factory=list)
 
-    def add(self, batch: DataFrame) -> None:
-        """Add the run of one batch of documents; compact every level that is full."""
-        rows = batch_lines(batch).groupBy("h1", "h2").agg(F.count("*").alias("documents"), F.max("doc_id").alias("keeper"))
-        self._put(0, rows)
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
 
-    def _put(self, level: int, rows: DataFrame) -> None:
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key (h1, h2) no run has: the merge anti-join."""
+        for run in self.runs():
+            rows = rows.join(run.hint("merge"), KEYS, "left_anti")
+        return rows
+
+    def add(self, run: DataFrame, level: int = 0) -> None:
+        """Add a run; compact every level that is full."""
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(write_table(rows.sortWithinPartitions("h1", "h2"), f"run-{level}"))
-        if len(self.levels[level]) >= FANOUT:
+        self.levels[level].append(run)
+        if len(self.levels[level]) == 2:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, _summed(_union(full)))
+            self.add(compacted(*full), level + 1)
 
     def merged(self) -> DataFrame:
-        """One row per key over all runs."""
-        runs = [r for level in self.levels for r in level]
-        return runs[0] if len(runs) == 1 else _summed(_union(runs))
-
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """Rows (h1, h2, doc_id) of a new batch whose key no run has: the merge anti-join."""
-        rows = batch_lines(batch)
-        runs = [r for level in self.levels for r in level]
-        for run in runs:
-            rows = rows.join(run.hint("merge"), ["h1", "h2"], "left_anti")
-        return rows
+        """One run of all."""
+        return functools.reduce(compacted, self.runs())
 
 
-def _union(runs: list[DataFrame]) -> DataFrame:
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    return out
+def merge(one: DataFrame, two: DataFrame) -> DataFrame:
+    """One row per key of two runs, by a merge join."""
+    named = two.select(*KEYS, F.col("documents").alias("__n"))
+    summed = F.coalesce("documents", F.lit(0)) + F.coalesce("__n", F.lit(0))
+    return one.join(named.hint("merge"), KEYS, "full").select(*KEYS, summed.alias("documents"))
 
 
-def build_runs(documents: DataFrame, batches: int = BATCHES) -> LineRuns:
-    """Runs over all documents, one batch after another (by a hash of the id)."""
-    runs = LineRuns()
+def compacted(one: DataFrame, two: DataFrame) -> DataFrame:
+    return write_sorted(merge(one, two), KEYS, "run", dealt=True)
+
+
+def with_batch(documents: DataFrame, batches: int) -> DataFrame:
+    """Adds ``batch``, from 0 for the greatest ids on; null ids go with the least ones.
+
+    Cut at ids of a bounded sample by hash: only how even the batches are depends on it.
+    """
+    sample = documents.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED_IDS)
+    ids = sorted({r.doc_id for r in sample.collect()}, reverse=True)
+    cuts = [ids[len(ids) * k // batches] for k in range(1, batches)] if ids else []
+    number = F.lit(0)
+    for cut in sorted(set(cuts)):
+        number = number + F.coalesce(F.col("doc_id") <= F.lit(cut), F.lit(True)).cast("int")
+    return documents.withColumn("batch", number)
+
+
+def build_runs(rows: DataFrame, batches: int = BATCHES) -> tuple[LineRuns, DataFrame]:
+    """Runs over distinct rows (h1, h2, doc_id, batch), one batch after another, and (h1, h2, keeper) as the anti-joins gave it."""
+    table = write_sorted(run_of(rows, "batch"), KEYS, "batches", by="batch")
+    runs, first = LineRuns(), []
     for k in range(batches):
-        mine = F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k
-        runs.add(documents.where(mine) if batches > 1 else documents)
-    return runs
+        mine = table.where(F.col("batch") == k).drop("batch")
+        first.append(runs.unseen(mine).select(*KEYS, F.col("top").alias("keeper")))
+        runs.add(mine.select(*KEYS, "documents"))
+    return runs, functools.reduce(DataFrame.unionByName, first)
 
 
 def dedup_lines(documents: DataFrame, batches: int = BATCHES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Drop shared lines; one row per document: ``keep``, n_lines, n_dropped, kept_text.
 
-    A key of ``LEAST_CHARS`` code points or more that ``LEAST_DOCUMENTS`` rows or
-    more hold loses all its lines but in the rows of the greatest doc_id that holds
-    it. Rows count as documents of their own: repeated ids each count, and all rows
-    of the keeping id keep the line. A null id counts and never keeps unless all
-    holders are null. Null and empty texts have one empty line, which always stays.
-    Only hashes and ids are shuffled by line; texts move once, to meet what they lose.
+    A key of ``LEAST_CHARS`` code points or more that ``LEAST_DOCUMENTS`` ids or more
+    hold loses all its lines but in the rows of the greatest doc_id that holds it.
+    Rows of one id count as one document, and all rows of the keeping id keep the
+    line. Null ids count as one and never keep unless all holders are null. Null and
+    empty texts have one empty line, which always stays.
+    Only hashes and ids are shuffled by line, and those of the at most ``HOT_KEYS``
+    most frequent keys not even once more; texts move once, to meet what they lose.
     """
-    runs = build_runs(documents, batches).merged().where(F.col("documents") >= LEAST_DOCUMENTS)
-    shared = write_table(runs.select("h1", "h2", "keeper"), "shared-lines")
-    lost = (
-        batch_lines(documents)
-        .join(shared.hint("merge"), ["h1", "h2"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
-        .withColumnRenamed("doc_id", "__lost_id")
-    )
+    spark = documents.sparkSession
+    with sorted_scans(spark):
+        held = write_table(batch_lines(with_batch(documents.select("doc_id", "text"), batches)).distinct(), "lines")
+        runs, keepers = build_runs(held, batches)
+        often = runs.merged().where(F.col("documents") >= LEAST_DOCUMENTS).select(*KEYS, "documents")
+        shared = write_sorted(keepers.join(often.hint("merge"), KEYS), KEYS, "shared", dealt=True)
+        # a key that one row in HOT_KEYS has; there can't be more of them than that
+        hot = shared.where(F.col("documents") * HOT_KEYS >= F.lit(held.count())).select(*KEYS, "keeper")
+        rest = held.join(F.broadcast(hot.select(*KEYS)), KEYS, "left_anti").join(shared.select(*KEYS, "keeper").hint("merge"), KEYS)
+        lost = held.join(F.broadcast(hot), KEYS).unionByName(rest).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        lost = write_table(lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEYS)).alias("__lost")).withColumnRenamed("doc_id", "__lost_id"), "lost")
     # Many hashes are dealt into buckets here, below the join, so that it happens once a document and not once a line.
     buckets = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.filter("__lost", lambda d: F.pmod(d["h1"], F.lit(BUCKETS)) == b))
     lost = lost.withColumn("__dealt", F.when(F.size("__lost") > BUCKETS, buckets))

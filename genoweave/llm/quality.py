@@ -288,11 +288,10 @@ def learn_from(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     counted = counted.groupBy("doc_id", "quality").agg(F.min(F.struct(*_COUNTED)).alias("s")).select("doc_id", "quality", "s.*")
     found = (
         counted.where(~base_failed())
-        .select("doc_id", "quality", *(feature(n).alias(n) for n in FEATURES))
+        .select("doc_id", F.xxhash64("doc_id").alias("__at"), "quality", *(feature(n).alias(n) for n in FEATURES))
         .toPandas()
-        .sort_values("doc_id")
     )
-    order = mixed(found.doc_id.to_numpy().astype(np.uint64)).argsort(kind="stable")
+    order = found.sort_values(["__at", "doc_id"]).index.to_numpy()
     table = {n: found[n].to_numpy(np.float64)[order] for n in FEATURES}
     return learn(table, found.quality.to_numpy()[order] == 0) if len(found) else []
 

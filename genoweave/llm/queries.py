@@ -66,13 +66,14 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINE_SQL = r"""
-with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as k from documents),
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+l as (select r, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from d),
 m as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
-s as (select key, max(doc_id) as keeper from m where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
-j as (select m.*, s.key is not null and m.doc_id <> s.keeper as goes from m left join s on m.key = s.key)
+s as (select key, max(doc_id) as keeper from m where length(key) >= 20 group by key having count(distinct doc_id) + max((doc_id is null)::int) >= 3),
+j as (select m.*, s.key is not null and m.doc_id is distinct from s.keeper as goes from m left join s on m.key = s.key)
 select doc_id, count(*)::bigint as n_lines, count(*) filter (goes)::bigint as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by k) filter (not goes), '')) as kept_sha256
-from j group by doc_id
+from j group by r, doc_id
 """
 
 QUERIES = {

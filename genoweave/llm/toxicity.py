@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoweave.llm.text import WORD_CLASS, coded, pieces, texts_of, words_of
+from genoweave.plans.durable import write_table
 
-#: Most labelled rows to learn from, and most words that carry a score of their own.
+#: Most labelled rows to learn from.
 SAMPLE_ROWS = 20_000
-VOCABULARY = 50_000
 #: Words of the prior, as pseudo-counts; how many standard errors a log-odds must clear; the least pseudo-count of a word.
 PRIOR_WORDS = 200.0
 ERRORS = 1.96
@@ -56,13 +56,15 @@ def segments(positions: np.ndarray, gains: np.ndarray, other: float) -> list[tup
 
     ``positions`` and ``gains`` list the words whose score isn't ``other``, which
     is negative; words between them count ``other`` each. Candidates are kept with
-    the running total before and after them: a new one joins back to the nearest
-    candidate that starts lower, unless that one ends at least as high.
+    the running total before and after them, and a link to the nearest one before
+    them that starts lower: a new candidate follows links from the last one, and joins
+    back to where they lead unless that one ends at least as high.
     """
     firsts: list[int] = []
     lasts: list[int] = []
     lows: list[float] = []
     highs: list[float] = []
+    links: list[int] = []
     total, seen = 0.0, -1
     for at, gain in zip(positions.tolist(), gains.tolist(), strict=True):
         total += (at - seen - 1) * other
@@ -72,18 +74,21 @@ def segments(positions: np.ndarray, gains: np.ndarray, other: float) -> list[tup
             continue
         first, low = at, total
         total += gain
-        while lows:
-            j = len(lows) - 1
-            while j >= 0 and lows[j] >= low:
-                j -= 1
-            if j < 0 or highs[j] >= total:
+        j = len(lows) - 1
+        while j >= 0:
+            if lows[j] >= low:
+                j = links[j]
+            elif highs[j] >= total:
                 break
-            first, low = firsts[j], lows[j]
-            del firsts[j:], lasts[j:], lows[j:], highs[j:]
+            else:
+                first, low, back = firsts[j], lows[j], links[j]
+                del firsts[j:], lasts[j:], lows[j:], highs[j:], links[j:]
+                j = back
         firsts.append(first)
         lasts.append(at)
         lows.append(low)
         highs.append(total)
+        links.append(j)
     return [(a, b, h - lo) for a, b, lo, h in zip(firsts, lasts, lows, highs, strict=True)]
 
 
@@ -112,14 +117,19 @@ def evidence(n_words: int, found: list[tuple[int, int, float]], decay: float, sc
     return significant if significant > 0 else min(best, 0.0)
 
 
-def _log_odds(counts: pd.DataFrame) -> pd.DataFrame:
-    """Log-odds of each word between toxic and other texts, and its standard error."""
-    total_toxic, total_other = counts.toxic.sum(), counts.other.sum()
-    prior = PRIOR_WORDS * (counts.toxic + counts.other) / max(1, total_toxic + total_other) + LEAST_PRIOR
-    spread = prior.sum()
-    a, b = counts.toxic + prior, counts.other + prior
-    odds = np.log(a / (total_toxic + spread - a)) - np.log(b / (total_other + spread - b))
-    return counts.assign(odds=odds, error=np.sqrt(1 / a + 1 / b))
+def _significant(counts: DataFrame) -> tuple[pd.DataFrame, float]:
+    """Words whose log-odds between toxic and other texts clear their error, with that ``surplus``; and how many words the other texts hold.
+
+    Worked out on Spark over every counted word; the driver sees those that clear.
+    """
+    total = counts.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.count("*").alias("kinds")).first()
+    toxic, other = total.toxic or 0, total.other or 0
+    prior = F.lit(PRIOR_WORDS) * (F.col("toxic") + F.col("other")) / max(1, toxic + other) + LEAST_PRIOR
+    spread = (PRIOR_WORDS if toxic + other else 0.0) + LEAST_PRIOR * total.kinds
+    a, b = F.col("toxic") + prior, F.col("other") + prior
+    odds = F.log(a / (F.lit(toxic + spread) - a)) - F.log(b / (F.lit(other + spread) - b))
+    surplus = odds - ERRORS * F.sqrt(1 / a + 1 / b)
+    return counts.select("word", "other", surplus.alias("surplus")).where("surplus > 0").toPandas().sort_values("word"), max(1.0, float(other))
 
 
 def _decay(odds_scores: np.ndarray, shares: np.ndarray) -> float:
@@ -152,8 +162,8 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> T
     """Learn from at most ``rows`` labelled documents, chosen by a hash of their id.
 
     Rows with a null id or label are passed over. Counting runs on Spark over the
-    whole texts of the sample; the driver sees the counts of words that occur in
-    two or more of its documents, and one line of totals per document.
+    whole texts of the sample; the driver sees the words whose log-odds clear their
+    error, among all that occur in two or more of its documents, and three numbers per document.
     """
     sample = (
         labels.where("doc_id is not null and toxic is not null")
@@ -180,15 +190,11 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> T
         .groupBy("word")
         .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     )
-    words = counts.where("toxic + other >= 2 and word <> ''").orderBy(F.desc(F.col("toxic") + F.col("other")), "word").limit(VOCABULARY).toPandas()
-    words = _log_odds(words) if len(words) else words.assign(odds=0.0, error=1.0)
-    sure = words[words.odds - ERRORS * words.error > 0]
-    scores = dict(zip(sure.word, sure.odds - ERRORS * sure.error, strict=True))
-    seen = sure.other.sum() / max(1.0, float(words.other.sum()))
-    gain = float(((sure.odds - ERRORS * sure.error) * sure.other).sum()) / max(1.0, float(words.other.sum())) if len(sure) else 0.0
-    other = -max(0.05, 4.0 * gain)
+    sure, harmless = _significant(write_table(counts.where("toxic + other >= 2 and word <> ''"), "word-counts"))
+    scores = dict(zip(sure.word, sure.surplus, strict=True))
+    other = -max(0.05, 4.0 * float((sure.surplus * sure.other).sum()) / harmless)
     values = np.array([*scores.values(), other])
-    shares = np.array([*(sure.other / max(1.0, float(words.other.sum()))), max(1e-9, 1 - seen)])
+    shares = np.array([*(sure.other / harmless), max(1e-9, 1 - sure.other.sum() / harmless)])
     model = ToxicModel(scores, other, _decay(values, shares), 1.0, 1.0, 0.0)
 
     def best_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,19 +205,22 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> T
                 names=["doc_id", "toxic", "n", "totals"],
             )
 
-    told = chosen.mapInArrow(best_segments, "doc_id long, toxic long, n long, totals array<double>").groupBy("doc_id", "toxic").agg(F.min(F.struct("n", "totals")).alias("s")).select("doc_id", "toxic", "s.*").toPandas()
-    if not len(told) or told.toxic.nunique() < 2:
+    kind = dict(documents.dtypes)["doc_id"]
+    told = chosen.mapInArrow(best_segments, f"doc_id {kind}, toxic long, n long, totals array<double>")
+    told = write_table(told.groupBy("doc_id", "toxic").agg(F.min(F.struct("n", "totals")).alias("s")).select("doc_id", "toxic", F.greatest("s.n", F.lit(1)).alias("n"), "s.totals"), "segment-totals")
+    tops = told.select("toxic", "n", F.coalesce(F.array_max("totals"), F.lit(0.0)).alias("top")).toPandas()
+    clean = tops[tops.toxic != 1]
+    if not len(clean) or len(clean) == len(tops):
         return model
-    told = told.sort_values("doc_id")
-    totals = [[(0, 0, float(s)) for s in t] for t in told.totals]
-    n = np.maximum(told.n.to_numpy(np.float64), 1)
     # The mean of the largest total over harmless texts gives the scale of the Gumbel law.
-    clean = (told.toxic != 1).to_numpy()
-    top = np.array([max((s for *_, s in t), default=0.0) for t in totals])
-    heavy = np.exp(np.clip(model.decay * top[clean], 0, 50))
-    scale = float(np.clip(np.exp(np.mean(np.log(heavy)) - 0.5772 - np.mean(np.log(n[clean]))), 1e-7, 1.0))
-    x = np.array([evidence(int(k), t, model.decay, scale) for k, t in zip(n, totals, strict=True)])
-    slope, offset = _logistic(np.minimum(x, 40), (~clean).astype(float))
+    heavy = np.sort(np.clip(model.decay * clean.top.to_numpy(), 0, 50) - np.log(clean.n.to_numpy(np.float64)))
+    scale = float(np.clip(np.exp(np.mean(heavy) - 0.5772), 1e-7, 1.0))
+    reach = F.log(F.greatest(F.lit(scale) * F.col("n"), F.lit(1e-9)))
+    beyond = F.transform("totals", lambda s: model.decay * s - reach)
+    summed = F.aggregate(beyond, F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(0.0)))
+    best = F.least(F.coalesce(F.array_max(beyond), -reach - 2.0), F.lit(0.0))
+    x = told.select("toxic", F.when(summed > 0, summed).otherwise(best).alias("x")).toPandas().sort_values(["x", "toxic"])
+    slope, offset = _logistic(np.minimum(x.x.to_numpy(), 40), (x.toxic == 1).to_numpy(float))
     return ToxicModel(scores, other, model.decay, scale, slope, offset)
 
 

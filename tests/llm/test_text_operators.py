@@ -164,12 +164,12 @@ def test_decode_of_any_ids(pieces_model):
 
 
 def _deduped(rows):
-    holders = collections.defaultdict(list)
+    holders = collections.defaultdict(set)
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
     for i, t in rows:
         for k in {key(x) for x in t.split("\n")}:
             if len(k) >= 20:
-                holders[k].append(i)
+                holders[k].add(i)
     goes = lambda i, x: len(holders[key(x)]) >= 3 and i != max(holders[key(x)])
     return collections.Counter((i, len(t.split("\n")), sum(goes(i, x) for x in t.split("\n")), "\n".join(x for x in t.split("\n") if not goes(i, x))) for i, t in rows)
 
@@ -187,13 +187,32 @@ def test_line_dedup_of_many_lost_lines(spark):
     assert {r.doc_id: r.n_dropped for r in lines.dedup_lines(frame).collect()} == {1: 1500, 2: 1500, 3: 0, None: 1500}
 
 
-def test_runs_compact_and_anti_join(docs):
-    runs = lines.build_runs(docs.limit(20), batches=5)
-    assert [len(level) for level in runs.levels] == [1, 1]
-    assert runs.unseen(docs.limit(0)).count() == 0
-    fresh = docs.sparkSession.createDataFrame([(1, SHARED), (2, "a line that no document has had before")], "doc_id long, text string")
-    all_runs = lines.build_runs(docs, batches=3)
-    assert [r.doc_id for r in all_runs.unseen(fresh).collect()] == [2]
+def test_lines_of_repeated_ids_count_once(spark):
+    line, other = "a line that is long enough to count", "another line that is long enough too"
+    rows = [(1, f"{line}\n{other}"), (1, line), (2, f"{line}\n{other}"), (3, f"own\n{other}"), (3, other)]
+    for batches in (1, 3):
+        out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches)
+        assert collections.Counter(map(tuple, out.collect())) == _deduped(rows)
+
+
+def test_runs_compact_and_anti_join(spark, docs):
+    held = lines.batch_lines(lines.with_batch(docs.select("doc_id", "text"), 5)).distinct()
+    runs, _ = lines.build_runs(held, batches=5)
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    fresh = spark.createDataFrame([(1, SHARED), (2, "a line that no document has had before")], "doc_id long, text string")
+    assert [r.doc_id for r in runs.unseen(lines.batch_lines(fresh)).collect()] == [2]
+
+
+def test_runs_meet_without_exchange_or_sort(spark, docs):
+    from genoweave.plans.durable import sorted_scans
+
+    with sorted_scans(spark):
+        held = lines.batch_lines(lines.with_batch(docs.select("doc_id", "text"), 4)).distinct()
+        runs, first = lines.build_runs(held, batches=4)
+        assert len(runs.runs()) == 1
+        for frame in (first, lines.merge(runs.runs()[0], runs.runs()[0])):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and ("SortMergeJoin" not in plan or "Sort [" not in plan)
 
 
 def _fingerprint(t):
