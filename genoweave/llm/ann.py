@@ -3,8 +3,8 @@
 Distinct vectors are dealt to shards of bounded size. In a shard points join the
 graph in batches: a greedy search from the entry point proposes neighbours, relaxed
 distance pruning keeps edges of different directions, and edges back are pruned the
-same way. A query runs a beam search in every shard, and the shards' best are
-ranked together by the exact inner product.
+same way. Graphs are built once and stored. A query runs a beam search in every
+shard, and the shards' best are ranked together by the exact inner product.
 """
 
 from __future__ import annotations
@@ -170,22 +170,32 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 1))
 
 
-def search_shard(index: pd.DataFrame, queries: pd.DataFrame, k: int = K + 1) -> pd.DataFrame:
-    """Build a shard's graph and search it for a block of queries: the best ``k`` vectors of each."""
-    out = {"query": [], "rep": [], "score": []}
-    if not len(index) or not len(queries):
-        return pd.DataFrame({"query": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    index, queries = index.sort_values("rep"), queries.sort_values("query")
-    sizes = {len(x) for x in index.embedding} | {len(x) for x in queries.asked}
-    for size in sizes:
-        some, asked = index[index.embedding.map(len) == size], queries[queries.asked.map(len) == size]
-        if not len(some) or not len(asked):
-            continue
-        vectors, q = _stack(some.embedding), _stack(asked.asked)
+def build_shard(index: pd.DataFrame) -> pd.DataFrame:
+    """A shard's graphs, one row for each length of vectors: size, reps, vectors, graph (all as bytes) and entry."""
+    out = []
+    for size, some in index.sort_values("rep").groupby(index.embedding.map(len)):
+        vectors = _stack(some.embedding)
         graph, entry = build_graph(lifted(vectors))
+        narrow = vectors.astype(np.float32)
+        held = narrow if (narrow == vectors).all() else vectors
+        out.append((int(size), some.rep.to_numpy(np.int64).tobytes(), held.tobytes(), graph.astype(np.int32).tobytes(), entry))
+    return pd.DataFrame(out, columns=["size", "reps", "vectors", "graph", "entry"])
+
+
+def search_shard(graphs: pd.DataFrame, queries: pd.DataFrame, k: int = K + 1) -> pd.DataFrame:
+    """The best ``k`` vectors of a shard for each query of a block: (query, rep, score)."""
+    out = {"query": [np.zeros(0, np.int64)], "rep": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
+    for stored in graphs.itertuples():
+        asked = queries[queries.asked.map(len) == stored.size].sort_values("query")
+        if not len(asked):
+            continue
+        reps = np.frombuffer(stored.reps, np.int64)
+        kind = np.float32 if len(stored.vectors) == 4 * len(reps) * stored.size else np.float64
+        vectors = np.frombuffer(stored.vectors, kind).reshape(len(reps), -1).astype(np.float64)
+        graph = np.frombuffer(stored.graph, np.int32).reshape(len(reps), -1).astype(np.int64)
+        q, names = _stack(asked.asked), asked["query"].to_numpy()
         q_lifted = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
-        found, _ = beam_search(lifted(vectors), graph, entry, q_lifted, max(BEAM_SEARCH, k))
-        reps, names = some.rep.to_numpy(), asked["query"].to_numpy()
+        found, _ = beam_search(lifted(vectors), graph, stored.entry, q_lifted, max(BEAM_SEARCH, k))
         for a in range(0, len(q), 256):
             ids = found[a : a + 256]
             exact = (vectors[ids] * q[a : a + 256][:, None]).sum(2)
@@ -197,11 +207,32 @@ def search_shard(index: pd.DataFrame, queries: pd.DataFrame, k: int = K + 1) ->
             out["query"].append(np.repeat(names[a : a + 256], real.sum(1)))
             out["rep"].append(rep[real])
             out["score"].append(exact[real])
-    return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0) for c, v in out.items()}).astype({"query": "int64", "rep": "int64", "score": "float64"})
+    return pd.DataFrame({c: np.concatenate(v) for c, v in out.items()}).astype({"query": "int64", "rep": "int64", "score": "float64"})
+
+
+def _build(key: tuple, index: pd.DataFrame) -> pd.DataFrame:
+    return build_shard(index).assign(shard=int(key[0]))
+
+
+def _search(key: tuple, graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    return search_shard(graphs, queries)
+
+
+def build_index(reps: DataFrame, shards: int) -> DataFrame:
+    """Rows (size, reps, vectors, graph, entry, shard) of distinct vectors (rep, embedding): each shard's graph, built once, one shard a task."""
+    shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")
+    placed = reps.select("rep", "embedding", shard.alias("shard")).repartitionById(shards, F.col("shard"))
+    return write_table(placed.groupBy("shard").applyInPandas(_build, "size int, reps binary, vectors binary, graph binary, entry int, shard int"), "graphs")
 
 
-def _shard(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    return search_shard(index, queries)
+def search_index(graphs: DataFrame, queries: DataFrame, shards: int, blocks: int) -> DataFrame:
+    """Rows (query, rep, score): every query (query, asked) in every shard. Each shard's stored graph meets each block of queries in a task of its own."""
+    block = F.pmod(F.xxhash64("query", F.lit("block")), F.lit(blocks)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = graphs.withColumn("block", each(blocks)).withColumn("pair", F.col("shard") * blocks + F.col("block"))
+    wanted = queries.select("query", "asked", block.alias("block"), each(shards).alias("shard")).select("query", "asked", (F.col("shard") * blocks + F.col("block")).alias("pair"))
+    index, wanted = (x.repartitionById(shards * blocks, F.col("pair")) for x in (index.drop("shard", "block"), wanted))
+    return index.groupBy("pair").cogroup(wanted.groupBy("pair")).applyInPandas(_search, "query long, rep long, score double")
 
 
 def search_every(embeddings: DataFrame, step: int = QUERY_STEP, k: int = K) -> DataFrame:
@@ -229,14 +260,7 @@ def search_every(embeddings: DataFrame, step: int = QUERY_STEP, k: int = K) -> D
     distinct = asked.select("query").distinct()
     blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
     queries = reps.select(F.col("rep").alias("query"), F.col("embedding").alias("asked")).join(distinct, "query", "left_semi")
-    shard = F.pmod(F.xxhash64("rep"), F.lit(shards))
-    block = F.pmod(F.xxhash64("query", F.lit("block")), F.lit(blocks))
-    index = reps.select("rep", "embedding", shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    wanted = queries.select("query", "asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), block.alias("block"))
-    pairs = shards * blocks
-    index = index.withColumn("shard", F.col("shard").cast("long")).repartition(pairs, "shard", "block")
-    wanted = wanted.withColumn("block", F.col("block").cast("long")).repartition(pairs, "shard", "block")
-    found = index.groupBy("shard", "block").cogroup(wanted.groupBy("shard", "block")).applyInPandas(_shard, "query long, rep long, score double")
+    found = search_index(build_index(reps, shards), queries, shards, blocks)
     best = W.partitionBy("query").orderBy(F.desc("score"), "rep")
     top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     expanded = top.join(reps.select("rep", "copies"), "rep").select("query", "score", F.explode("copies").alias("vec_id"))

@@ -17,12 +17,12 @@ def _nearest(vectors, ids, query, k):
     return [int(x) for x in ids[np.lexsort([ids, -scores])][:k]]
 
 
-def test_recall_of_a_shard_and_of_many():
+def test_recall_of_a_shard():
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(3000, 24)) * rng.uniform(0.5, 2, (3000, 1))
     index = pd.DataFrame({"rep": np.arange(3000), "embedding": list(vectors)})
     asked = pd.DataFrame({"query": np.arange(0, 3000, 60), "asked": list(vectors[::60])})
-    found = ann.search_shard(index, asked)
+    found = ann.search_shard(ann.build_shard(index), asked)
     hit = sum(len({*_nearest(vectors, np.arange(3000), q, 20)} & {*found[found["query"] == q]["rep"]}) for q in range(0, 3000, 60))
     assert hit >= 0.95 * 50 * 20
     best = found.groupby("query").score.max()
@@ -59,6 +59,17 @@ def test_recall_on_the_table(spark, sf):
     assert hit >= 0.9 * 20 * len(asked)
 
 
+def test_recall_of_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 500)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    rng = np.random.default_rng(5)
+    vectors = (rng.normal(size=(2200, 24)) * rng.uniform(0.5, 2, (2200, 1))).astype(np.float32)
+    found = ann.search_every(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")).toPandas()
+    exact = vectors.astype(np.float64)
+    hit = sum(len({*_nearest(exact, np.arange(2200), q, 20)} & {*found[found.query_id == q].vec_id}) for q in range(0, 2200, 20))
+    assert len(found) == 110 * 20 and hit >= 0.95 * 110 * 20
+
+
 ARTICLE = "<article><h1>Title &amp; more</h1><p>First <b>bold</b>&nbsp;text.<br>next<p>Second\n  one.</p><ul><li>x</li><li>y</li></ul>{}</article>"
 
 
