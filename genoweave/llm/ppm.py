@@ -41,30 +41,29 @@ START, END = 0xFE, 0xFF
 HELD = 1 << 22
 
 
-def positions(values: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts, each after ``order`` start bytes and before an end byte; the scored places; and how many each text has."""
+def padded(values: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, each after ``order`` start bytes and before an end byte; which places are scored; and how many each text has."""
     data, at = raw(values)
     sizes = np.diff(at)
-    full = sizes + order + 1
-    starts = np.concatenate([[0], np.cumsum(full)])
+    starts = np.concatenate([[0], np.cumsum(sizes + order + 1)])
     out = np.full(starts[-1], START, np.uint8)
     out[starts[1:] - 1] = END
+    out[np.arange(len(data)) + np.repeat(np.arange(len(sizes)) * (order + 1) + order, sizes)] = data
     scored = np.ones(len(out), bool)
     for k in range(order):
         scored[starts[:-1] + k] = False
-    body = scored.copy()
-    body[starts[1:] - 1] = False
-    out[body] = data
-    return out, np.flatnonzero(scored), sizes + 1
+    return out, scored, sizes + 1
 
 
 def grams(values: pa.Array, order: int = ORDER) -> np.ndarray:
     """For every scored place the ``order`` bytes before it and its own, as one number."""
-    data, places, _ = positions(values, order)
-    code = np.zeros(len(places), np.int64)
+    data, scored, _ = padded(values, order)
+    n = max(0, len(data) - order)
+    code = np.zeros(n, np.int64)
     for k in range(order, -1, -1):
-        code = (code << 8) | data[places - k]
-    return code
+        code <<= 8
+        code |= data[order - k : order - k + n]
+    return code[scored[order:]]
 
 
 def _run_lengths(ordered: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +279,8 @@ def laws(counted: DataFrame, order: int = ORDER, parts: int = 1) -> DataFrame:
 
 def log10_probabilities(values: pa.Array, trie: Trie) -> np.ndarray:
     """log10 of the model's probability of each whole text, its end included."""
-    data, places, sizes = positions(values, trie.order)
+    data, scored, sizes = padded(values, trie.order)
+    places = np.flatnonzero(scored)
     child, law = trie.child.reshape(-1), trie.law.reshape(-1)
     out = np.zeros(len(places))
     for a in range(0, len(places), 1 << 20):
