@@ -1,11 +1,12 @@
 """HTML extraction with wrappers inferred as union-free regular expressions.
 
-A page becomes a stream of block tags and text slots; repeated stretches fold into
-groups. Pages of one host with the same folded stream count once. Per host the
-streams are aligned one after another: what both have stays, what one lacks becomes
-optional, what repeats becomes a group, and text that differs becomes a slot. The
-wrapper says for each text slot where in the host's pages it lies and whether its
-text is the template's own, and so which slots hold the article.
+A page becomes a stream of block tags and text slots; stretches that repeat fold into
+groups. Pages of one host with the same folded stream count once. A host's streams are
+aligned one after another, in bounded groups and then the groups' results alike: what
+both have stays, a stretch that one lacks becomes one more turn of a repeated group or
+optional, and text that differs becomes a slot. The wrapper says for each slot where in
+the host's pages it lies, how long its text is and whether it differs from page to page,
+and so which slots hold the article.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -38,30 +39,36 @@ CLOSES_PARAGRAPH = frozenset(
 CHROME = frozenset("nav footer aside form button dialog menu head".split())
 MAIN = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Class and id words of what surrounds an article, and words that only may be: for these the wrapper decides.
 CHROME_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted
-    nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead topbar footer bottom sidebar side rail widget
-    notice notices cookie cookies consent gdpr privacy alert popup modal overlay paywall disclaimer copyright
-    comment comments reply replies disqus discussion respond feedback
-    share sharing social related recommended recommendations newsletter subscribe subscription signup login search form toolbar""".split()
+    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted
+    nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead topbar footer sidebar
+    cookie cookies consent gdpr paywall copyright
+    comment comments reply replies disqus respond newsletter subscribe subscription""".split()
 )
-MAIN_WORDS = frozenset("article post entry story content main body text".split())
+DOUBTFUL_WORDS = frozenset(
+    """banner promotion header widget notice notices privacy alert popup modal overlay disclaimer discussion feedback
+    share sharing social related recommended recommendations signup login search form toolbar side rail bottom""".split()
+)
+#: Words that may stand beside a doubtful one in a class name without changing what it says.
+BESIDE = frozenset("box bar block wrap wrapper container section area links buttons button list items posts articles stories page site post top left right inner".split())
 
 #: Wrappers of a host that one task aligns in one round, on average.
 TOGETHER = 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
-_MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Za-z]+")
 
 
 @dataclass
 class Block:
-    """A stretch of text between block tags, with where it lies."""
+    """A stretch of text between block tags, with where it lies: zone, and the doubtful element around it if there is one."""
 
     text: str
     zone: str
+    doubt: str = ""
 
 
 @dataclass
@@ -72,22 +79,33 @@ class Page:
     blocks: list[Block]
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool]:
-    """The element's own name from class and id, whether it says that it isn't content, and whether only a class or id word hints so."""
+def _says(name: str) -> tuple[bool, bool]:
+    """Whether a class or id name is that of chrome, and whether it is doubtful."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    if not words or {"article", "post", "entry"} & {*words}:
+        return False, False
+    if CHROME_WORDS & {*words}:
+        return True, False
+    return False, bool(DOUBTFUL_WORDS & {*words}) and all(w in DOUBTFUL_WORDS or w in BESIDE for w in words)
+
+
+def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
+    """The element's own name from class and id, whether it says that it isn't content, and whether a class or id word hints so or is doubtful."""
     if not attributes or attributes.isspace():
-        return "", False, False
-    named, chrome, hint = [], False, False
-    for key, a, b, c in _MARKS.findall(attributes):
+        return "", False, False, False
+    named, chrome, hint, doubt = [], False, False, False
+    for key, a, b, c in _ATTRIBUTE.findall(attributes):
         value, key = (a or b or c), key.lower()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             chrome = True
         elif key == "role":
             chrome |= value.lower() in ROLES
-        else:
+        elif key in ("class", "id"):
             named.append(value)
-            words = {w.lower() for w in _NAME.findall(value)}
-            hint |= bool(words & CHROME_WORDS) and not words & {"article", "post", "entry"}
-    return ".".join(re.sub(r"\d+", "0", v) for v in named), chrome, hint
+            for name in value.split():
+                says, may = _says(name)
+                hint, doubt = hint or says, doubt or may
+    return ".".join(re.sub(r"\s+", " ", re.sub(r"\d+", "0", v)).strip() for v in named), chrome, hint, doubt
 
 
 def _raw_end(html: str, name: str, start: int) -> int:
@@ -99,7 +117,8 @@ def read_page(html: str) -> Page:
     """Tokenise a page, however malformed: stray end tags are passed over, paragraphs close where HTML closes them."""
     stream: list[str] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []  # name and zone: chrome, main or plain; hinted (chrome by a word), inner (article or main in it)
+    # name, zone (chrome, main or plain; hinted: chrome by a word, inner: article or main in it) and the doubtful element around
+    stack: list[tuple[str, str, str]] = []
     parts: list[str] = []
 
     def zone() -> str:
@@ -109,7 +128,7 @@ def read_page(html: str) -> Page:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            blocks.append(Block(text, zone()))
+            blocks.append(Block(text, zone(), stack[-1][2] if stack else ""))
             stream.append("#")
 
     at, n = 0, len(html)
@@ -126,7 +145,7 @@ def read_page(html: str) -> Page:
             if not text.startswith(("<!", "<?")):
                 parts.append(text)
             elif text.startswith("<![CDATA["):
-                parts.append(entities.escape(text[9:-3]))
+                parts.append(entities.escape(text[9:].removesuffix("]]>")))
             continue
         name, closing, attributes = name.lower(), bool(token.group(1)), token.group(3)
         if name in RAW and not closing:
@@ -135,10 +154,10 @@ def read_page(html: str) -> Page:
             continue
         if name in INLINE:
             if not closing:
-                label, chrome, hint = _marks(attributes)
+                label, chrome, hint, _ = _marks(attributes)
                 if chrome or hint:  # an inline advert or button: treat as a block
                     flush()
-                    stack.append((name, "chrome"))
+                    stack.append((name, "chrome", ""))
                     stream.append(f"<{name}.{label}>")
             elif any(s[0] == name for s in stack):
                 flush()
@@ -154,7 +173,7 @@ def read_page(html: str) -> Page:
                 continue
             if any(s[0] == name for s in stack):
                 while True:
-                    gone, _ = stack.pop()
+                    gone = stack.pop()[0]
                     stream.append(f"</{gone}>")
                     if gone == name:
                         break
@@ -163,7 +182,7 @@ def read_page(html: str) -> Page:
             if name in names and stack and stack[-1][0] == closer:
                 stack.pop()
                 stream.append(f"</{closer}>")
-        label, chrome, hint = _marks(attributes)
+        label, chrome, hint, doubt = _marks(attributes)
         above = zone()
         if above == "chrome" or chrome or name in CHROME or name == "header" and above not in ("main", "inner"):
             own = "chrome"
@@ -177,9 +196,13 @@ def read_page(html: str) -> Page:
             own = "main"
         else:
             own = "plain"
-        stack.append((name, own))
+        around = stack[-1][2] if stack else ""
+        if doubt and name not in ("html", "body") and own != "chrome" and not around:
+            around = f"{name}.{label}"
+        stack.append((name, own, around))
         stream.append(f"<{name}.{label}>" if label else f"<{name}>")
     flush()
+    stream.extend(f"</{name}>" for name, *_ in reversed(stack))
     # an article in an element that a word makes chrome is the page's article if there is no other
     inner = "chrome" if any(b.zone == "main" for b in blocks) else "main"
     for block in blocks:
@@ -187,34 +210,68 @@ def read_page(html: str) -> Page:
     return Page(stream, blocks)
 
 
-def fold(stream: list[str], widest: int = 8) -> tuple[list[str], list[int]]:
-    """Fold stretches that repeat side by side into one marked with '+', and give each token's place in the folded stream.
-
-    Widths go from one token up; folded stretches may lie inside wider ones.
+@dataclass
+class _Unit:
+    """A folded subtree: its tokens without repeat marks as one string, the tokens, and the places in the stream that each stands for."""
+
+    key: str
+    tokens: list[str]
+    members: list[list[int]]
+
+
+def _folded(units: list[_Unit]) -> tuple[list[str], list[list[int]]]:
+    """Stretches of siblings that repeat side by side, of any length, as one stretch marked with '+'."""
+    keys = [u.key for u in units]
+    later: dict[str, int] = {}
+    distance = [0] * len(keys)
+    for k in range(len(keys) - 1, -1, -1):
+        distance[k] = later.get(keys[k], k) - k
+        later[keys[k]] = k
+    tokens: list[str] = []
+    members: list[list[int]] = []
+    k = 0
+    while k < len(units):
+        width, stop = distance[k], k + 1
+        if width and keys[k : k + width] == keys[k + width : k + 2 * width]:
+            stop = k + 2 * width
+            while keys[stop : stop + width] == keys[k : k + width]:
+                stop += width
+        for j in range(k, k + width if stop > k + 1 else stop):
+            same = units[j:stop:width] if stop > k + 1 else [units[j]]
+            for n, token in enumerate(same[0].tokens):
+                repeats = stop > k + 1 or any(u.tokens[n].endswith("+") for u in same)
+                tokens.append(token.removesuffix("+") + "+" * repeats)
+                members.append([t for u in same for t in u.members[n]])
+        k = stop
+    return tokens, members
+
+
+def fold(stream: list[str]) -> tuple[list[str], list[int]]:
+    """Fold subtrees and stretches of them that repeat side by side, and give each token's place in the folded stream.
+
+    Equal subtrees fold from the leaves up, so that folded stretches may lie inside
+    wider ones. A stretch may be of any number of tokens.
     """
-    tokens, members = list(stream), [[k] for k in range(len(stream))]
-    for width in range(1, widest + 1):
-        out: list[str] = []
-        held: list[list[int]] = []
-        k = 0
-        while k < len(tokens):
-            group = [t.removesuffix("+") for t in tokens[k : k + width]]
-            m = k + width
-            whole = len(group) == width and _balanced(group)
-            merged = [list(x) for x in members[k : k + width]]
-            while whole and [t.removesuffix("+") for t in tokens[m : m + width]] == group:
-                for x, more in zip(merged, members[m : m + width], strict=True):
-                    x.extend(more)
-                m += width
-            if whole and m > k + width:
-                out += [t.removesuffix("+") + "+" for t in tokens[k : k + width]]
-                held += merged
-                k = m
-            else:
-                out.append(tokens[k])
-                held.append(members[k])
-                k += 1
-        tokens, members = out, held
+    levels: list[list[_Unit]] = [[]]
+    opened: list[int] = []
+    for k, token in enumerate(stream):
+        if token.startswith("</") and opened:
+            start = opened.pop()
+            tokens, members = _folded(levels.pop())
+            tokens, members = [stream[start], *tokens, token], [[start], *members, [k]]
+            key = xxhash.xxh128_hexdigest("\n".join(t.removesuffix("+") for t in tokens))
+            levels[-1].append(_Unit(key, tokens, members))
+        elif token.startswith("<") and not token.startswith("</"):
+            opened.append(k)
+            levels.append([])
+        else:
+            levels[-1].append(_Unit(token, [token], [[k]]))
+    while opened:  # elements without an end
+        start = opened.pop()
+        tokens, members = _folded(levels.pop())
+        levels[-1].append(_Unit(stream[start], [stream[start]], [[start]]))
+        levels[-1].extend(_Unit(t, [t], [m]) for t, m in zip(tokens, members, strict=True))
+    tokens, members = _folded(levels[0])
     place = [0] * len(stream)
     for k, group in enumerate(members):
         for t in group:
@@ -222,22 +279,9 @@ def fold(stream: list[str], widest: int = 8) -> tuple[list[str], list[int]]:
     return tokens, place
 
 
-def _balanced(group: list[str]) -> bool:
-    open_: list[str] = []
-    for t in group:
-        if t == "#":
-            continue
-        if t.startswith("</"):
-            if not open_ or open_.pop() != t[2:-1]:
-                return False
-        else:
-            open_.append(re.split(r"[.>]", t[1:], maxsplit=1)[0])
-    return not open_
-
-
 @dataclass
 class Node:
-    """A place of a wrapper: a tag or a slot, whether it is optional or repeats, and its zone votes."""
+    """A place of a wrapper: a tag or a slot, whether it is optional or repeats, and for a slot where it lies, how its text differs and how long it is in all."""
 
     token: str
     optional: bool = False
@@ -246,10 +290,19 @@ class Node:
     constant: int | None = None
     zone: str = "plain"
     varies: bool = False
+    chars: int = 0
+
+    @property
+    def doubt(self) -> str:
+        return self.zone.partition("~")[2]
 
 
 def align(wrapper: list[Node], stream: list[Node]) -> list[Node]:
-    """The wrapper that covers both: a longest common subsequence kept, everything else optional."""
+    """The wrapper that covers both: a longest common subsequence kept, mismatches resolved.
+
+    A stretch that only one side has is one more turn of a group if it repeats, tag by
+    tag, what stands right before it; else it is optional.
+    """
     a, b = len(wrapper), len(stream)
     # what both begin and end with needs no table
     head = 0
@@ -267,59 +320,79 @@ def align(wrapper: list[Node], stream: list[Node]) -> list[Node]:
         reached = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (columns == rows[i]))
         best[i, :-1] = np.maximum.accumulate(reached[::-1])[::-1]
     out = [_join(p, q) for p, q in zip(wrapper[:head], stream[:head], strict=True)]
+    extra: list[Node] = []  # a stretch that one side lacks
+
+    def resolve() -> None:
+        before = out[len(out) - len(extra) :]
+        if extra and len(before) == len(extra) and all(_same(p, q) for p, q in zip(before, extra, strict=True)) and _balanced(extra):
+            out[len(out) - len(extra) :] = [replace(_join(p, q), repeats=True, pages=max(p.pages, q.pages)) for p, q in zip(before, extra, strict=True)]
+        else:
+            out.extend(replace(p, optional=True) for p in extra)
+        extra.clear()
+
     i = j = 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and _same(x[i], y[j]):
+            resolve()
             out.append(_join(x[i], y[j]))
             i, j = i + 1, j + 1
         elif j == len(y) or i < len(x) and best[i + 1, j] >= best[i, j + 1]:
-            x[i].optional = True
-            out.append(x[i])
+            extra.append(x[i])
             i += 1
         else:
-            y[j].optional = True
-            out.append(y[j])
+            extra.append(y[j])
             j += 1
+    resolve()
     out += [_join(p, q) for p, q in zip(wrapper[a - tail :] if tail else [], stream[b - tail :] if tail else [], strict=True)]
     return out
 
 
+def _balanced(nodes: list[Node]) -> bool:
+    depth = 0
+    for node in nodes:
+        depth += 0 if node.token == "#" else -1 if node.token.startswith("</") else 1
+        if depth < 0:
+            return False
+    return depth == 0
+
+
 def _same(a: Node, b: Node) -> bool:
     return a.token == b.token and a.zone == b.zone
 
 
 def _join(a: Node, b: Node) -> Node:
     varies = a.varies or b.varies or a.constant != b.constant
-    return Node(a.token, a.optional or b.optional, a.repeats or b.repeats, a.pages + b.pages, a.constant, a.zone, varies)
+    return Node(a.token, a.optional or b.optional, a.repeats or b.repeats, a.pages + b.pages, a.constant, a.zone, varies, a.chars + b.chars)
 
 
 def signature(html: str) -> tuple[list[str], list[Block], list[int], list[int]]:
-    """Folded tokens, blocks, the folded place of each block, and a hash of each folded place's text (0: differs or none)."""
+    """Folded tokens (slots with their zones), blocks, and for each folded place a hash of its text (0: differs or none) and the length of all of it."""
     page = read_page(html)
     folded, place = fold(page.stream)
     slots = [k for k, t in enumerate(page.stream) if t == "#"]
-    where = [place[k] for k in slots]
     zones = ["" for _ in folded]
-    texts = [0] * len(folded)
+    texts, chars = [0] * len(folded), [0] * len(folded)
     many = [False] * len(folded)
-    for block, k in zip(page.blocks, where, strict=True):
-        zones[k] = block.zone
+    for block, at in zip(page.blocks, slots, strict=True):
+        k = place[at]
+        zones[k] = block.zone + ("~" + block.doubt if block.doubt else "")
         value = xxhash.xxh64_intdigest(block.text.encode()) >> 1
         many[k] |= texts[k] not in (0, value)
         texts[k] = value
-    return [t + "|" + z if z else t for t, z in zip(folded, zones, strict=True)], page.blocks, where, [0 if m else t for m, t in zip(many, texts, strict=True)]
+        chars[k] += len(block.text)
+    return [t + "|" + z if z else t for t, z in zip(folded, zones, strict=True)], page.blocks, [0 if m else t for m, t in zip(many, texts, strict=True)], chars
 
 
-def nodes_of(tokens: list[str], pages: int, texts: list[int], varies: list[bool]) -> list[Node]:
+def nodes_of(tokens: list[str], pages: int, texts: list[int], varies: list[bool], chars: list[int] | None = None) -> list[Node]:
     """The wrapper of one folded stream."""
     nodes = []
-    for t, value, other in zip(tokens, texts, varies, strict=True):
-        token, _, zone = t.partition("|")
-        nodes.append(Node(token.removesuffix("+"), repeats=token.endswith("+"), pages=pages, constant=value, zone=zone, varies=other or value == 0))
+    for t, value, other, n in zip(tokens, texts, varies, chars or [0] * len(tokens), strict=True):
+        token, _, zone = t.partition("|") if t.startswith("#") else (t, "", "")
+        nodes.append(Node(token.removesuffix("+"), repeats=token.endswith("+"), pages=pages, constant=value, zone=zone, varies=other or value == 0, chars=n))
     return nodes
 
 
-def infer(streams: list[tuple[list[str], int, list[int], list[bool]]]) -> list[Node]:
+def infer(streams: list[tuple]) -> list[Node]:
     """A host's wrapper from its distinct folded streams (tokens, pages, text hashes, whether texts vary), the most frequent first."""
     return merge([nodes_of(*s) for s in streams])
 
@@ -332,18 +405,35 @@ def merge(wrappers: list[list[Node]]) -> list[Node]:
     return out
 
 
-def content_zones(wrapper: list[Node], least_pages: int = 3) -> tuple[set[str], set[int]]:
-    """The zones of a host that hold articles, and hashes of the template's own texts.
+def article_slots(wrapper: list[Node], least_pages: int = 3) -> tuple[str, set[int], set[str]]:
+    """What of a host's pages is the article: its zone, hashes of the template's own texts, and the doubtful elements that belong to it.
 
-    A host with an article or main element gives those; any other gives its plain
-    slots. Outside the article, text that ``least_pages`` pages of different
-    content or more share word for word belongs to the template; copies of a page
-    are one content.
+    Of the zones, the one whose slots hold most of the text that differs from page to
+    page is the article's: with an article or main element on most pages that is
+    ``main``, on other hosts ``plain``. Text there that ``least_pages`` pages of
+    different content or more share word for word belongs to the template, unless an
+    article element says that it doesn't; copies of a page are one content. A doubtful
+    element is part of the article if its text differs between contents and is, slot by
+    slot, at least half as long as the article's other text.
     """
     slots = [n for n in wrapper if n.token == "#"]
-    zones = {"main"} if any(n.zone == "main" for n in slots) else {"plain"}
+
+    def mass(zone: str) -> int:
+        return sum(n.chars for n in slots if n.zone.partition("~")[0] == zone and (n.varies or n.pages < least_pages))
+
+    has_main = max((n.pages for n in slots if n.zone.partition("~")[0] == "main"), default=0)
+    most = max((n.pages for n in slots), default=0)
+    zone = "main" if mass("main") and (2 * has_main >= most or mass("main") >= mass("plain")) else "plain"
+    inside = [n for n in slots if n.zone.partition("~")[0] == zone]
+    sure = [n for n in inside if not n.doubt]
+    usual = sum(n.chars for n in sure) / max(1, sum(n.pages for n in sure))
+    kept = set()
+    for name in sorted({n.doubt for n in inside if n.doubt}):
+        its = [n for n in inside if n.doubt == name]
+        if not sure or any(n.varies and n.pages > 1 for n in its) and sum(n.chars for n in its) >= 0.5 * usual * sum(n.pages for n in its):
+            kept.add(name)
     own = {n.constant for n in slots if n.zone == "plain" and not n.varies and n.pages >= least_pages and n.constant}
-    return zones, own
+    return zone, own, kept
 
 
 def _host(url: str):
@@ -351,11 +441,11 @@ def _host(url: str):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """Per host: host, wrapper (its text), zones and template (hashes of its own texts).
+    """Per host: host, wrapper (its text), and what ``article_slots`` says: zone, template (hashes of its own texts) and doubtful elements.
 
     Pages become folded streams where they lie; a host's equal streams are summed
-    before anything meets in one task, with the least and greatest hash of each
-    slot, so a host of very many pages brings one row per distinct stream. Streams
+    before anything meets in one task, with the least and greatest hash and the length
+    of each slot, so a host of very many pages brings one row per distinct stream. Streams
     of a host align in groups of about ``TOGETHER`` first, and the groups' wrappers
     in groups again, round by round, until each host has one.
     """
@@ -364,29 +454,30 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in pieces(batches, "html"):
             seen: dict[tuple[str, str], list] = {}
             for host, text in zip(batch.column("host").to_pylist(), texts_of(batch, "html").to_pylist(), strict=True):
-                tokens, blocks, _, texts = signature(text)
+                tokens, blocks, texts, chars = signature(text)
                 key = (host, "\n".join(tokens))
-                low, high, contents = seen.setdefault(key, [texts, texts, set()])
-                contents.add(xxhash.xxh64_intdigest("\n".join(b.text for b in blocks).encode()) >> 1)
-                seen[key] = [[min(p) for p in zip(low, texts, strict=True)], [max(p) for p in zip(high, texts, strict=True)], contents]
+                low, high, size, contents = seen.setdefault(key, [texts, texts, [0] * len(texts), set()])
+                content = xxhash.xxh64_intdigest("\n".join(b.text for b in blocks).encode()) >> 1
+                size = size if content in contents else [p + q for p, q in zip(size, chars, strict=True)]
+                seen[key] = [[min(p) for p in zip(low, texts, strict=True)], [max(p) for p in zip(high, texts, strict=True)], size, contents | {content}]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string()), pa.array([v[0] for v in seen.values()], pa.list_(pa.int64())), pa.array([v[1] for v in seen.values()], pa.list_(pa.int64())), pa.array([sorted(v[2]) for v in seen.values()], pa.list_(pa.int64()))],
-                names=["host", "stream", "low", "high", "contents"],
+                [pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string()), pa.array([v[0] for v in seen.values()], pa.list_(pa.int64())), pa.array([v[1] for v in seen.values()], pa.list_(pa.int64())), pa.array([v[2] for v in seen.values()], pa.list_(pa.int64())), pa.array([sorted(v[3]) for v in seen.values()], pa.list_(pa.int64()))],
+                names=["host", "stream", "low", "high", "chars", "contents"],
             )
 
-    streams = pages.select(_host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, stream string, low array<long>, high array<long>, contents array<long>")
+    streams = pages.select(_host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, stream string, low array<long>, high array<long>, chars array<long>, contents array<long>")
     streams = write_table(streams.withColumn("shape", F.xxhash64("stream")), "streams")
     # equal texts in several shapes are still one content: it counts for one of them
     pages_of = streams.select("host", "shape", F.explode("contents").alias("content")).groupBy("host", "content").agg(F.min("shape").alias("shape")).groupBy("host", "shape").agg(F.count("*").alias("pages"))
-    slots = streams.select("host", "stream", "shape", F.posexplode(F.arrays_zip("low", "high")).alias("k", "x"))
-    slots = slots.groupBy("host", "stream", "shape", "k").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
-    distinct = slots.groupBy("host", "stream", "shape").agg(F.sort_array(F.collect_list(F.struct("k", "low", "high"))).alias("slots"))
+    slots = streams.select("host", "stream", "shape", F.posexplode(F.arrays_zip("low", "high", "chars")).alias("k", "x"))
+    slots = slots.groupBy("host", "stream", "shape", "k").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"), F.sum("x.chars").alias("chars"))
+    distinct = slots.groupBy("host", "stream", "shape").agg(F.sort_array(F.collect_list(F.struct("k", "low", "high", "chars"))).alias("slots"))
     distinct = distinct.join(pages_of, ["host", "shape"], "left").select("host", "shape", "stream", "slots", F.coalesce("pages", F.lit(0)).alias("pages"))
 
     def single(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for found in parts:
             made = [
-                _packed(nodes_of(stream.split("\n"), int(n), [s["low"] for s in slots], [s["low"] != s["high"] for s in slots]))
+                _packed(nodes_of(stream.split("\n"), int(n), [s["low"] for s in slots], [s["low"] != s["high"] for s in slots], [int(s["chars"]) for s in slots]))
                 for stream, n, slots in zip(found["stream"], found["pages"], found["slots"], strict=True)
             ]
             yield pd.DataFrame({"host": found["host"], "shape": found["shape"], "pages": found["pages"], "nodes": made})
@@ -396,11 +487,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def described(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for found in parts:
             made = [_unpacked(x) for x in found["nodes"]]
-            chosen = [content_zones(w) for w in made]
+            chosen = [article_slots(w) for w in made]
             texts = [" ".join(("(" + n.token + ")" + "+" * n.repeats + "?" * n.optional) for n in w) for w in made]
-            yield pd.DataFrame({"host": found["host"], "wrapper": texts, "zones": [sorted(z) for z, _ in chosen], "template": [sorted(o) for _, o in chosen]})
+            yield pd.DataFrame({"host": found["host"], "wrapper": texts, "zone": [z for z, _, _ in chosen], "template": [sorted(o) for _, o, _ in chosen], "kept": [sorted(k) for _, _, k in chosen]})
 
-    return aligned.mapInPandas(described, "host string, wrapper string, zones array<string>, template array<long>")
+    return aligned.mapInPandas(described, "host string, wrapper string, zone string, template array<long>, kept array<string>")
 
 
 WRAPPERS = "host string, shape long, pages long, nodes string"
@@ -439,29 +530,29 @@ def aligned_in_rounds(wrappers: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars.
 
-    The host's wrapper says which zones hold articles; a page without such a zone
-    gives its plain text instead. Null html counts as empty and gives an empty
-    text; a null or odd url belongs to the host ''. Repeated ids give a row each.
+    The host's wrapper says which slots hold the article; a page without such slots
+    gives its other text outside chrome instead. Null html counts as empty and gives
+    an empty text; a null or odd url belongs to the host ''. Repeated ids give a row each.
     """
-    learned = write_table(wrappers(pages).select("host", "zones", "template"), "wrappers").withColumnRenamed("host", "__host")
+    learned = write_table(wrappers(pages).select("host", "zone", "template", "kept"), "wrappers").withColumnRenamed("host", "__host")
     met = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host("url").alias("host"))
-    met = met.join(learned, met.host == learned["__host"], "left").select("page_id", "url", "html", "zones", "template")
+    met = met.join(learned, met.host == learned["__host"], "left").select("page_id", "url", "html", "zone", "template", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
-            out = []
-            for text, zones, own in zip(texts_of(batch, "html").to_pylist(), batch.column("zones").to_pylist(), batch.column("template").to_pylist(), strict=True):
-                out.append(main_text(text, set(zones or ["main"]), set(own or ())))
+            columns = (batch.column(c).to_pylist() for c in ("zone", "template", "kept"))
+            out = [main_text(text, zone or "main", set(own or ()), set(kept or ())) for text, zone, own, kept in zip(texts_of(batch, "html").to_pylist(), *columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
     return met.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
-def main_text(html: str, zones: set[str], own: set[int]) -> str:
+def main_text(html: str, zone: str = "main", own: set[int] = frozenset(), kept: set[str] = frozenset()) -> str:
+    """Text of the article's slots: those of ``zone``, without the template's own texts and doubtful elements other than ``kept``."""
     blocks = read_page(html).blocks
-    chosen = [b for b in blocks if b.zone in zones]
-    if not chosen:
-        chosen = [b for b in blocks if b.zone == "main"] or [b for b in blocks if b.zone == "plain"]
-    kept = [b.text for b in chosen if b.zone == "main" or not own or (xxhash.xxh64_intdigest(b.text.encode()) >> 1) not in own]
-    return " ".join(kept)
+    for chosen in (zone, "main", "plain"):
+        found = [b for b in blocks if b.zone == chosen and (not b.doubt or b.doubt in kept)] or [b for b in blocks if b.zone == chosen]
+        if found:
+            break
+    return " ".join(b.text for b in found if b.zone == "main" or not own or (xxhash.xxh64_intdigest(b.text.encode()) >> 1) not in own)

@@ -88,7 +88,7 @@ ARTICLE = "<article><h1>Title &amp; more</h1><p>First <b>bold</b>&nbsp;text.<br>
     ],
 )
 def test_main_text(page, text):
-    assert html.main_text(page, {"main"}, set()) == text
+    assert html.main_text(page) == text
 
 
 @pytest.mark.parametrize(
@@ -98,21 +98,66 @@ def test_main_text(page, text):
         ("<div class='content sidebar-left'><article><p>kept</p><div class=share>Share</div></article></div>", "kept"),
         ("<article>kept</article><div class=related><article>other</article></div>", "kept"),
         ("<div role=navigation><article>menu</article></div><p>kept</p>", "kept"),
+        ('<article><div style="overflow: hidden">kept</div></article>', "kept"),
+        ('<article><p data-role="dialog">kept</p></article>', "kept"),
+        ('<article><p class="margin-bottom">kept</p></article>', "kept"),
+        ("<article><p>kept</p><div class='share-buttons'>Share</div><div id=cookie-notice>We use</div></article>", "kept"),
+        ("<article><![CDATA[abcdef", "abcdef"),
     ],
 )
 def test_class_words_only_hint(page, text):
-    assert html.main_text(page, {"main"}, set()) == text
+    assert html.main_text(page) == text
 
 
 def test_wrapper_of_a_host():
     one = html.signature("<nav><a>m</a></nav><article><h1>a</h1><p>x</p><p>y</p></article><div>Imprint</div>")
     two = html.signature("<nav><a>m</a></nav><article><h1>b</h1><p>z</p></article><div>Imprint</div><section>extra</section>")
-    streams = [(tokens, 5, texts, [False] * len(tokens)) for tokens, _, _, texts in (one, two)]
+    streams = [(tokens, 5, texts, [False] * len(tokens), chars) for tokens, _, texts, chars in (one, two)]
     wrapper = html.infer(streams)
     shown = [n.token for n in wrapper if not n.optional]
     assert "<article>" in shown and any(n.repeats for n in wrapper) and any(n.optional for n in wrapper)
-    zones, own = html.content_zones(wrapper)
-    assert zones == {"main"} and html.xxhash.xxh64_intdigest(b"Imprint") >> 1 in own
+    zone, own, _ = html.article_slots(wrapper)
+    assert zone == "main" and html.xxhash.xxh64_intdigest(b"Imprint") >> 1 in own
+
+
+def test_mismatches_become_groups_or_optional():
+    def shown(*pages):
+        made = [html.signature(p) for p in pages]
+        return [n.token + "+" * n.repeats + "?" * n.optional for n in html.infer([(t, 1, x, [False] * len(t), c) for t, _, x, c in made])]
+
+    row = "<dl><dt>k</dt><dd><b>v</b></dd></dl>"
+    assert shown("<ul><li>a</li></ul>", "<ul><li>a</li><li>b</li><li>c</li></ul>") == ["<ul>", "<li>+", "#+", "</li>+", "</ul>"]
+    assert shown(f"<div>{row}</div>", f"<div>{row}<hr>{row}</div>", "<div></div>")[1:-1] == [t + "+?" for t in ("<dl>", "<dt>", "#", "</dt>", "<dd>", "#", "</dd>", "</dl>")]
+    assert shown("<div><p>a</p></div>", "<div><p>a</p><pre>x</pre></div>") == ["<div>", "<p>", "#", "</p>", "<pre>?", "#?", "</pre>?", "</div>"]
+    wide = "<section><h2>t</h2><p>a</p><ul><li>x</li></ul><table><tr><td>c</td></tr></table></section>"
+    assert all(t.endswith("+") for t in shown(f"<div>{wide * 3}</div>")[1:-1])
+    one = [html.Node(t) for t in ("<p>", "#", "</p>")]
+    two = [html.Node(t) for t in ("<p>", "#", "</p>", "<p>", "#", "</p>")]
+    assert [n.repeats for n in html.align(one, two)] == [True] * 3
+
+
+def test_the_wrapper_decides_about_doubtful_elements(spark):
+    story = "<article><h1>t{0}</h1><div class='notice'><p>long text of the story number {0} in a box of its own</p></div><p>text number {0} is long too</p><div class=share>Share this</div></article>"
+    short = "<article><p>a long text with very many words about the matter {0} and more of it</p><div class=related>see {0}</div></article>"
+    rows = [(k, f"http://boxed.example/{k}", story.format(k)) for k in range(5)] + [(10 + k, f"http://short.example/{k}", short.format(k)) for k in range(5)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == f"t{k} long text of the story number {k} in a box of its own text number {k} is long too" for k in range(5))
+    assert all(out[10 + k] == f"a long text with very many words about the matter {k} and more of it" for k in range(5))
+
+
+def test_every_page_against_a_plain_cut(spark, sf):
+    """The table's pages have one article element each; its text cut out with regular expressions must be what the operator finds."""
+    import html as entities
+    import re
+
+    pages = {r.page_id: r.html or "" for r in queries.table(spark, sf, "pages").collect()}
+    out = {r.page_id: r for r in queries.op5_html_extraction(spark, sf).collect()}
+    assert set(out) == set(pages)
+    for page_id, text in pages.items():
+        inner = re.search(r"<article[^>]*>(.*?)(?:</article>|<footer|\Z)", text, re.S)[1]
+        inner = re.sub(r"<!--.*?-->|<(script|style|form)\b.*?</\1>|</?(?:b|i|a|em|strong|span|u)\b[^>]*>", "", inner, flags=re.S)
+        want = " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+        assert (out[page_id].text, out[page_id].n_chars) == (want, len(want))
 
 
 def test_plain_hosts_lose_their_template(spark):
