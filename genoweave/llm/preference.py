@@ -10,8 +10,13 @@ TURN = ("<|", "|>\n", "\n<|end|>\n")
 TRAINED_ROLE = "assistant"
 
 
+def _escaped(text: Column) -> Column:
+    """Null as empty; '<|' as '<||', so that no text can hold a mark."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<||"))
+
+
 def _rendered(turn: Column) -> Column:
-    return F.concat(F.lit(TURN[0]), F.coalesce(turn["role"], F.lit("")), F.lit(TURN[1]), F.coalesce(turn["text"], F.lit("")), F.lit(TURN[2]))
+    return F.concat(F.lit(TURN[0]), _escaped(turn["role"]), F.lit(TURN[1]), _escaped(turn["text"]), F.lit(TURN[2]))
 
 
 def turn_lists(conversations: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def neighbouring_pairs(conversations: DataFrame) -> DataFrame:
     """
     lists = turn_lists(conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text"))
     even = F.pmod("conv_id", F.lit(2)) == 0
-    return lists.groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).agg(
+    return lists.groupBy(F.expr("cast((conv_id - pmod(conv_id, 2)) div 2 as bigint)").alias("pair_id")).agg(
         F.first(F.when(even, F.col("turns")), ignorenulls=True).alias("chosen"),
         F.first(F.when(~even, F.col("turns")), ignorenulls=True).alias("rejected"),
     )
@@ -87,8 +92,13 @@ def trained_chars(mask: Column) -> Column:
     return F.aggregate(mask, F.lit(0).cast("long"), lambda a, m: a + F.when(m["trained"], m["chars"]).otherwise(0))
 
 
+def mask_text(mask: Column) -> Column:
+    """A mask as text: the length of each stretch, ':' and 1 where it is trained on or 0, parted by commas."""
+    return F.array_join(F.transform(mask, lambda m: F.concat(m["chars"].cast("string"), F.lit(":"), m["trained"].cast("int").cast("string"))), ",")
+
+
 def preference_report(conversations: DataFrame) -> DataFrame:
-    """Per pair: pair_id, n_shared, the three texts, and how many characters of each completion are trained on."""
+    """Per pair: pair_id, n_shared, the three texts, both masks, and how many characters of each completion are trained on."""
     out = format_pairs(neighbouring_pairs(conversations))
     return out.select(
         "pair_id",
@@ -96,6 +106,8 @@ def preference_report(conversations: DataFrame) -> DataFrame:
         "prompt",
         "chosen",
         "rejected",
+        mask_text(F.col("chosen_mask")).alias("chosen_mask"),
+        mask_text(F.col("rejected_mask")).alias("rejected_mask"),
         trained_chars(F.col("chosen_mask")).alias("chosen_trained"),
         trained_chars(F.col("rejected_mask")).alias("rejected_trained"),
     )
@@ -103,10 +115,10 @@ def preference_report(conversations: DataFrame) -> DataFrame:
 
 PREFERENCE_SQL = """
 with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as k,
-    role, text, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) as shown
+    role, text, '<|' || replace(coalesce(role, ''), '<|', '<||') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<||') || chr(10) || '<|end|>' || chr(10) as shown
     from conversations where conv_id is not null),
-c as (select floor(conv_id / 2)::bigint as pair_id, * from t where conv_id % 2 = 0),
-r as (select floor(conv_id / 2)::bigint as pair_id, * from t where conv_id % 2 <> 0),
+c as (select conv_id // 2 as pair_id, * from t where conv_id % 2 = 0),
+r as (select (conv_id - (conv_id % 2 + 2) % 2) // 2 as pair_id, * from t where conv_id % 2 <> 0),
 ids as (select pair_id from c union select pair_id from r),
 agree as (select pair_id, k, bool_and(same) over (partition by pair_id order by k) as so_far from (
     select c.pair_id, c.k, c.role is not distinct from r.role and c.text is not distinct from r.text as same
@@ -114,11 +126,13 @@ agree as (select pair_id, k, bool_and(same) over (partition by pair_id order by
 n as (select ids.pair_id, coalesce((select count(*) from agree a where a.pair_id = ids.pair_id and a.so_far), 0) as n from ids),
 cs as (select n.pair_id, coalesce(string_agg(shown, '' order by k) filter (k <= n), '') as prompt,
     coalesce(string_agg(shown, '' order by k) filter (k > n), '') as chosen,
+    coalesce(string_agg(length(shown) || ':' || (coalesce(role, '') = 'assistant')::int, ',' order by k) filter (k > n), '') as cm,
     coalesce(sum(length(shown)) filter (k > n and role = 'assistant'), 0) as ct
     from n left join c on c.pair_id = n.pair_id group by n.pair_id),
 rs as (select n.pair_id, coalesce(string_agg(shown, '' order by k) filter (k > n), '') as rejected,
+    coalesce(string_agg(length(shown) || ':' || (coalesce(role, '') = 'assistant')::int, ',' order by k) filter (k > n), '') as rm,
     coalesce(sum(length(shown)) filter (k > n and role = 'assistant'), 0) as rt
     from n left join r on r.pair_id = n.pair_id group by n.pair_id)
-select n.pair_id, n.n::bigint as n_shared, cs.prompt, cs.chosen, rs.rejected, cs.ct::bigint as chosen_trained, rs.rt::bigint as rejected_trained
+select n.pair_id, n.n::bigint as n_shared, cs.prompt, cs.chosen, rs.rejected, cs.cm as chosen_mask, rs.rm as rejected_mask, cs.ct::bigint as chosen_trained, rs.rt::bigint as rejected_trained
 from n join cs on cs.pair_id = n.pair_id join rs on rs.pair_id = n.pair_id
 """

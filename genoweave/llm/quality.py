@@ -168,9 +168,10 @@ class Condition:
 
 @dataclass(frozen=True)
 class Rule:
-    """Texts that meet all conditions are rejected."""
+    """Texts that meet all conditions are rejected, or kept whatever later rules say."""
 
     conditions: tuple[Condition, ...]
+    rejects: bool = True
 
     def holds(self, table: dict[str, np.ndarray]) -> np.ndarray:
         out = np.ones(len(next(iter(table.values()))), bool)
@@ -189,14 +190,14 @@ def _information(p: float, n: float) -> float:
     return np.log2(p / (p + n))
 
 
-def _grow(table: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.ndarray], most: int) -> Rule | None:
-    """Add the condition of greatest information gain until no good text is covered."""
-    covered, chosen = np.ones(len(bad), bool), []
-    while len(chosen) < most and (covered & ~bad).any():
-        p0, n0 = float((covered & bad).sum()), float((covered & ~bad).sum())
+def _grow(table: dict[str, np.ndarray], wanted: np.ndarray, cuts: dict[str, np.ndarray], most: int) -> tuple[Condition, ...]:
+    """Add the condition of greatest information gain until only ``wanted`` texts are covered."""
+    covered, chosen = np.ones(len(wanted), bool), []
+    while len(chosen) < most and (covered & ~wanted).any() and (covered & wanted).any():
+        p0, n0 = float((covered & wanted).sum()), float((covered & ~wanted).sum())
         best = (1e-9, None)
         for name, thresholds in cuts.items():
-            values, y = table[name][covered], bad[covered]
+            values, y = table[name][covered], wanted[covered]
             order = np.argsort(values, kind="stable")
             below = np.concatenate([[0], np.cumsum(y[order])])
             at = np.searchsorted(values[order], thresholds, side="right")
@@ -212,22 +213,27 @@ def _grow(table: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.ndar
             break
         chosen.append(best[1])
         covered &= best[1].holds(table)
-    return Rule(tuple(chosen)) if chosen else None
+    if not chosen and wanted.all():  # whatever is left
+        chosen.append(Condition(next(iter(cuts)), True, float("-inf")))
+    return tuple(chosen)
 
 
 def _worth(rule: Rule, table: dict[str, np.ndarray], bad: np.ndarray) -> float:
+    """Precision of the rule on these texts, damped."""
     hit = rule.holds(table)
-    return (float((hit & bad).sum()) + 1) / (float(hit.sum()) + 2)
+    return (float((hit & (bad == rule.rejects)).sum()) + 1) / (float(hit.sum()) + 2)
 
 
 def learn(
     table: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = 0.9, most_rules: int = 12, most_conditions: int = 4
 ) -> list[Rule]:
-    """Sequential covering: grow a rule on two rows of three, prune it on the third, take away what it covers.
+    """Sequential covering: grow rules on two rows of three, prune them on the third, take away what the better one covers.
 
-    ``table`` has one array per feature and ``bad`` marks texts to reject. A rule
-    whose precision on the pruning rows falls below ``least_precision`` ends the
-    list. No labelled rows, or labels of one kind only, give no rules.
+    ``table`` has one array per feature and ``bad`` marks texts to reject. Each turn
+    grows a rule that rejects; where that does not reach ``least_precision`` on the
+    pruning rows, one that keeps, so that later rules see the rest alone. When neither
+    does the list ends; keeping rules at its end say nothing and go. No labelled rows,
+    or labels of one kind only, give no rules.
     """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
@@ -244,15 +250,20 @@ def learn(
         pruned = {k: v[left & fold] for k, v in table.items()}
         if not bad[left & ~fold].any() or bad.all():
             break
-        rule = _grow(grown, bad[left & ~fold], cuts, most_conditions)
+        rule = None
+        for rejects in (True, False):
+            whole = _grow(grown, bad[left & ~fold] == rejects, cuts, most_conditions)
+            options = [Rule(whole[:k], rejects) for k in range(1, len(whole) + 1)]
+            best = max(options, key=lambda r: (_worth(r, pruned, bad[left & fold]), -len(r.conditions)), default=None)
+            if best is not None and _worth(best, pruned, bad[left & fold]) >= least_precision:
+                rule = best
+                break
         if rule is None:
             break
-        options = [Rule(rule.conditions[:k]) for k in range(1, len(rule.conditions) + 1)]
-        rule = max(options, key=lambda r: (_worth(r, pruned, bad[left & fold]), -len(r.conditions)))
-        if _worth(rule, pruned, bad[left & fold]) < least_precision:
-            break
         rules.append(rule)
         left &= ~rule.holds(table)
+    while rules and not rules[-1].rejects:
+        rules.pop()
     return rules
 
 
@@ -297,10 +308,11 @@ def learn_from(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def judge(documents: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Statistics of every document with ``base_failed``, ``rule`` (0: none) and ``kept``.
+    """Statistics of every document with ``base_failed``, ``rule`` (the first that it meets, 0: none) and ``kept``.
 
     Empty and null texts have no words and fail the base rules.
     """
     out = text_statistics(documents, keep=keep).withColumn("base_failed", base_failed())
     out = out.withColumn("rule", F.when(F.col("base_failed"), F.lit(0)).otherwise(rule_expression(rules)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    keeping = [k for k, rule in enumerate(rules, 1) if not rule.rejects]
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isin(0, *keeping))

@@ -136,15 +136,21 @@ def block_links(values: np.ndarray, radius: int = RADIUS, other: np.ndarray | No
     return both[linked], both[parent[linked]]
 
 
-def _small_groups(key: np.ndarray, values: np.ndarray, most: int, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links in runs of equal ``key`` of at most ``most`` values, comparing all rows with the d-th next at once."""
+def _small_tiles(key: np.ndarray, values: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links in runs of equal ``key``, each one a tile.
+
+    All tiles are compared at once, every value with the d-th next of its tile in order
+    of bit count; a tile is done where the counts differ beyond the radius.
+    """
+    counts = np.bitwise_count(values)
+    order = np.lexsort([counts, key])
+    key, values, counts = key[order], values[order], counts[order].astype(np.int64)
     left, right = [], []
-    for d in range(1, most):
-        if d >= len(key):
-            break
-        at = np.flatnonzero(key[d:] == key[:-d])
-        if not len(at):
-            break
+    at, d = np.arange(len(key)), 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(key)]
+        at = at[(key[at + d] == key[at]) & (counts[at + d] - counts[at] <= radius)]
         a, b = values[at], values[at + d]
         near = np.bitwise_count(a ^ b) <= radius
         left.append(b[near])
@@ -163,8 +169,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.concatenate([heads, [len(block)]]))
         size = np.repeat(sizes, sizes)
         two_sided = np.repeat(np.add.reduceat(side, heads) > 0, sizes)
-        small = (size <= 64) & ~two_sided
-        a, b = _small_groups(block[small], fp[small], 64, RADIUS)
+        small = (size <= TILE) & ~two_sided
+        a, b = _small_tiles(block[small], fp[small], RADIUS)
         if a:
             yield emit(np.concatenate(a), np.concatenate(b))
         for h, n in zip(heads, sizes, strict=True):

@@ -62,13 +62,27 @@ def test_rules_find_a_planted_rule_and_spare_the_rest():
     table = {"a": rng.random(3000), "b": rng.random(3000), "c": rng.random(3000)}
     bad = (table["a"] > 0.8) & (table["b"] <= 0.3)
     rules = quality.learn(table, bad)
-    hit = np.zeros(3000, bool)
+    hit, free = np.zeros(3000, bool), np.ones(3000, bool)
     for r in rules:
-        hit |= r.holds(table)
+        hit |= r.rejects & free & r.holds(table)
+        free &= ~r.holds(table)
     assert (hit & bad).sum() > 0.9 * bad.sum() and (hit & ~bad).sum() < 0.02 * 3000
     assert quality.learn(table, np.zeros(3000, bool)) == [] and quality.learn(table, np.ones(3000, bool)) == []
 
 
+def test_a_list_needs_its_keeping_rules():
+    """Texts are bad where ``b`` is low, but not in a region of ``a`` that the rejecting rules alone can't spell out exactly."""
+    rng = np.random.default_rng(1)
+    table = {"a": rng.random(6000), "b": rng.random(6000)}
+    good = (table["b"] > 0.5) | (np.floor(table["a"] * 12) % 2 == 0)
+    rules = quality.learn(table, ~good, most_rules=30)
+    first = np.zeros(6000, int)
+    for k, r in enumerate(rules, 1):
+        first = np.where((first == 0) & r.holds(table), k, first)
+    rejected = np.isin(first, [k for k, r in enumerate(rules, 1) if r.rejects])
+    assert (rejected == ~good).mean() > 0.9 and rules[-1].rejects
+
+
 def test_rule_order_in_the_expression(spark):
     rules = [quality.Rule((quality.Condition("words", True, 5.0),)), quality.Rule((quality.Condition("words", True, 2.0),))]
     out = spark.createDataFrame([(9,), (4,), (1,)], "n_words long").select(quality.rule_expression(rules)).collect()
