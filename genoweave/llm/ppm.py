@@ -33,8 +33,10 @@ REQUESTS = 1 << 20
 #: Rows of the count table whose laws are worked out at once, when no two bytes end more contexts.
 LAWS = 1 << 20
 #: Words of at least one in so many training tokens go to every task; so there are at most so many.
-COMMON_WORDS = 1 << 18
-COMMON_BYTES = 64
+COMMON_WORDS = 1 << 20
+COMMON_BYTES = 32
+#: Bytes of text that are worked on at once.
+PIECE = 2 << 20
 #: Bytes that no UTF-8 text has, for what precedes a text and for its end.
 START, END = 0xFE, 0xFF
 #: Entries of a count table in a task before it is passed on.
@@ -90,7 +92,7 @@ def count_corpus(documents: DataFrame, order: int = ORDER) -> DataFrame:
             )
 
         held, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             values = texts_of(batch, "text")
             trains = ~np.asarray(batch.column("held_out"))
             ids, known = coded(words_of(pc.ascii_lower(values.filter(pa.array(trains))))[0])
@@ -360,7 +362,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
         value = np.log10(np.concatenate([counts, [0]]) + 1.0) - np.log10(below)
         group, size, wanted, nulls = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.int64), None
         row = group
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             texts = texts_of(batch, "text")
             if size and size + len(raw(texts)[0]) > GROUP_BYTES:
                 yield other(nulls, group, kinds=len(wanted), grams=_steps(wanted))
