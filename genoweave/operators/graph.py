@@ -10,6 +10,7 @@ from genoweave.functions.blocks import coverage, lift
 from genoweave.operators.components import connected_components
 from genoweave.operators.intervals import asof, containment_join, overlap_join
 from genoweave.operators.ordered import running_sum
+from genoweave.plans.durable import write_table
 
 
 KEY = ["aln_id", "part", "dir"]
@@ -125,17 +126,30 @@ def _signs(i: list[int], j: list[int], weight: list[int]) -> dict[int, int]:
 
 
 def classes(atoms: DataFrame, edges: DataFrame) -> DataFrame:
-    """atom_nr, class_nr, strand. Components without a negative edge need no search: all '+'."""
-    labels = component_labels(atoms, edges)
-    own = edges.join(labels.select((F.col("atom_nr") - 1).alias("i"), "root"), "i")
+    """atom_nr, class_nr, strand: '-' for atoms that an odd number of negative edges parts from the least atom of their component.
+
+    Signs come from components of the doubled graph, with one node for each atom and
+    sign: an edge of negative weight joins unlike signs. Where both nodes of an atom
+    fall together signs contradict each other, and only there the walk of ``_signs``
+    decides, with such a component in one task. Components without a negative edge are all '+'.
+    """
+    labels = write_table(component_labels(atoms, edges), "labels")
+    own = edges.where("i <> j").join(labels.select((F.col("atom_nr") - 1).alias("i"), "root"), "i")
     turned = own.where("weight < 0").select("root").distinct()
+    own = write_table(own.join(turned, "root", "left_semi"), "turned")
+    odd = (F.col("weight") < 0).cast("bigint")
+    doubled = own.where("i < j").select(F.explode(F.array(*(F.struct((F.col("i") * 2 + k).alias("a"), (F.col("j") * 2 + (odd if k == 0 else 1 - odd)).alias("b")) for k in (0, 1)))).alias("e")).select("e.*")
+    found = write_table(connected_components(doubled, "a", "b"), "signs")
+    plain = found.where("node % 2 = 0").select(F.expr("node div 2 + 1").alias("atom_nr"), F.when(F.col("component") % 2 == 0, 1).otherwise(-1).alias("sign"))
+    twisted = found.where("node % 2 = 1 and component = node - 1").select(F.expr("component div 2 + 1").alias("root"))
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = _signs(rows.i.tolist(), rows.j.tolist(), rows.weight.tolist())
-        return pd.DataFrame({"atom_nr": [k + 1 for k in found], "sign": list(found.values())})
+        walked = _signs(rows.i.tolist(), rows.j.tolist(), rows.weight.tolist())
+        return pd.DataFrame({"atom_nr": [k + 1 for k in walked], "walked": list(walked.values())})
 
-    signs = own.join(turned, "root", "left_semi").groupBy("root").applyInPandas(search, "atom_nr long, sign int")
-    return labels.join(signs, "atom_nr", "left").select("atom_nr", "class_nr", F.when(F.col("sign") < 0, "-").otherwise("+").alias("strand"))
+    walked = own.join(twisted, "root", "left_semi").groupBy("root").applyInPandas(search, "atom_nr long, walked int")
+    signed = labels.join(plain, "atom_nr", "left").join(walked, "atom_nr", "left")
+    return signed.select("atom_nr", "class_nr", F.when(F.coalesce("walked", "sign") < 0, "-").otherwise("+").alias("strand"))
 
 
 __all__ = ["choose_atom", "classes", "component_labels", "graph_edges", "induced_intervals", "lift_atoms", "with_ends"]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoweave import fixtures
 from genoweave.config import SegmentationConfig
 from genoweave.functions.blocks import coverage
-from genoweave.operators import graph, intervals, normalize, truth, weighted
-from genoweave.plans.durable import write_table
+from genoweave.operators import graph, intervals, normalize, ordered, truth, weighted
+from genoweave.plans.durable import shared_folder, write_table
 from genoweave.plans.segmentation import RunStats, segment, segmentation, step
 from genoweave.sources import fasta, psl
 
@@ -69,6 +71,35 @@ def psl_raw_scan(spark, sf_dir):
     return rows.select("line_no", "t_size", F.array_join(F.transform("block_sizes", lambda x: x.cast("string")), ",").alias("sizes"))
 
 
+@query
+def psl_files(spark, sf_dir):
+    """The lines written as text files, listed in a file, and read back in the list's order."""
+    folder = f"{shared_folder(spark)}/psl-{uuid.uuid4().hex}"
+    lines = fixtures.psl_lines(fixtures.psl_rows(spark, sf_dir)).repartitionByRange(8, "line_no").sortWithinPartitions("line_no")
+    lines.select("value").write.text(f"{folder}/lines")
+    listed = spark.read.text(f"{folder}/lines").select(F.col("_metadata.file_path").alias("value")).distinct()
+    listed.coalesce(1).sortWithinPartitions("value").write.text(f"{folder}/list")
+    rows = psl.read_psl(spark, psl.paths_in(spark, f"{folder}/list"))
+    rows = ordered.running_sum(rows, F.lit(1), ["aln_id"], "place")
+    return rows.select("place", "matches", "strand", "q_name", "q_size", "t_name", "block_count", F.element_at("t_starts", -1).alias("last_t"))
+
+
+@query
+def fasta_files(spark, sf_dir):
+    """Gene records written as FASTA and read back."""
+    folder = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    genes = fixtures.gene_records(spark, sf_dir)
+    header = F.format_string("G%d_SE%03d, sequence type: dna, locus: %d", F.col("doc_id"), F.col("genome"), F.col("locus"))
+    fasta.write_fasta(genes.select(header.alias("header"), "seq"), folder)
+    return fasta.gene_headers(fasta.read_fasta(spark, folder)).select("id", "seq_type", "locus", "seq")
+
+
+@query
+def genome_order(spark, sf_dir):
+    names = fixtures.table(spark, sf_dir, "supplier").select(F.concat(F.lit("sim/SE"), F.col("s_suppkey") * 37 % 1009, F.lit("_dna_"), F.col("s_suppkey"), F.lit(".fa")).alias("file"))
+    return fasta.in_genome_order(names, "file")
+
+
 @query
 def identity_filter(spark, sf_dir):
     return Stages(spark, sf_dir).good.select("aln_id", (F.col("matches") + F.col("rep_matches")).alias("good"), (F.col("matches") + F.col("rep_matches") + F.col("mismatches")).alias("total"))
@@ -277,7 +308,9 @@ def segment_edges(spark, sf_dir):
 
 @query
 def segment_paths(spark, sf_dir):
-    return weighted.shortest_paths(weighted.segment_edges(weighted.strong(_weights(spark, sf_dir)))).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ","))
+    """Paths as text; -1 is the cost where there is no way."""
+    out = weighted.shortest_paths(weighted.segment_edges(weighted.strong(_weights(spark, sf_dir))))
+    return out.select("problem", F.coalesce(F.array_join(F.transform("path", lambda x: x.cast("string")), ","), F.lit("")).alias("path"), F.coalesce("cost", F.lit(-1)).alias("cost"))
 
 
 @query
@@ -394,12 +427,16 @@ _CTES = {
     "node": """select *, sum(weight) over (order by pos) as upto, lag(pos) over (order by pos) as prev, lead(pos) over (order by pos) as nxt, min(pos) over () as head from weight where weight >= 40""",
     "prob": """select *, sum(ends::int) over (order by pos) as problem, max(sum_all) over () as last_problem from (select *, coalesce(nxt - prev > 400, false) and pos > head + 400 as ends,
         0 as sum_all from node)""",
+    "step": """select distinct problem::bigint as problem, src::bigint as src, dst::bigint as dst, cost::bigint as cost from (
+        select a.problem, a.pos as src, b.pos as dst, 40 + (b.upto - b.weight) - a.upto as cost from prob a join prob b on b.pos >= a.pos + 400 and b.pos < a.pos + 1200
+        union all select b.problem - 1, max(a.pos), b.pos, 40 + (b.upto - b.weight) - max(a.upto) from prob a join prob b on b.pos >= a.pos + 400 and b.pos < a.pos + 1200 where b.ends group by b.problem, b.pos, b.upto, b.weight)
+        where problem < (select max(problem) from prob)""",
 }
 
 _NEEDS = {
     "psl": [], "raw": ["psl"], "good": ["psl"], "seq": ["good"], "blk": ["raw", "seq"], "cut": ["blk"], "part": ["cut"], "aln": ["part"], "mblk": ["part"], "bp": ["aln"], "waste": ["bp"],
     "atom": ["waste"], "pair": ["atom"], "ends": ["pair", "mblk"], "lifted": ["ends"], "over": ["lifted"], "back": ["over"], "induced": ["back"], "small": ["induced"], "split": ["small"],
-    "located": ["lifted"], "chosen": ["located"], "cover": ["chosen"], "edge": ["cover"], "bpair": ["blk"], "seed": ["bpair"], "multi": ["seed"], "weight": ["multi"], "node": ["weight"], "prob": ["node"],
+    "located": ["lifted"], "chosen": ["located"], "cover": ["chosen"], "edge": ["cover"], "bpair": ["blk"], "seed": ["bpair"], "multi": ["seed"], "weight": ["multi"], "node": ["weight"], "prob": ["node"], "step": ["prob"],
 }
 
 
@@ -422,6 +459,12 @@ def _sql(last: str, body: str, recursive: str = "") -> str:
 ORACLES: dict[str, str] = {
     "psl_scan": _sql("raw", "select aln_id as line_no, matches, mismatches, strand, q_name, 200000::bigint as q_size, t_name, (n + z)::int as block_count, sum(t_psl)::bigint as sum_t, sum(q_psl)::bigint as sum_q from raw group by all"),
     "psl_raw_scan": _sql("raw", "select aln_id as line_no, 200000::bigint as t_size, string_agg(size::varchar, ',' order by k) as sizes from raw group by aln_id"),
+    "psl_files": _sql("raw", """select row_number() over (order by aln_id) as place, matches, strand, q_name, 200000::bigint as q_size, t_name, block_count, last_t
+        from (select aln_id, matches, strand, q_name, t_name, (n + z)::int as block_count, max(t_psl)::bigint as last_t from raw group by all)"""),
+    "fasta_files": """select 'G' || doc_id || '_SE' || lpad((doc_id % 5)::varchar, 3, '0') as id, 'dna' as seq_type, (case when doc_id % 3 = 0 then -doc_id - 1 else doc_id + 1 end)::int as locus,
+        regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') as seq from documents""",
+    "genome_order": """select *, row_number() over (order by genome, file) - 1 as place from (
+        select 'sim/SE' || (s_suppkey * 37 % 1009) || '_dna_' || s_suppkey || '.fa' as file, s_suppkey * 37 % 1009 as genome from supplier)""",
     "identity_filter": _sql("good", "select aln_id, matches as good, matches + mismatches as total from good"),
     "sequence_offsets": _sql("seq", 'select name, size, seq_idx::int as seq_idx, "offset"::bigint as "offset" from seq'),
     "offset_join": _sql("seq", 'select g.aln_id, g.q_name, g.t_name, a."offset"::bigint as q_offset, b."offset"::bigint as t_offset from good g join seq a on a.name = g.q_name join seq b on b.name = g.t_name'),
@@ -451,13 +494,22 @@ ORACLES: dict[str, str] = {
     "atom_graph": _sql("edge", "select i::bigint as i, j::bigint as j, weight from edge"),
     "min_match_filter": _sql("psl", "select aln_id, matches from psl where matches >= 850"),
     "block_pairs": _sql("bpair", "select aln_id, k, lo::bigint as lo, hi::bigint as hi, other::bigint as other, other_hi::bigint as other_hi from bpair"),
-    "stab_join": _sql("multi", "select m.pos::bigint as pos, b.aln_id, b.k from multi m join bpair b on m.pos > b.lo and m.pos < b.hi"),
+    "stab_join": _sql("multi", "select m.pos::bigint as pos, b.aln_id, b.k from multi m join (select *, unnest(range(lo // 1000, hi // 1000 + 1)) as bin from bpair) b on m.pos // 1000 = b.bin and m.pos > b.lo and m.pos < b.hi"),
     "bp_multiset": _sql("multi", "select pos::bigint as pos, n from multi"),
     "bp_weights": _sql("weight", "select pos::bigint as pos, weight from weight"),
-    "segment_edges": _sql("prob", """select distinct problem::bigint as problem, src::bigint as src, dst::bigint as dst, cost::bigint as cost from (
-        select a.problem, a.pos as src, b.pos as dst, 40 + (b.upto - b.weight) - a.upto as cost from prob a join prob b on b.pos >= a.pos + 400 and b.pos < a.pos + 1200
-        union all select b.problem - 1, max(a.pos), b.pos, 40 + (b.upto - b.weight) - max(a.upto) from prob a join prob b on b.pos >= a.pos + 400 and b.pos < a.pos + 1200 where b.ends group by b.problem, b.pos, b.upto, b.weight)
-        where problem < (select max(problem) from prob)"""),
+    "segment_edges": _sql("step", "select * from step"),
+    "segment_paths": _sql(
+        "step",
+        """select problem, case when hi - lo < 400 then ((lo + hi) // 2)::varchar else coalesce(path, '') end as path, (case when hi - lo < 400 then 0 else coalesce(b.cost, -1) end)::bigint as cost
+        from span left join best b on b.p = problem and b.node = hi left join (select p, string_agg(node::varchar, ',' order by node) as path from walk group by p) w on w.p = problem""",
+        """span as materialized (select problem, min(src) as lo, max(dst) as hi from step group by problem),
+        best(p, node, cost) using key (p, node) as (select problem, lo, 0::bigint from span
+            union select e.problem, e.dst, min(b.cost + e.cost) from best b join step e on e.problem = b.p and e.src = b.node
+                left join recurring.best c on c.p = e.problem and c.node = e.dst where c.cost is null or b.cost + e.cost < c.cost group by e.problem, e.dst),
+        prior as materialized (select e.problem as p, e.dst, min(e.src) as src from step e join best a on a.p = e.problem and a.node = e.src join best b on b.p = e.problem and b.node = e.dst
+            where a.cost + e.cost = b.cost group by e.problem, e.dst),
+        walk(p, node) as (select problem, hi from span join best b on b.p = problem and b.node = hi union select w.p, q.src from walk w join prior q on q.p = w.p and q.dst = w.node)""",
+    ),
     "revcomp": "select doc_id, translate(reverse(regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')), 'ACGT', 'TGCA') as seq from documents",
     "assemble_dna": """select genome, string_agg(case when doc_id % 3 = 0 then translate(reverse(s), 'ACGT', 'TGCA') else s end, '' order by doc_id) as seq
         from (select doc_id % 5 as genome, doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') as s from documents) group by genome""",
@@ -465,6 +517,12 @@ ORACLES: dict[str, str] = {
     "homology_edges": """select distinct least(g, h) as g1, (case when g <= h then x else y end)::int as x, greatest(g, h) as g2, (case when g <= h then y else x end)::int as y from (
         select (l_suppkey % 5)::int as g, l_partkey as x, lead((l_suppkey % 5)::int) over w as h, lead(l_partkey) over w as y from lineitem where l_returnflag = 'R'
         window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)) where h is not null""",
+    "homology_classes": """with recursive link as materialized (select distinct (l_suppkey % 5) * 1000000000 + l_partkey as a, lead((l_suppkey % 5) * 1000000000 + l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as b
+            from lineitem where l_returnflag = 'R'),
+        ways as materialized (select a as i, b as j from link where b is not null union select b, a from link where b is not null),
+        reach(n, l) using key (n) as (select i, least(i, min(j)) from ways group by i
+            union select e.j, min(r.l) from reach r join ways e on e.i = r.n join recurring.reach c on c.n = e.j where r.l < c.l group by e.j)
+        select (n // 1000000000)::int as genome, (n % 1000000000)::int as gene, (dense_rank() over (order by l) - 1)::bigint as class_nr from reach""",
     "right_neighbors": """select class_nr, count(distinct case when side is not null then side end) as n_neighbours, count(*) filter (side is null) as n_ends from (
         select c as class_nr, case when s > 0 then lead(c * 10 + s) over w else lag(c * 10 + s) over w end as side from (
             select p_partkey % 5 as g, p_partkey as k, case when p_size % 2 = 0 then 1 else -1 end as s, p_partkey * 7 % 97 as c from part) window w as (partition by g order by k)) group by class_nr""",

@@ -7,11 +7,24 @@ import ast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoweave.operators.ordered import running_sum
+
 #: Complements, the IUPAC codes included; header of a simulated gene.
 BASES, COMPLEMENTS = "ACGTUNRYSWKMBDHVacgtunryswkmbdhv", "TGCAANYRSWMKVHDBtgcaanyrswmkvhdb"
 HEADER = r"^(G\d+_SE\d+), sequence type: (.*), locus: (-?\d+)$"
 
 
+def in_genome_order(files: DataFrame, name: str) -> DataFrame:
+    """Adds ``genome``, the number after SE in each file's name, and ``place``, from 0, in order of it and then the name's.
+
+    A name without such a number raises.
+    """
+    number = F.regexp_extract(name, r"SE(\d+)", 1)
+    checked = F.when(number != "", number).otherwise(F.raise_error(F.concat(F.lit("no genome number in "), F.col(name))))
+    out = running_sum(files.withColumn("genome", checked.cast("bigint")), F.lit(1), ["genome", name], "place")
+    return out.withColumn("place", F.col("place") - 1)
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Rows (file, header, seq); a record begins at '>' at the start of a line."""
     records = spark.read.text(path, lineSep="\n>").select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^>", "").alias("r"))

@@ -127,6 +127,24 @@ def test_lift_reverse(spark, x, y):
     assert frame.select(lift(F.col("x"), F.col("blocks"), F.col("strand"))).first()[0] == y
 
 
+def test_bad_fields_stop_the_job(spark, tmp_path):
+    for k, text in enumerate((line("A", "B", [100], [0], [0], matches="x"), line("A", "B", [100], [0], [0], q_size=10**20), "1\t2")):
+        (tmp_path / f"{k}.psl").write_text(text + "\n")
+        with pytest.raises(Exception, match="is not of type"):
+            read_psl(spark, [str(tmp_path / f"{k}.psl")]).collect()
+
+
+def test_lines_of_many_blocks_keep_their_numbers(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "a b.psl").write_text("".join(line("A", "B", [100], [k], [0]) + "\n" for k in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = read_psl(spark, [str(tmp_path / "a b.psl")] * 2).select("file_no", "line_no", F.element_at("q_starts", 1)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, rows)) == [(f, k + 1, k) for f in (0, 1) for k in range(500)]
+
+
 def test_files_in_order_lists_and_last_line(spark, tmp_path):
     (tmp_path / "a.psl").write_text(line("A", "B", [100], [0], [0]) + "\n" + line("C", "D", [100], [0], [0]))
     (tmp_path / "b.psl").write_text(line("E", "F", [100], [0], [0]) + "\n")
@@ -144,6 +162,17 @@ def test_command_line():
         parse_args(["a", "--nosuch"])
 
 
+def test_signs_of_whole_and_twisted_components(spark):
+    from genoweave.operators.graph import _signs, classes
+
+    edges = [(0, 1, -2), (1, 2, 1), (2, 3, -1), (0, 3, 1), (4, 5, -1), (5, 6, -1), (4, 6, -1), (7, 8, 3), (9, 9, -2)]
+    both = [*edges[:-1], *((b, a, w) for a, b, w in edges)]
+    atoms = spark.createDataFrame([(k + 1,) for k in range(11)], "atom_nr long")
+    got = {r.atom_nr - 1: r.strand for r in classes(atoms, spark.createDataFrame(both, "i long, j long, weight long")).collect()}
+    want = _signs(*map(list, zip(*[e for e in both if e[0] < 4], strict=True))) | _signs(*map(list, zip(*[e for e in both if 4 <= e[0] < 7], strict=True)))
+    assert got == {k: "-" if want.get(k, 1) < 0 else "+" for k in range(11)} and "-" in got.values()
+
+
 def test_report_text(psl, tmp_path):
     write_report(segment(psl(line("A", "B", [400], [100], [300]))), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
