@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -271,29 +272,36 @@ def min_match_filter(spark, sf_dir):
     return weighted.min_match_filter(fixtures.psl_rows(spark, sf_dir), 850).select("aln_id", "matches")
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
-    return write_table(weighted.block_pairs(Stages(spark, sf_dir).placed), "pairs")
+def _block_pairs(spark, sf_dir) -> DataFrame:
+    """Block pairs of all rows with a hundred matches or more, whatever their identity, in their own concatenated positions."""
+    rows = weighted.min_match_filter(fixtures.psl_rows(spark, sf_dir), 100)
+    return weighted.block_pairs(normalize.offset_join(rows, normalize.sequence_offsets(rows)))
 
 
 @query
 def block_pairs(spark, sf_dir):
-    return weighted.block_pairs(Stages(spark, sf_dir).placed)
+    return _block_pairs(spark, sf_dir)
 
 
 @query
 def stab_join(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
+    pairs = write_table(_block_pairs(spark, sf_dir), "pairs")
     hits = intervals.stab_join(weighted.seeds(pairs).distinct(), pairs)
     return hits.select("pos", "aln_id", "k")
 
 
 @query
-def bp_multiset(spark, sf_dir):
-    return weighted.seeds(_pairs(spark, sf_dir)).groupBy("pos").agg(F.count("*").alias("n"))
+def bp_seeds(spark, sf_dir):
+    return weighted.seeds(_block_pairs(spark, sf_dir)).groupBy("pos").agg(F.count("*").alias("n"))
+
+
+@query
+def bp_closure(spark, sf_dir):
+    return weighted.closure(write_table(_block_pairs(spark, sf_dir), "pairs"))
 
 
 def _weights(spark, sf_dir) -> DataFrame:
-    return weighted.weights(weighted.seeds(_pairs(spark, sf_dir)).groupBy("pos").agg(F.count("*").alias("n")))
+    return write_table(weighted.weights(write_table(bp_closure(spark, sf_dir), "closure")), "weights")
 
 
 @query
@@ -303,16 +311,42 @@ def bp_weights(spark, sf_dir):
 
 @query
 def segment_edges(spark, sf_dir):
-    return weighted.segment_edges(weighted.strong(_weights(spark, sf_dir)))
+    """All edges, summed by problem: there are a few hundred to a node."""
+    edges = weighted.segment_edges(weighted.strong(_weights(spark, sf_dir)))
+    return edges.groupBy("problem").agg(F.count("*").alias("n_edges"), F.sum("cost").cast("bigint").alias("sum_cost"), F.sum(F.col("src") * 7 + F.col("dst") * 13).cast("bigint").alias("sum_ends"))
 
 
 @query
 def segment_paths(spark, sf_dir):
+    return _paths(weighted.segment_edges(weighted.strong(_weights(spark, sf_dir))))
+
+
+def _paths(edges: DataFrame) -> DataFrame:
     """Paths as text; -1 is the cost where there is no way."""
-    out = weighted.shortest_paths(weighted.segment_edges(weighted.strong(_weights(spark, sf_dir))))
+    out = weighted.shortest_paths(edges)
     return out.select("problem", F.coalesce(F.array_join(F.transform("path", lambda x: x.cast("string")), ","), F.lit("")).alias("path"), F.coalesce("cost", F.lit(-1)).alias("cost"))
 
 
+def _seed_weights(spark, sf_dir) -> DataFrame:
+    return write_table(weighted.weights(bp_seeds(spark, sf_dir)), "weights")
+
+
+@query
+def seed_weights(spark, sf_dir):
+    """Weights, and below edges and paths, of the seeds alone: the same operators on a table a twentieth as large."""
+    return _seed_weights(spark, sf_dir)
+
+
+@query
+def seed_edges(spark, sf_dir):
+    return weighted.segment_edges(weighted.strong(_seed_weights(spark, sf_dir)))
+
+
+@query
+def seed_paths(spark, sf_dir):
+    return _paths(weighted.segment_edges(weighted.strong(_seed_weights(spark, sf_dir))))
+
+
 @query
 def revcomp(spark, sf_dir):
     return fixtures.gene_records(spark, sf_dir).select("doc_id", fasta.reverse_complement(F.col("seq")).alias("seq"))
@@ -418,12 +452,20 @@ _CTES = {
     "edge": """select i, j, sum(s)::bigint as weight from (select atom_nr - 1 as i, j, case when strand = '+' then 1 else -1 end as s, c1, c2, c3, c4 from cover
         union all select j, atom_nr - 1, case when strand = '+' then 1 else -1 end, c1, c2, c3, c4 from cover)
         where c1 >= 80::float / 100::float and c2 > 0 and not (c3 >= 80::float / 100::float and c4 >= 80::float / 100::float) group by i, j""",
+    "many": "select * from psl where matches >= 100",
+    "mseq": """select name, (row_number() over (order by o) - 1) * 200000 as "offset"
+        from (select name, min(o) as o from (select q_name as name, aln_id * 2 as o from many union all select t_name, aln_id * 2 + 1 from many) group by name)""",
+    "mblk2": """select r.aln_id, r.k, r.size, r.q_psl + a."offset" as q_plain, r.t_psl + b."offset" as t
+        from raw r semi join many g on r.aln_id = g.aln_id join mseq a on a.name = r.q_name join mseq b on b.name = r.t_name""",
     "bpair": """select aln_id, k::int as k, lo, lo + size as hi, other, other + size as other_hi from (select aln_id, k, size::bigint as size,
         case when f then t else q_plain end as lo, case when f then q_plain else t end as other from (
-            select *, first_value(q_plain) over w > first_value(t) over w as f from blk window w as (partition by aln_id order by k))) where size > 400""",
+            select *, first_value(q_plain) over w > first_value(t) over w as f from mblk2 window w as (partition by aln_id order by k))) where size > 400""",
     "seed": "select unnest([lo, hi, other, other_hi]) as pos from bpair",
     "multi": "select pos, count(*) as n from seed group by pos",
-    "weight": "select pos, (1 + 20 * (n - 1) + greatest(coalesce(20 - (lead(pos) over (order by pos) - pos), 0), 0))::bigint as weight from multi",
+    "span": "select lo, hi, other, unnest(range(lo // 1000, hi // 1000 + 1)) as bin from bpair",
+    "known": "select distinct pos from seed union select s.other + k.pos - s.lo from known k join span s on s.bin = k.pos // 1000 and k.pos > s.lo and k.pos < s.hi",
+    "closed": """select pos, count(*) as n from (select pos from seed union all select s.other + k.pos - s.lo from known k join span s on s.bin = k.pos // 1000 and k.pos > s.lo and k.pos < s.hi) group by pos""",
+    "weight": "select pos, (1 + 20 * (n - 1) + greatest(coalesce(20 - (lead(pos) over (order by pos) - pos), 0), 0))::bigint as weight from closed",
     "node": """select *, sum(weight) over (order by pos) as upto, lag(pos) over (order by pos) as prev, lead(pos) over (order by pos) as nxt, min(pos) over () as head from weight where weight >= 40""",
     "prob": """select *, sum(ends::int) over (order by pos) as problem, max(sum_all) over () as last_problem from (select *, coalesce(nxt - prev > 400, false) and pos > head + 400 as ends,
         0 as sum_all from node)""",
@@ -436,10 +478,16 @@ _CTES = {
 _NEEDS = {
     "psl": [], "raw": ["psl"], "good": ["psl"], "seq": ["good"], "blk": ["raw", "seq"], "cut": ["blk"], "part": ["cut"], "aln": ["part"], "mblk": ["part"], "bp": ["aln"], "waste": ["bp"],
     "atom": ["waste"], "pair": ["atom"], "ends": ["pair", "mblk"], "lifted": ["ends"], "over": ["lifted"], "back": ["over"], "induced": ["back"], "small": ["induced"], "split": ["small"],
-    "located": ["lifted"], "chosen": ["located"], "cover": ["chosen"], "edge": ["cover"], "bpair": ["blk"], "seed": ["bpair"], "multi": ["seed"], "weight": ["multi"], "node": ["weight"], "prob": ["node"], "step": ["prob"],
+    "located": ["lifted"], "chosen": ["located"], "cover": ["chosen"], "edge": ["cover"], "many": ["psl"], "mseq": ["many"], "mblk2": ["raw", "mseq"], "bpair": ["mblk2"], "seed": ["bpair"], "multi": ["seed"], "span": ["bpair"], "known": ["seed", "span"], "closed": ["known"], "weight": ["closed"], "node": ["weight"], "prob": ["node"], "step": ["prob"],
 }
 
 
+#: The same from the seeds alone.
+for _name in ("weight", "node", "prob", "step"):
+    _CTES[f"seed_{_name}"] = re.sub(r"\b(from|join) (weight|node|prob)\b", r"\1 seed_\2", _CTES[_name].replace("from closed", "from multi"))
+    _NEEDS[f"seed_{_name}"] = ["multi" if n == "closed" else f"seed_{n}" for n in _NEEDS[_name]]
+
+
 def _sql(last: str, body: str, recursive: str = "") -> str:
     """``body`` over the stage ``last`` and all that it needs; each stage is computed once."""
     wanted: list[str] = []
@@ -453,7 +501,23 @@ def _sql(last: str, body: str, recursive: str = "") -> str:
     for name in last.split():
         add(name)
     ctes = ", ".join(f"{n} as materialized ({_CTES[n]})" for n in wanted)
-    return f"with {'recursive ' if recursive else ''}{ctes}{', ' + recursive if recursive else ''} {body}"
+    return f"with recursive {ctes}{', ' + recursive if recursive else ''} {body}"
+
+
+def _path_sql(edges: str) -> str:
+    """Least costs by rounds, then the way back from each end over the least of equally good sources."""
+    return _sql(
+        edges,
+        """select problem, case when hi - lo < 400 then ((lo + hi) // 2)::varchar else coalesce(path, '') end as path, (case when hi - lo < 400 then 0 else coalesce(b.cost, -1) end)::bigint as cost
+        from reach left join best b on b.p = problem and b.node = hi left join (select p, string_agg(node::varchar, ',' order by node) as path from walk group by p) w on w.p = problem""",
+        f"""reach as materialized (select problem, min(src) as lo, max(dst) as hi from {edges} group by problem),
+        best(p, node, cost) using key (p, node) as (select problem, lo, 0::bigint from reach
+            union select e.problem, e.dst, min(b.cost + e.cost) from best b join {edges} e on e.problem = b.p and e.src = b.node
+                left join recurring.best c on c.p = e.problem and c.node = e.dst where c.cost is null or b.cost + e.cost < c.cost group by e.problem, e.dst),
+        prior as materialized (select e.problem as p, e.dst, min(e.src) as src from {edges} e join best a on a.p = e.problem and a.node = e.src join best b on b.p = e.problem and b.node = e.dst
+            where a.cost + e.cost = b.cost group by e.problem, e.dst),
+        walk(p, node) as (select problem, hi from reach join best b on b.p = problem and b.node = hi union select w.p, q.src from walk w join prior q on q.p = w.p and q.dst = w.node)""",
+    )
 
 
 ORACLES: dict[str, str] = {
@@ -495,21 +559,14 @@ ORACLES: dict[str, str] = {
     "min_match_filter": _sql("psl", "select aln_id, matches from psl where matches >= 850"),
     "block_pairs": _sql("bpair", "select aln_id, k, lo::bigint as lo, hi::bigint as hi, other::bigint as other, other_hi::bigint as other_hi from bpair"),
     "stab_join": _sql("multi", "select m.pos::bigint as pos, b.aln_id, b.k from multi m join (select *, unnest(range(lo // 1000, hi // 1000 + 1)) as bin from bpair) b on m.pos // 1000 = b.bin and m.pos > b.lo and m.pos < b.hi"),
-    "bp_multiset": _sql("multi", "select pos::bigint as pos, n from multi"),
+    "bp_seeds": _sql("multi", "select pos::bigint as pos, n from multi"),
+    "bp_closure": _sql("closed", "select pos::bigint as pos, n from closed"),
     "bp_weights": _sql("weight", "select pos::bigint as pos, weight from weight"),
-    "segment_edges": _sql("step", "select * from step"),
-    "segment_paths": _sql(
-        "step",
-        """select problem, case when hi - lo < 400 then ((lo + hi) // 2)::varchar else coalesce(path, '') end as path, (case when hi - lo < 400 then 0 else coalesce(b.cost, -1) end)::bigint as cost
-        from span left join best b on b.p = problem and b.node = hi left join (select p, string_agg(node::varchar, ',' order by node) as path from walk group by p) w on w.p = problem""",
-        """span as materialized (select problem, min(src) as lo, max(dst) as hi from step group by problem),
-        best(p, node, cost) using key (p, node) as (select problem, lo, 0::bigint from span
-            union select e.problem, e.dst, min(b.cost + e.cost) from best b join step e on e.problem = b.p and e.src = b.node
-                left join recurring.best c on c.p = e.problem and c.node = e.dst where c.cost is null or b.cost + e.cost < c.cost group by e.problem, e.dst),
-        prior as materialized (select e.problem as p, e.dst, min(e.src) as src from step e join best a on a.p = e.problem and a.node = e.src join best b on b.p = e.problem and b.node = e.dst
-            where a.cost + e.cost = b.cost group by e.problem, e.dst),
-        walk(p, node) as (select problem, hi from span join best b on b.p = problem and b.node = hi union select w.p, q.src from walk w join prior q on q.p = w.p and q.dst = w.node)""",
-    ),
+    "segment_edges": _sql("step", "select problem, count(*) as n_edges, sum(cost)::bigint as sum_cost, sum(src * 7 + dst * 13)::bigint as sum_ends from step group by problem"),
+    "segment_paths": _path_sql("step"),
+    "seed_weights": _sql("seed_weight", "select pos::bigint as pos, weight from seed_weight"),
+    "seed_edges": _sql("seed_step", "select * from seed_step"),
+    "seed_paths": _path_sql("seed_step"),
     "revcomp": "select doc_id, translate(reverse(regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')), 'ACGT', 'TGCA') as seq from documents",
     "assemble_dna": """select genome, string_agg(case when doc_id % 3 = 0 then translate(reverse(s), 'ACGT', 'TGCA') else s end, '' order by doc_id) as seq
         from (select doc_id % 5 as genome, doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') as s from documents) group by genome""",
