@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from genoweave.operators.ordered import running_sum
 
-#: Complements, the IUPAC codes included; header of a simulated gene.
+#: Complements, the IUPAC codes included; codons that begin and end a gene; header of a simulated gene.
 BASES, COMPLEMENTS = "ACGTUNRYSWKMBDHVacgtunryswkmbdhv", "TGCAANYRSWMKVHDBtgcaanyrswmkvhdb"
+START_CODON, STOP_CODONS = "ATG", ("TAA", "TGA", "TAG")
 HEADER = r"^(G\d+_SE\d+), sequence type: (.*), locus: (-?\d+)$"
 
 
@@ -89,6 +90,8 @@ def random_genome(spark: SparkSession, chromosomes: int, markers: int, mean_leng
     import numpy as np
     import pandas as pd
 
+    sense = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT" if a + b + c not in STOP_CODONS]
+
     def draw(batches):
         for batch in batches:
             rows = []
@@ -97,9 +100,9 @@ def random_genome(spark: SparkSession, chromosomes: int, markers: int, mean_leng
                 at = 0
                 for i in range(markers):
                     codons = max(1, int(rng.gamma(shape, mean_length / shape)))
-                    inner = ["".join(rng.choice(list("ACG"), 3)) for _ in range(codons)]
+                    inner = rng.choice(sense, codons)
                     gap = "".join(rng.choice(list("ACGT"), int(rng.integers(1, 2 * int(mean_length) + 1))))
-                    for kind, seq in (("marker", "ATG" + "".join(inner) + "TAA"), ("intermarker", gap)):
+                    for kind, seq in (("marker", START_CODON + "".join(inner) + str(rng.choice(STOP_CODONS))), ("intermarker", gap)):
                         rows.append((f"{kind}_{i}|{at}:{at + len(seq)}|chromosome|{c}|strand|+", seq, c, len(rows)))
                         at += len(seq)
             yield pd.DataFrame(rows, columns=["header", "seq", "chromosome", "place"])
