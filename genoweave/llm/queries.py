@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoweave.llm import ann, html, lines, mixing, ppm, preference, quality, simhash, subwords, toxicity
+from genoweave.llm import ann, html, lines, mixing, ppm, preference, quality, simhash, spelling, subwords, suffixes, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_every(table(spark, sf_dir, "embeddings"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 LINE_SQL = r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 l as (select r, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from d),
@@ -87,6 +99,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_neighbours": op10_neighbours,
+    "op11_decontamination": op11_decontamination,
+    "op12_spelling": op12_spelling,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES = {"op3_mixing": mixing.MIX_SQL, "op6_line_dedup": LINE_SQL, "op7_chat_formatting": preference.PREFERENCE_SQL}
+ORACLES = {"op3_mixing": mixing.MIX_SQL, "op6_line_dedup": LINE_SQL, "op7_chat_formatting": preference.PREFERENCE_SQL, "op11_decontamination": suffixes.REPORT_SQL}

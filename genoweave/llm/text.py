@@ -93,3 +93,16 @@ def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values (numpy's sort is several times faster here than its ``unique``)."""
     ordered = np.sort(values)
     return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def replaced(values: pa.Array, bytes_to: np.ndarray) -> pa.Array:
+    """Texts with each UTF-8 byte replaced by what ``bytes_to`` has for it."""
+    data, offsets = raw(values)
+    return pa.Array.from_buffers(pa.large_string(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(bytes_to[data]))])
+
+
+def expanded(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges [start, start + size), one range after another, and the number of the range of each."""
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    first = np.cumsum(sizes) - sizes
+    return np.arange(len(owner)) - first[owner] + starts[owner], owner
