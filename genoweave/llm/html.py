@@ -4,9 +4,11 @@ A page becomes a stream of block tags and text slots; stretches that repeat fold
 groups. Pages of one host with the same folded stream count once. A host's streams are
 aligned one after another, in bounded groups and then the groups' results alike: what
 both have stays, a stretch that one lacks becomes one more turn of a repeated group or
-optional, and text that differs becomes a slot. The wrapper says for each slot where in
-the host's pages it lies, how long its text is and whether it differs from page to page,
-and so which slots hold the article.
+optional, and text that differs becomes a slot. Layouts too unlike to align keep wrappers
+of their own. Element names and roles say what is chrome for sure; a class or id word is
+a vote, and how much text differs from page to page inside and outside of the element
+decides. What the wrappers' slots hold is summed over the host: which zone is the article's,
+which texts are the template's, and which voted elements stay.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass, replace
 
@@ -39,36 +42,45 @@ CLOSES_PARAGRAPH = frozenset(
 CHROME = frozenset("nav footer aside form button dialog menu head".split())
 MAIN = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Class and id words of what surrounds an article, and words that only may be: for these the wrapper decides.
-CHROME_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted
-    nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead topbar footer sidebar
-    cookie cookies consent gdpr paywall copyright
-    comment comments reply replies disqus respond newsletter subscribe subscription""".split()
+#: Class and id words that vote against an element: it may be the site's, or it may be other people's text, which differs from page to page too.
+SITE_WORDS = frozenset(
+    """nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead topbar footer sidebar
+    cookie cookies consent gdpr paywall copyright newsletter subscribe subscription
+    banner header widget notice notices privacy alert popup modal overlay disclaimer
+    share sharing social signup login search form toolbar side rail bottom""".split()
 )
-DOUBTFUL_WORDS = frozenset(
-    """banner promotion header widget notice notices privacy alert popup modal overlay disclaimer discussion feedback
-    share sharing social related recommended recommendations signup login search form toolbar side rail bottom""".split()
+OTHERS_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion
+    comment comments reply replies disqus respond discussion feedback related recommended recommendations""".split()
 )
-#: Words that may stand beside a doubtful one in a class name without changing what it says.
-BESIDE = frozenset("box bar block wrap wrapper container section area links buttons button list items posts articles stories page site post top left right inner".split())
+#: Words that may stand beside one of these in a class name without changing what it says.
+BESIDE = frozenset("box bar block wrap wrapper container section area links buttons button list items item posts articles stories page site post top left right inner main".split())
 
-#: Wrappers of a host that one task aligns in one round, on average.
+#: Wrappers of a host that one task aligns in one round, on average; cells of a table of costs; and cells beyond which two layouts stay apart.
 TOGETHER = 16
+CELLS = 1 << 22
+MOST_CELLS = 1 << 32
+#: The share of the shorter wrapper's tokens that two layouts must have in common to be aligned, and hashes by which like ones find each other.
+ALIKE = 0.6
+MARKS = 3
+#: Pages of different content that share a text before it counts as the template's, and times the text elsewhere that votes yield to.
+LEAST_PAGES = 3
+OUTWEIGHS = 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
+_EMPTY = re.compile(r"(?:^|[\s\"'])/$")
 _NAME = re.compile(r"[A-Za-z]+")
 
 
 @dataclass
 class Block:
-    """A stretch of text between block tags, with where it lies: zone, and the doubtful element around it if there is one."""
+    """A stretch of text between block tags, with its zone (main, plain or chrome) and the elements around it that words vote against, outermost first."""
 
     text: str
     zone: str
-    doubt: str = ""
+    doubt: tuple[str, ...] = ()
 
 
 @dataclass
@@ -79,21 +91,19 @@ class Page:
     blocks: list[Block]
 
 
-def _says(name: str) -> tuple[bool, bool]:
-    """Whether a class or id name is that of chrome, and whether it is doubtful."""
-    words = [w.lower() for w in _NAME.findall(name)]
-    if not words or {"article", "post", "entry"} & {*words}:
-        return False, False
-    if CHROME_WORDS & {*words}:
-        return True, False
-    return False, bool(DOUBTFUL_WORDS & {*words}) and all(w in DOUBTFUL_WORDS or w in BESIDE for w in words)
+def _vote(name: str) -> int:
+    """How a class or id name votes: 2 for other people's text, 1 for the site's, 0 for neither."""
+    words = {w.lower() for w in _NAME.findall(name)}
+    if not words <= SITE_WORDS | OTHERS_WORDS | BESIDE:
+        return 0
+    return 2 if words & OTHERS_WORDS else int(bool(words & SITE_WORDS))
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
-    """The element's own name from class and id, whether it says that it isn't content, and whether a class or id word hints so or is doubtful."""
+def _marks(attributes: str) -> tuple[str, bool, int]:
+    """The element's own name from class and id, whether it says that it isn't content, and the strongest vote of its class and id words."""
     if not attributes or attributes.isspace():
-        return "", False, False, False
-    named, chrome, hint, doubt = [], False, False, False
+        return "", False, 0
+    named, chrome, vote = [], False, 0
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         value, key = (a or b or c), key.lower()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -102,10 +112,8 @@ def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
             chrome |= value.lower() in ROLES
         elif key in ("class", "id"):
             named.append(value)
-            for name in value.split():
-                says, may = _says(name)
-                hint, doubt = hint or says, doubt or may
-    return ".".join(re.sub(r"\s+", " ", re.sub(r"\d+", "0", v)).strip() for v in named), chrome, hint, doubt
+            vote = max([vote, *map(_vote, value.split())])
+    return ".".join(re.sub(r"[\s|>~+]+", " ", re.sub(r"\d+", "0", v)).strip() for v in named), chrome, vote
 
 
 def _raw_end(html: str, name: str, start: int) -> int:
@@ -117,8 +125,7 @@ def read_page(html: str) -> Page:
     """Tokenise a page, however malformed: stray end tags are passed over, paragraphs close where HTML closes them."""
     stream: list[str] = []
     blocks: list[Block] = []
-    # name, zone (chrome, main or plain; hinted: chrome by a word, inner: article or main in it) and the doubtful element around
-    stack: list[tuple[str, str, str]] = []
+    stack: list[tuple[str, str, tuple[str, ...]]] = []  # name, zone and the voted elements around
     parts: list[str] = []
 
     def zone() -> str:
@@ -128,7 +135,7 @@ def read_page(html: str) -> Page:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            blocks.append(Block(text, zone(), stack[-1][2] if stack else ""))
+            blocks.append(Block(text, zone(), stack[-1][2] if stack else ()))
             stream.append("#")
 
     at, n = 0, len(html)
@@ -149,15 +156,16 @@ def read_page(html: str) -> Page:
             continue
         name, closing, attributes = name.lower(), bool(token.group(1)), token.group(3)
         if name in RAW and not closing:
-            if not attributes.endswith("/"):
+            if not (name in ("svg", "math") and _EMPTY.search(attributes)):
                 at = _raw_end(html, name, at)
             continue
         if name in INLINE:
             if not closing:
-                label, chrome, hint, _ = _marks(attributes)
-                if chrome or hint:  # an inline advert or button: treat as a block
+                label, chrome, vote = _marks(attributes)
+                if chrome or vote:  # an inline advert or button: treat as a block
                     flush()
-                    stack.append((name, "chrome", ""))
+                    around = stack[-1][2] if stack else ()
+                    stack.append((name, "chrome" if chrome else zone(), around if chrome or zone() == "chrome" else (*around, f"{vote}{name}.{label}")))
                     stream.append(f"<{name}.{label}>")
             elif any(s[0] == name for s in stack):
                 flush()
@@ -182,31 +190,19 @@ def read_page(html: str) -> Page:
             if name in names and stack and stack[-1][0] == closer:
                 stack.pop()
                 stream.append(f"</{closer}>")
-        label, chrome, hint, doubt = _marks(attributes)
+        label, chrome, vote = _marks(attributes)
         above = zone()
-        if above == "chrome" or chrome or name in CHROME or name == "header" and above not in ("main", "inner"):
+        if above == "chrome" or chrome or name in CHROME or name == "header" and above != "main":
             own = "chrome"
-        elif hint and name not in ("html", "body"):
-            own = "hinted"
-        elif above == "hinted":
-            own = "inner" if name in MAIN else "hinted"
-        elif above == "inner":
-            own = "inner"
-        elif above == "main" or name in MAIN:
-            own = "main"
         else:
-            own = "plain"
-        around = stack[-1][2] if stack else ""
-        if doubt and name not in ("html", "body") and own != "chrome" and not around:
-            around = f"{name}.{label}"
+            own = "main" if above == "main" or name in MAIN else "plain"
+        around = stack[-1][2] if stack else ()
+        if vote and name not in ("html", "body") and own != "chrome":
+            around = (*around, f"{vote}{name}.{label}")
         stack.append((name, own, around))
         stream.append(f"<{name}.{label}>" if label else f"<{name}>")
     flush()
     stream.extend(f"</{name}>" for name, *_ in reversed(stack))
-    # an article in an element that a word makes chrome is the page's article if there is no other
-    inner = "chrome" if any(b.zone == "main" for b in blocks) else "main"
-    for block in blocks:
-        block.zone = {"hinted": "chrome", "inner": inner}.get(block.zone, block.zone)
     return Page(stream, blocks)
 
 
@@ -292,58 +288,90 @@ class Node:
     varies: bool = False
     chars: int = 0
 
-    @property
-    def doubt(self) -> str:
-        return self.zone.partition("~")[2]
 
+def _table(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, from a whole table."""
+    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i in range(len(x) - 1, -1, -1):  # a row at a time, from the right
+        reached = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (y == x[i]))
+        best[i, :-1] = np.maximum.accumulate(reached[::-1])[::-1]
+    out = []
+    i = j = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1, j] >= best[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
 
-def align(wrapper: list[Node], stream: list[Node]) -> list[Node]:
-    """The wrapper that covers both: a longest common subsequence kept, mismatches resolved.
 
-    A stretch that only one side has is one more turn of a group if it repeats, tag by
-    tag, what stands right before it; else it is optional.
-    """
+def _last_row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of longest common subsequences of ``x`` with each beginning of ``y``."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for code in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == code)))
+    return row
+
+
+def common(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in space that grows with the lengths' sum (divide and conquer)."""
+    if len(x) * len(y) <= CELLS or len(x) < 2:
+        return _table(x, y)
+    half = len(x) // 2
+    split = int(np.argmax(_last_row(x[:half], y) + _last_row(x[half:][::-1], y[::-1])[::-1]))
+    return common(x[:half], y[:split]) + [(i + half, j + split) for i, j in common(x[half:], y[split:])]
+
+
+def _ends(wrapper: list[Node], stream: list[Node]) -> tuple[int, int]:
+    """How many places both begin and end with alike."""
     a, b = len(wrapper), len(stream)
-    # what both begin and end with needs no table
     head = 0
     while head < min(a, b) and _same(wrapper[head], stream[head]):
         head += 1
     tail = 0
     while tail < min(a, b) - head and _same(wrapper[a - 1 - tail], stream[b - 1 - tail]):
         tail += 1
-    x, y = wrapper[head : a - tail], stream[head : b - tail]
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    return head, tail
+
+
+def alike(wrapper: list[Node], stream: list[Node]) -> bool:
+    """Whether two layouts have enough in common to be aligned, and aren't too long for it."""
+    ours, theirs = (Counter((n.token, n.zone) for n in side) for side in (wrapper, stream))
+    head, tail = _ends(wrapper, stream)
+    cells = (len(wrapper) - head - tail) * (len(stream) - head - tail)
+    return (ours & theirs).total() >= ALIKE * min(len(wrapper), len(stream)) and cells <= MOST_CELLS
+
+
+def align(wrapper: list[Node], stream: list[Node]) -> list[Node]:
+    """The wrapper that covers both: a longest common subsequence kept, mismatches resolved.
+
+    A stretch that only one side has is one more turn of a group if it repeats, tag by
+    tag, what stands right before it; else it is optional.
+    """
+    head, tail = _ends(wrapper, stream)  # these need no table
+    x, y = wrapper[head : len(wrapper) - tail], stream[head : len(stream) - tail]
     codes: dict[tuple[str, str], int] = {}
-    rows, columns = ([codes.setdefault((p.token, p.zone), len(codes)) for p in side] for side in (x, y))
-    columns = np.array(columns, np.int64)
-    for i in range(len(x) - 1, -1, -1):  # a row at a time, from the right
-        reached = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (columns == rows[i]))
-        best[i, :-1] = np.maximum.accumulate(reached[::-1])[::-1]
+    rows, columns = (np.array([codes.setdefault((p.token, p.zone), len(codes)) for p in side], np.int64) for side in (x, y))
     out = [_join(p, q) for p, q in zip(wrapper[:head], stream[:head], strict=True)]
-    extra: list[Node] = []  # a stretch that one side lacks
 
-    def resolve() -> None:
+    def resolve(extra: list[Node]) -> None:
         before = out[len(out) - len(extra) :]
         if extra and len(before) == len(extra) and all(_same(p, q) for p, q in zip(before, extra, strict=True)) and _balanced(extra):
             out[len(out) - len(extra) :] = [replace(_join(p, q), repeats=True, pages=max(p.pages, q.pages)) for p, q in zip(before, extra, strict=True)]
         else:
             out.extend(replace(p, optional=True) for p in extra)
-        extra.clear()
 
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and _same(x[i], y[j]):
-            resolve()
-            out.append(_join(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1, j] >= best[i, j + 1]:
-            extra.append(x[i])
-            i += 1
-        else:
-            extra.append(y[j])
-            j += 1
-    resolve()
-    out += [_join(p, q) for p, q in zip(wrapper[a - tail :] if tail else [], stream[b - tail :] if tail else [], strict=True)]
+    for k, m in [*common(rows, columns), (len(x), len(y))]:
+        resolve(x[i:k])
+        resolve(y[j:m])
+        if k < len(x):
+            out.append(_join(x[k], y[m]))
+        i, j = k + 1, m + 1
+    out += [_join(p, q) for p, q in zip(wrapper[len(wrapper) - tail :], stream[len(stream) - tail :], strict=True)]
     return out
 
 
@@ -375,7 +403,7 @@ def signature(html: str) -> tuple[list[str], list[Block], list[int], list[int]]:
     many = [False] * len(folded)
     for block, at in zip(page.blocks, slots, strict=True):
         k = place[at]
-        zones[k] = block.zone + ("~" + block.doubt if block.doubt else "")
+        zones[k] = ">".join((block.zone, *block.doubt))
         value = xxhash.xxh64_intdigest(block.text.encode()) >> 1
         many[k] |= texts[k] not in (0, value)
         texts[k] = value
@@ -394,61 +422,124 @@ def nodes_of(tokens: list[str], pages: int, texts: list[int], varies: list[bool]
 
 def infer(streams: list[tuple]) -> list[Node]:
     """A host's wrapper from its distinct folded streams (tokens, pages, text hashes, whether texts vary), the most frequent first."""
-    return merge([nodes_of(*s) for s in streams])
+    out: list[Node] = []
+    for nodes in (nodes_of(*s) for s in streams):
+        out = align(out, nodes) if out else nodes
+    return out
 
 
-def merge(wrappers: list[list[Node]]) -> list[Node]:
-    """One wrapper that covers all, aligned one after another."""
-    out: list[Node] = []
+def merge(wrappers: Iterator[list[Node]]) -> list[list[Node]]:
+    """Wrappers that cover all, each aligned to the first that it is like."""
+    out: list[list[Node]] = []
     for nodes in wrappers:
-        out = align(out, nodes) if out else nodes
+        for k, held in enumerate(out):
+            if alike(held, nodes):
+                out[k] = align(held, nodes)
+                break
+        else:
+            out.append(nodes)
     return out
 
 
-def article_slots(wrapper: list[Node], least_pages: int = 3) -> tuple[str, set[int], set[str]]:
-    """What of a host's pages is the article: its zone, hashes of the template's own texts, and the doubtful elements that belong to it.
+@dataclass
+class Slots:
+    """What a host's slots of one zone and one chain of voted elements hold: text that differs, all text, pages, most pages of a slot that differs, and pages that have the zone."""
+
+    zone: str
+    doubt: tuple[str, ...]
+    mass: int
+    chars: int
+    pages: int
+    varying: int
+    seen: int
+
+
+def choose(slots: list[Slots]) -> tuple[str, set[str]]:
+    """What of a host's pages is the article: its zone, and the chains of voted elements that belong to it.
 
     Of the zones, the one whose slots hold most of the text that differs from page to
     page is the article's: with an article or main element on most pages that is
-    ``main``, on other hosts ``plain``. Text there that ``least_pages`` pages of
-    different content or more share word for word belongs to the template, unless an
-    article element says that it doesn't; copies of a page are one content. A doubtful
-    element is part of the article if its text differs between contents and is, slot by
-    slot, at least half as long as the article's other text.
+    ``main``, on other hosts ``plain``. A voted element, outermost first, stays if
+    nothing differs outside of it. With a vote for the site's text it also stays if it
+    holds as much of what differs as all the rest, or slot by slot at least half as much
+    text as usual that differs; where pages are too few to tell, or the vote is for other people's
+    text, only if it holds ``OUTWEIGHS`` times the rest.
     """
-    slots = [n for n in wrapper if n.token == "#"]
-
-    def mass(zone: str) -> int:
-        return sum(n.chars for n in slots if n.zone.partition("~")[0] == zone and (n.varies or n.pages < least_pages))
-
-    has_main = max((n.pages for n in slots if n.zone.partition("~")[0] == "main"), default=0)
-    most = max((n.pages for n in slots), default=0)
-    zone = "main" if mass("main") and (2 * has_main >= most or mass("main") >= mass("plain")) else "plain"
-    inside = [n for n in slots if n.zone.partition("~")[0] == zone]
-    sure = [n for n in inside if not n.doubt]
-    usual = sum(n.chars for n in sure) / max(1, sum(n.pages for n in sure))
-    kept = set()
-    for name in sorted({n.doubt for n in inside if n.doubt}):
-        its = [n for n in inside if n.doubt == name]
-        if not sure or any(n.varies and n.pages > 1 for n in its) and sum(n.chars for n in its) >= 0.5 * usual * sum(n.pages for n in its):
-            kept.add(name)
-    own = {n.constant for n in slots if n.zone == "plain" and not n.varies and n.pages >= least_pages and n.constant}
-    return zone, own, kept
+    mass = lambda zone: sum(s.mass for s in slots if s.zone == zone)
+    seen = lambda zone: max((s.seen for s in slots if s.zone == zone), default=0)
+    most = max((s.seen for s in slots), default=0)
+    zone = "main" if mass("main") and (2 * seen("main") >= most or mass("main") >= mass("plain")) else "plain"
+    alive = [s for s in slots if s.zone == zone]
+    kept: set[str] = set()
+    for chain in sorted({s.doubt[: k + 1] for s in alive for k in range(len(s.doubt))}, key=lambda c: (len(c), c)):
+        its = [s for s in alive if s.doubt[: len(chain)] == chain]
+        if not its:
+            continue
+        rest = [s for s in alive if s.doubt[: len(chain)] != chain]
+        inside, outside = sum(s.mass for s in its), sum(s.mass for s in rest)
+        sure = [s for s in rest if not s.doubt] or rest
+        usual = sum(s.chars for s in sure) / max(1, sum(s.pages for s in sure))
+        differs = max(s.varying for s in its) > 1
+        stays = not outside or inside >= OUTWEIGHS * outside
+        if chain[-1].startswith("1") and differs:
+            stays |= inside >= outside or sum(s.chars for s in its) >= 0.5 * usual * sum(s.pages for s in its)
+        if stays:
+            kept.add(">".join(chain))
+        else:
+            alive = rest
+    return zone, kept
+
+
+def slots_of(wrapper: list[Node]) -> list[tuple[str, str, int | None, int, int, int]]:
+    """The text slots: zone, chain of voted elements, hash of the text (None: it differs), pages, length, and for each zone's first slot the pages that have the zone."""
+    found = [n for n in wrapper if n.token == "#"]
+    seen: dict[str, int] = {}
+    for n in found:
+        zone = n.zone.partition(">")[0]
+        seen[zone] = max(seen.get(zone, 0), n.pages)
+    return [(z, chain, None if n.varies else n.constant, n.pages, n.chars, seen.pop(z, 0)) for n in found for z, _, chain in [n.zone.partition(">")]]
+
+
+def article_slots(wrapper: list[Node], least_pages: int = LEAST_PAGES) -> tuple[str, set[int], set[str]]:
+    """For one wrapper: the article's zone, hashes of the template's own texts, and the voted elements that belong to the article.
+
+    Text of the zone ``plain`` that ``least_pages`` pages of different content or more
+    share word for word belongs to the template, unless an article element says that it
+    doesn't; copies of a page are one content.
+    """
+    found = slots_of(wrapper)
+    rows = [Slots(z, tuple(c.split(">")) if c else (), n if h is None or p < least_pages else 0, n, p, p if h is None else 0, s) for z, c, h, p, n, s in found]
+    zone, kept = choose(rows)
+    return zone, {h for z, _, h, p, _, _ in found if z == "plain" and h and p >= least_pages}, kept
 
 
 def _host(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """Per host: host, wrapper (its text), and what ``article_slots`` says: zone, template (hashes of its own texts) and doubtful elements.
+WRAPPERS = "host string, shape string, pages long, marks array<long>, nodes string"
+
+
+def _packed(wrapper: list[Node]) -> str:
+    return json.dumps([[x.item() if isinstance(x, np.generic) else x for x in astuple(n)] for n in wrapper])
+
+
+def _unpacked(text: str) -> list[Node]:
+    return [Node(*fields) for fields in json.loads(text)]
+
+
+def _row(host: str, shape: str, pages: int, wrapper: list[Node]) -> tuple:
+    tokens = {n.token for n in wrapper} or {""}
+    return host, shape, pages, [min(xxhash.xxh64_intdigest(t.encode(), k) >> 1 for t in tokens) for k in range(MARKS)], _packed(wrapper)
+
 
-    Pages become folded streams where they lie; a host's equal streams are summed
-    before anything meets in one task, with the least and greatest hash and the length
-    of each slot, so a host of very many pages brings one row per distinct stream. Streams
-    of a host align in groups of about ``TOGETHER`` first, and the groups' wrappers
-    in groups again, round by round, until each host has one.
+def streams(pages: DataFrame) -> DataFrame:
+    """Rows of ``WRAPPERS``: per host each distinct folded stream, with the pages of different content that have it.
+
+    Pages become folded streams where they lie, and are summed there and by host before
+    anything meets in one task; a stream is known by its hash until then.
     """
+    kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
@@ -461,98 +552,140 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 size = size if content in contents else [p + q for p, q in zip(size, chars, strict=True)]
                 seen[key] = [[min(p) for p in zip(low, texts, strict=True)], [max(p) for p in zip(high, texts, strict=True)], size, contents | {content}]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string()), pa.array([v[0] for v in seen.values()], pa.list_(pa.int64())), pa.array([v[1] for v in seen.values()], pa.list_(pa.int64())), pa.array([v[2] for v in seen.values()], pa.list_(pa.int64())), pa.array([sorted(v[3]) for v in seen.values()], pa.list_(pa.int64()))],
-                names=["host", "stream", "low", "high", "chars", "contents"],
+                [
+                    pa.array([h for h, _ in seen], pa.string()),
+                    pa.array([xxhash.xxh128_hexdigest(s.encode()) for _, s in seen], pa.string()),
+                    pa.array([s for _, s in seen], pa.string()),
+                    *(pa.array([sorted(v[c]) if c == 3 else v[c] for v in seen.values()], kind) for c in range(4)),
+                ],
+                names=["host", "shape", "stream", "low", "high", "chars", "contents"],
             )
 
-    streams = pages.select(_host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, stream string, low array<long>, high array<long>, chars array<long>, contents array<long>")
-    streams = write_table(streams.withColumn("shape", F.xxhash64("stream")), "streams")
+    found = pages.select(_host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    found = write_table(found.mapInArrow(run, "host string, shape string, stream string, low array<long>, high array<long>, chars array<long>, contents array<long>"), "streams")
+    key = ["host", "shape"]
     # equal texts in several shapes are still one content: it counts for one of them
-    pages_of = streams.select("host", "shape", F.explode("contents").alias("content")).groupBy("host", "content").agg(F.min("shape").alias("shape")).groupBy("host", "shape").agg(F.count("*").alias("pages"))
-    slots = streams.select("host", "stream", "shape", F.posexplode(F.arrays_zip("low", "high", "chars")).alias("k", "x"))
-    slots = slots.groupBy("host", "stream", "shape", "k").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"), F.sum("x.chars").alias("chars"))
-    distinct = slots.groupBy("host", "stream", "shape").agg(F.sort_array(F.collect_list(F.struct("k", "low", "high", "chars"))).alias("slots"))
-    distinct = distinct.join(pages_of, ["host", "shape"], "left").select("host", "shape", "stream", "slots", F.coalesce("pages", F.lit(0)).alias("pages"))
+    pages_of = found.select(*key, F.explode("contents").alias("content")).groupBy("host", "content").agg(F.min("shape").alias("shape")).groupBy(*key).agg(F.count("*").alias("pages"))
+    slots = found.select(*key, F.posexplode(F.arrays_zip("low", "high", "chars")).alias("k", "x"))
+    slots = slots.groupBy(*key, "k").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"), F.sum("x.chars").alias("chars"))
+    slots = slots.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("k", "low", "high", "chars"))).alias("slots"))
+    texts = found.groupBy(*key).agg(F.min("stream").alias("stream"))
+    distinct = texts.join(slots, key).join(pages_of, key, "left").select(*key, "stream", "slots", F.coalesce("pages", F.lit(0)).alias("pages"))
 
     def single(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for found in parts:
+        for rows in parts:
             made = [
-                _packed(nodes_of(stream.split("\n"), int(n), [s["low"] for s in slots], [s["low"] != s["high"] for s in slots], [int(s["chars"]) for s in slots]))
-                for stream, n, slots in zip(found["stream"], found["pages"], found["slots"], strict=True)
+                _row(r.host, r.shape, int(r.pages), nodes_of(r.stream.split("\n"), int(r.pages), [s["low"] for s in r.slots], [s["low"] != s["high"] for s in r.slots], [int(s["chars"]) for s in r.slots]))
+                for r in rows.itertuples()
             ]
-            yield pd.DataFrame({"host": found["host"], "shape": found["shape"], "pages": found["pages"], "nodes": made})
-
-    aligned = aligned_in_rounds(write_table(distinct.mapInPandas(single, WRAPPERS), "wrappers-0"))
+            yield pd.DataFrame(made, columns=["host", "shape", "pages", "marks", "nodes"])
 
-    def described(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for found in parts:
-            made = [_unpacked(x) for x in found["nodes"]]
-            chosen = [article_slots(w) for w in made]
-            texts = [" ".join(("(" + n.token + ")" + "+" * n.repeats + "?" * n.optional) for n in w) for w in made]
-            yield pd.DataFrame({"host": found["host"], "wrapper": texts, "zone": [z for z, _, _ in chosen], "template": [sorted(o) for _, o, _ in chosen], "kept": [sorted(k) for _, _, k in chosen]})
+    return write_table(distinct.mapInPandas(single, WRAPPERS), "wrappers")
 
-    return aligned.mapInPandas(described, "host string, wrapper string, zone string, template array<long>, kept array<string>")
 
+def dealt(wrappers: DataFrame, turn: int) -> DataFrame:
+    """``wrappers`` with ``mark`` and ``part``: each host's rows of one mark (a hash that like layouts share) dealt to parts of about ``TOGETHER`` rows."""
+    marked = wrappers.withColumn("mark", F.col("marks")[turn % MARKS])
+    sizes = marked.groupBy("host", "mark").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("shape", F.lit(turn)), F.ceil(F.col("n") / TOGETHER))
+    return marked.join(sizes, ["host", "mark"]).withColumn("part", part)
 
-WRAPPERS = "host string, shape long, pages long, nodes string"
 
+def aligned_in_rounds(wrappers: DataFrame) -> DataFrame:
+    """Each host's wrappers aligned part by part, the most frequent first, then the parts' wrappers alike, until no turn in ``MARKS`` leaves fewer."""
 
-def _packed(wrapper: list[Node]) -> str:
-    return json.dumps([[x.item() if isinstance(x, np.generic) else x for x in astuple(n)] for n in wrapper])
+    def one_part(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["pages", "shape"], ascending=[False, True])
+        made = merge(_unpacked(x) for x in found["nodes"])
+        rows = [_row(key[0], found["shape"].iloc[0] + (f".{k}" if k else ""), max((n.pages for n in nodes), default=0), nodes) for k, nodes in enumerate(made)]
+        return pd.DataFrame(rows, columns=["host", "shape", "pages", "marks", "nodes"])
+
+    turn, idle, before = 0, 0, wrappers.count()
+    while idle < MARKS and wrappers.groupBy("host").count().where("count > 1").limit(1).count():
+        met = dealt(wrappers, turn)
+        alone = met.where("n = 1").select(*wrappers.columns)
+        wrappers = write_table(alone.unionByName(met.where("n > 1").groupBy("host", "mark", "part").applyInPandas(one_part, WRAPPERS)), f"wrappers-{turn}")
+        now = wrappers.count()
+        turn, idle, before = turn + 1, idle + 1 if now == before else 0, now
+    return wrappers
 
 
-def _unpacked(text: str) -> list[Node]:
-    return [Node(*fields) for fields in json.loads(text)]
+def decisions(aligned: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """Per host: zone, template (hashes of its own texts) and kept (voted elements that belong to the article), summed over its wrappers."""
 
+    def flat(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in parts:
+            rows = [(host, *slot) for host, nodes in zip(found["host"], found["nodes"], strict=True) for slot in slots_of(_unpacked(nodes))]
+            columns = dict(zip(("host", "zone", "doubt", "constant", "pages", "chars", "seen"), zip(*rows, strict=True), strict=True)) if rows else {}
+            yield pd.DataFrame({c: pd.array(v, dtype="Int64") if c == "constant" else list(v) for c, v in columns.items()}, columns=["host", "zone", "doubt", "constant", "pages", "chars", "seen"])
+
+    slots = aligned.select("host", "nodes").mapInPandas(flat, "host string, zone string, doubt string, constant long, pages long, chars long, seen long")
+    texts = slots.groupBy("host", "zone", "doubt", "constant").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.max("pages").alias("most"), F.sum("seen").alias("seen"))
+    differs = F.col("constant").isNull()
+    template = ~differs & (F.col("zone") == "plain") & (F.col("pages") >= least_pages)
+    chains = texts.groupBy("host", "zone", "doubt").agg(
+        F.sum(F.when(differs | (F.col("pages") < least_pages), F.col("chars")).otherwise(0)).alias("mass"),
+        F.sum("chars").alias("chars"),
+        F.sum("pages").alias("pages"),
+        F.max(F.when(differs, F.col("most")).otherwise(0)).alias("varying"),
+        F.sum("seen").alias("seen"),
+        F.collect_list(F.when(template, F.col("constant"))).alias("own"),
+    )
+    zones = chains.groupBy("host", "zone").agg(F.sum("seen").alias("all_seen"))
+    hosts = chains.join(zones, ["host", "zone"]).groupBy("host").agg(F.collect_list(F.struct("zone", "doubt", "mass", "chars", "pages", "varying", F.col("all_seen").alias("seen"))).alias("slots"), F.flatten(F.collect_list("own")).alias("own"))
+
+    def chosen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in parts:
+            made = [choose([Slots(s["zone"], tuple(s["doubt"].split(">")) if s["doubt"] else (), *(int(s[c]) for c in ("mass", "chars", "pages", "varying", "seen"))) for s in slots]) for slots in found["slots"]]
+            yield pd.DataFrame({"host": found["host"], "zone": [z for z, _ in made], "template": [[int(h) for h in own if h] for own in found["own"]], "kept": [sorted(k) for _, k in made]})
 
-def dealt(wrappers: DataFrame, turn: int) -> DataFrame:
-    """``wrappers`` with ``part``: each host's rows dealt to parts of about ``TOGETHER`` rows."""
-    sizes = wrappers.groupBy("host").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("shape", F.lit(turn)), F.ceil(F.col("n") / TOGETHER))
-    return wrappers.join(sizes, "host").withColumn("part", part).drop("n")
+    return hosts.mapInPandas(chosen, "host string, zone string, template array<long>, kept array<string>")
 
 
-def aligned_in_rounds(wrappers: DataFrame) -> DataFrame:
-    """One row a host: its wrappers aligned part by part, the most frequent first, then the parts' wrappers alike."""
+def wrappers(pages: DataFrame) -> DataFrame:
+    """Rows (host, wrapper): each host's wrappers as text, one for each kind of layout."""
 
-    def one_part(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values(["pages", "shape"], ascending=[False, True])
-        nodes = merge([_unpacked(x) for x in found["nodes"]])
-        return pd.DataFrame({"host": found["host"].iloc[:1], "shape": [int(found["shape"].min())], "pages": [int(found["pages"].sum())], "nodes": [_packed(nodes)]})
+    def shown(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in parts:
+            texts = [" ".join(("(" + n.token + ")" + "+" * n.repeats + "?" * n.optional) for n in _unpacked(x)) for x in found["nodes"]]
+            yield pd.DataFrame({"host": found["host"], "wrapper": texts})
 
-    turn = 0
-    while (wrappers.groupBy("host").count().agg(F.max("count").alias("n")).first().n or 0) > 1:
-        turn += 1
-        wrappers = write_table(dealt(wrappers, turn).groupBy("host", "part").applyInPandas(one_part, WRAPPERS), f"wrappers-{turn}")
-    return wrappers
+    return aligned_in_rounds(streams(pages)).mapInPandas(shown, "host string, wrapper string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars.
 
-    The host's wrapper says which slots hold the article; a page without such slots
+    The host's wrappers say which slots hold the article; a page without such slots
     gives its other text outside chrome instead. Null html counts as empty and gives
     an empty text; a null or odd url belongs to the host ''. Repeated ids give a row each.
     """
-    learned = write_table(wrappers(pages).select("host", "zone", "template", "kept"), "wrappers").withColumnRenamed("host", "__host")
+    learned = write_table(decisions(aligned_in_rounds(streams(pages))), "decisions").withColumnRenamed("host", "__host")
     met = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host("url").alias("host"))
     met = met.join(learned, met.host == learned["__host"], "left").select("page_id", "url", "html", "zone", "template", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
             columns = (batch.column(c).to_pylist() for c in ("zone", "template", "kept"))
-            out = [main_text(text, zone or "main", set(own or ()), set(kept or ())) for text, zone, own, kept in zip(texts_of(batch, "html").to_pylist(), *columns, strict=True)]
+            out = [main_text(text, (zone or "main", set(own or ()), set(kept or ()))) for text, zone, own, kept in zip(texts_of(batch, "html").to_pylist(), *columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
     return met.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
-def main_text(html: str, zone: str = "main", own: set[int] = frozenset(), kept: set[str] = frozenset()) -> str:
-    """Text of the article's slots: those of ``zone``, without the template's own texts and doubtful elements other than ``kept``."""
+def main_text(html: str, decided: tuple[str, set[int], set[str]] | None = None) -> str:
+    """Text of the article's slots: those of its zone, without the template's own texts and voted elements other than those kept (by this page alone, if nothing is ``decided``)."""
+    if decided is None:
+        tokens, _, texts, chars = signature(html)
+        decided = article_slots(nodes_of(tokens, 1, texts, [False] * len(tokens), chars))
+    first, own, kept = decided
     blocks = read_page(html).blocks
-    for chosen in (zone, "main", "plain"):
-        found = [b for b in blocks if b.zone == chosen and (not b.doubt or b.doubt in kept)] or [b for b in blocks if b.zone == chosen]
+    stays = lambda b: all(">".join(b.doubt[: k + 1]) in kept for k in range(len(b.doubt)))
+    found: list[Block] = []
+    for zone in dict.fromkeys((first, "main", "plain")):
+        inside = [b for b in blocks if b.zone == zone]
+        found = [b for b in inside if stays(b)] or inside
         if found:
             break
     return " ".join(b.text for b in found if b.zone == "main" or not own or (xxhash.xxh64_intdigest(b.text.encode()) >> 1) not in own)

@@ -1,11 +1,14 @@
 """Vectors, pages, conversations and the pipeline."""
 
 import collections
+import tracemalloc
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from genoweave.llm import ann, html, preference, queries
@@ -188,15 +191,76 @@ def test_streams_of_a_host_meet_in_bounded_groups(spark):
         middle = "".join(f"<{n}>{n} {k}</{n}>" for n in rng.choice(names, 6))
         rows.append((k, f"http://big.example/{k}", f"<body><div>Welcome here</div>{middle}<div>Imprint</div></body>"))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    shapes = spark.range(400).selectExpr("'big.example' host", "id shape", "1L pages", "'[]' nodes")
+    shapes = spark.range(400).selectExpr("'big.example' host", "string(id) shape", "1L pages", "array(1L, 2L, 3L) marks", "'[]' nodes")
     sizes = [r["count"] for r in html.dealt(shapes, 1).groupBy("host", "part").count().collect()]
     assert sum(sizes) == 400 and max(sizes) <= 3 * html.TOGETHER
-    found = html.wrappers(pages).collect()
+    found = html.decisions(html.aligned_in_rounds(html.streams(pages))).collect()
     assert len(found) == 1 and {html.xxhash.xxh64_intdigest(t) >> 1 for t in (b"Welcome here", b"Imprint")} == set(found[0].template)
     out = {r.page_id: r.text for r in html.extract(pages).collect()}
     assert all("Welcome" not in t and "Imprint" not in t and len(t.split()) == 12 for t in out.values())
 
 
+SENTENCE = "word{0} of a paragraph that says something new on page {0} and goes on for a while, part {1}"
+
+
+@pytest.mark.parametrize(
+    ("page", "parts"),
+    [
+        ("<body><div class=top>Site</div><main><div class='content sidebar-right'><p>{0}</p><p>{1}</p></div></main><div class=footer>Imprint</div></body>", 2),
+        ("<body><div class='page has-sidebar'><div class=nav>Home News</div><div><p>{0}</p><p>{1}</p></div></div></body>", 2),
+        ("<body><div class=sidebar><p>{0}</p><p>{1}</p></div><div class=footer>Imprint</div></body>", 2),
+        ("<body><article><p>{0}</p><p class=comments-policy>{1}</p></article></body>", 2),
+        ("<body><article><p>{0}</p><p class=reply-text>{1}</p></article></body>", 2),
+        ("<body><article><p>{0}</p><p class=navigation-history>{1}</p></article></body>", 2),
+        ("<body><article><p>{0}</p><p class=menu>{1}</p><p class=subscription>{2}</p></article></body>", 3),
+        ("<body><div class=main><p>{0}</p><p>{1}</p><div class=comments><p>{2}</p></div><div class='ad'>{3}</div></div></body>", 2),
+        ("<body><article><p>{0}</p><script src=http://x/>var a=1;</script><p>{1}</p><svg/><div class=share>Share</div></article></body>", 2),
+    ],
+)
+def test_words_never_condemn_an_article(page, parts):
+    """Over six pages of a host: what holds most of the text that differs stays, whatever its class says."""
+    pages = [page.format(*(SENTENCE.format(k, part) for part in range(4))) for k in range(6)]
+    made = [html.signature(p) for p in pages]
+    decided = html.article_slots(html.infer([(t, 1, x, [False] * len(t), c) for t, _, x, c in made]))
+    assert [html.main_text(p, decided) for p in pages] == [" ".join(SENTENCE.format(k, part) for part in range(parts)) for k in range(6)]
+
+
+def test_hosts_without_article(spark):
+    """Class words, template texts and unlike layouts over whole hosts."""
+    one = "<body><div class=top>Our site</div><div class='page has-sidebar'><div class=nav>Home</div><div><p>{0}</p><p>{1}</p></div></div><div>Imprint</div></body>"
+    two = "<body><div>Our site</div><table><tr><td>{0}</td></tr></table><ul><li>{1}</li></ul><section class=comments><h3>Comments</h3><p>me too {2}</p></section><div>Imprint</div></body>"
+    rows = [(k, f"http://one.example/{k}", (one if k % 2 else two).format(SENTENCE.format(k, 0), SENTENCE.format(k, 1), k)) for k in range(12)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {k: f"{SENTENCE.format(k, 0)} {SENTENCE.format(k, 1)}" for k in range(12)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=25), st.lists(st.integers(0, 3), max_size=25))
+def test_common_in_linear_space(x, y):
+    x, y = np.array(x, np.int64), np.array(y, np.int64)
+    whole = html._table(x, y)
+    cells, html.CELLS = html.CELLS, 8
+    try:
+        found = html.common(x, y)
+    finally:
+        html.CELLS = cells
+    assert len(found) == len(whole) and all(x[i] == y[j] for i, j in found) and found == sorted(found)
+    assert len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
+
+
+def test_long_and_many_layouts_in_bounded_memory():
+    """Two pages of 8,000 unlike blocks, and a group of layouts of many kinds."""
+    rng = np.random.default_rng(1)
+    names = ["h2", "pre", "blockquote", "section", "table", "dl", "figure", "details"]
+    long = [[html.Node(t) for n in rng.choice(names, 8_000) for t in (f"<{n}>", "#", f"</{n}>")] for _ in range(2)]
+    kinds = [[html.Node(f"<t{rng.integers(k * 40, k * 40 + 40)}>") for _ in range(600)] for k in range(64)]
+    tracemalloc.start()
+    assert len(html.align(*long)) < 48_000
+    assert len(html.merge(kinds)) == 64
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
 def test_folding_is_balanced():
     folded, place = html.fold(["<ul>", "<li>", "#", "</li>", "<li>", "#", "</li>", "</ul>"])
     assert folded == ["<ul>", "<li>+", "#+", "</li>+", "</ul>"] and place == [0, 1, 2, 3, 1, 2, 3, 4]
@@ -223,7 +287,7 @@ def test_preference_against_sql(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, sf).toPandas(), con.execute(queries.ORACLES[name]).df()
     columns = sorted(want.columns)
