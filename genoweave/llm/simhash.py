@@ -239,10 +239,28 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
     """
     marked = write_table(fingerprint_documents(documents, width), "fingerprints")
     distinct = write_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    classes = connected_components(links_between(distinct.select("fp")), "a", "b")
-    grouped = distinct.join(classes, distinct.fp == classes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    grouped = _rooted(distinct)
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     membership = grouped.join(named, "root").select("fp", "component_id")
     return marked.join(membership, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """Distinct fingerprints with ``root``, one for each class of linked ones."""
+    classes = connected_components(links_between(distinct.select("fp")), "a", "b")
+    return distinct.join(classes, distinct.fp == classes.node, "left").select(*distinct.columns, F.coalesce("component", "fp").alias("root"))
+
+
+def one_of_each(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """``documents`` with one row of each class of near-duplicates: that of least doc_id, any one of its rows with that id; null ids come last.
+
+    Rows go one by one: another row of the same id stays if its text is in another class.
+    """
+    numbered = write_table(documents.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    marked = fingerprint_documents(numbered.select("number", "row.doc_id", "row.text"), width, keep=("number", "doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "number")).alias("first")
+    distinct = write_table(marked.groupBy("fp").agg(first), "distinct")
+    kept = _rooted(distinct).groupBy("root").agg(F.min("first").alias("first")).select("first.number")
+    return numbered.join(kept, "number", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in documents.columns))

@@ -305,3 +305,30 @@ def test_pipeline(spark, sf):
             docs = corpus_pipeline.write_table(docs, "test")
         counts.append(docs.count())
     assert counts[1] == counts[2] < counts[0] and counts[3] <= counts[2] and counts[4] > 0 and counts[5] == counts[4]
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf):
+    """Null ids and texts, repeated ids and rows, and empty tables through every stage; near-duplicates go row by row."""
+    long = " ".join(f"word{k}" for k in range(60))
+    texts = {"A": long, "B": " ".join(f"other{k}" for k in range(60)), "C": " ".join(f"third{k * 7}" for k in range(60))}
+    rows = [(1, "A"), (2, "A"), (2, "B"), (3, "C"), (3, "C"), (None, "C"), (None, None), (4, None), (None, "D")]
+    docs = spark.createDataFrame([(i, texts.get(t, t and " ".join(f"last{k * 3}" for k in range(50))), "en", None if i == 1 else "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.near_dedup_stage(spark, docs, sf)
+    assert sorted(((r.doc_id, (r.text or "")[:5]) for r in near.collect()), key=str) == sorted([(1, "word0"), (2, "other"), (3, "third"), (4, ""), (None, "last0")], key=str)
+    for some in (docs, docs.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, some, sf)
+            assert out.count() <= 3 * max(1, some.count())
+            assert k == 4 or out.columns == some.columns
+
+
+@pytest.mark.parametrize("name", ["op1_toxicity", "op4_sentencepiece", "op8_simhash", "op9_lm_scoring", "op12_spelling"])
+def test_registered_queries_return_a_row_for_each_document(spark, sf, name):
+    found = queries.QUERIES[name](spark, sf).toPandas()
+    documents = queries.table(spark, sf, "documents")
+    if name == "op12_spelling":
+        assert len(found) == found.word.nunique() > 0 and (found.n >= 5).all()
+        return
+    assert sorted(found.doc_id) == sorted(r.doc_id for r in documents.select("doc_id").collect())
+    scores = {"op1_toxicity": "score", "op4_sentencepiece": "n_tokens", "op8_simhash": "component_id", "op9_lm_scoring": "score"}
+    assert found[scores[name]].notna().all()
