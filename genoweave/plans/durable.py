@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +49,14 @@ def write_table(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def write_counted(frame: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``write_table``, and aggregates of the rows that pass while they are written (0 where none do)."""
+    seen = Observation()
+    table = write_table(frame.observe(seen, *(m.alias(k) for k, m in measures.items())), name)
+    found = seen.get
+    return table, {k: found.get(k) or 0 for k in measures}
+
+
 def write_sorted(frame: DataFrame, keys: list[str], name: str, by: str | None = None, dealt: bool = False) -> DataFrame:
     """``frame`` in the shared folder as a table bucketed and sorted by ``keys``, one file a bucket (and value of ``by``).
 

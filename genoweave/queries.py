@@ -311,19 +311,19 @@ def bp_weights(spark, sf_dir):
 
 @query
 def segment_edges(spark, sf_dir):
-    """All edges, summed by problem: there are a few hundred to a node."""
+    """All edges, summed by problem and kind: there are a few hundred to a node."""
     edges = weighted.segment_edges(weighted.strong(_weights(spark, sf_dir)))
-    return edges.groupBy("problem").agg(F.count("*").alias("n_edges"), F.sum("cost").cast("bigint").alias("sum_cost"), F.sum(F.col("src") * 7 + F.col("dst") * 13).cast("bigint").alias("sum_ends"))
+    return edges.groupBy("problem", "closes").agg(F.count("*").alias("n_edges"), F.sum("cost").cast("bigint").alias("sum_cost"), F.sum(F.col("src") * 7 + F.col("dst") * 13).cast("bigint").alias("sum_ends"))
 
 
 @query
 def segment_paths(spark, sf_dir):
-    return _paths(weighted.segment_edges(weighted.strong(_weights(spark, sf_dir))))
+    return _paths(weighted.strong(_weights(spark, sf_dir)))
 
 
-def _paths(edges: DataFrame) -> DataFrame:
+def _paths(nodes: DataFrame) -> DataFrame:
     """Paths as text; -1 is the cost where there is no way."""
-    out = weighted.shortest_paths(edges)
+    out = weighted.shortest_paths(nodes)
     return out.select("problem", F.coalesce(F.array_join(F.transform("path", lambda x: x.cast("string")), ","), F.lit("")).alias("path"), F.coalesce("cost", F.lit(-1)).alias("cost"))
 
 
@@ -344,7 +344,7 @@ def seed_edges(spark, sf_dir):
 
 @query
 def seed_paths(spark, sf_dir):
-    return _paths(weighted.segment_edges(weighted.strong(_seed_weights(spark, sf_dir))))
+    return _paths(weighted.strong(_seed_weights(spark, sf_dir)))
 
 
 @query
@@ -389,11 +389,6 @@ def merged_families(spark, sf_dir):
     return truth.segment_truth(truth.merge_families(fixtures.simulated_genes(spark, sf_dir)))
 
 
-@query
-def random_genome(spark, sf_dir):
-    return fasta.random_genome(spark, 3, 20, 300.0, 2.0, 7).select("header", F.length("seq").alias("length"))
-
-
 #: The stages in SQL, as common table expressions that a query cuts off where it needs.
 _CTES = {
     "psl": """select l_orderkey * 8 + l_linenumber as aln_id, strand, 1000 - 30 * d as matches, 30 * d as mismatches,
@@ -467,24 +462,23 @@ _CTES = {
     "closed": """select pos, count(*) as n from (select pos from seed union all select s.other + k.pos - s.lo from known k join span s on s.bin = k.pos // 1000 and k.pos > s.lo and k.pos < s.hi) group by pos""",
     "weight": "select pos, (1 + 20 * (n - 1) + greatest(coalesce(20 - (lead(pos) over (order by pos) - pos), 0), 0))::bigint as weight from closed",
     "node": """select *, sum(weight) over (order by pos) as upto, lag(pos) over (order by pos) as prev, lead(pos) over (order by pos) as nxt, min(pos) over () as head from weight where weight >= 40""",
-    "prob": """select *, sum(ends::int) over (order by pos) as problem, max(sum_all) over () as last_problem from (select *, coalesce(nxt - prev > 400, false) and pos > head + 400 as ends,
-        0 as sum_all from node)""",
-    "step": """select distinct problem::bigint as problem, src::bigint as src, dst::bigint as dst, cost::bigint as cost from (
-        select a.problem, a.pos as src, b.pos as dst, 40 + (b.upto - b.weight) - a.upto as cost from prob a join prob b on b.pos >= a.pos + 400 and b.pos < a.pos + 1200
-        union all select b.problem - 1, max(a.pos), b.pos, 40 + (b.upto - b.weight) - max(a.upto) from prob a join prob b on b.pos >= a.pos + 400 and b.pos < a.pos + 1200 where b.ends group by b.problem, b.pos, b.upto, b.weight)
-        where problem < (select max(problem) from prob)""",
+    "prob": """select *, (sum(ends::int) over (order by pos))::bigint as problem from (select *, coalesce(nxt - prev > 400, false) and pos > head + 400 as ends from node)""",
+    "bins": "select *, unnest([pos // 1200, pos // 1200 + 1]) as bin from prob",
+    "step": """select a.problem, a.pos::bigint as src, b.pos::bigint as dst, (40 + b.upto - b.weight - a.upto)::bigint as cost, false as closes
+        from bins a join prob b on a.bin = b.pos // 1200 and b.pos - a.pos >= 400 and b.pos - a.pos < 1200 where a.problem < (select max(problem) from prob)
+        union all select e.problem - 1, a.pos::bigint, e.pos::bigint, (40 + e.upto - e.weight - a.upto)::bigint, true from (select *, pos - 400 as beyond from prob where ends) e asof join prob a on e.beyond > a.pos""",
 }
 
 _NEEDS = {
     "psl": [], "raw": ["psl"], "good": ["psl"], "seq": ["good"], "blk": ["raw", "seq"], "cut": ["blk"], "part": ["cut"], "aln": ["part"], "mblk": ["part"], "bp": ["aln"], "waste": ["bp"],
     "atom": ["waste"], "pair": ["atom"], "ends": ["pair", "mblk"], "lifted": ["ends"], "over": ["lifted"], "back": ["over"], "induced": ["back"], "small": ["induced"], "split": ["small"],
-    "located": ["lifted"], "chosen": ["located"], "cover": ["chosen"], "edge": ["cover"], "many": ["psl"], "mseq": ["many"], "mblk2": ["raw", "mseq"], "bpair": ["mblk2"], "seed": ["bpair"], "multi": ["seed"], "span": ["bpair"], "known": ["seed", "span"], "closed": ["known"], "weight": ["closed"], "node": ["weight"], "prob": ["node"], "step": ["prob"],
+    "located": ["lifted"], "chosen": ["located"], "cover": ["chosen"], "edge": ["cover"], "many": ["psl"], "mseq": ["many"], "mblk2": ["raw", "mseq"], "bpair": ["mblk2"], "seed": ["bpair"], "multi": ["seed"], "span": ["bpair"], "known": ["seed", "span"], "closed": ["known"], "weight": ["closed"], "node": ["weight"], "prob": ["node"], "bins": ["prob"], "step": ["bins"],
 }
 
 
 #: The same from the seeds alone.
-for _name in ("weight", "node", "prob", "step"):
-    _CTES[f"seed_{_name}"] = re.sub(r"\b(from|join) (weight|node|prob)\b", r"\1 seed_\2", _CTES[_name].replace("from closed", "from multi"))
+for _name in ("weight", "node", "prob", "bins", "step"):
+    _CTES[f"seed_{_name}"] = re.sub(r"\b(from|join) (weight|node|prob|bins)\b", r"\1 seed_\2", _CTES[_name].replace("from closed", "from multi"))
     _NEEDS[f"seed_{_name}"] = ["multi" if n == "closed" else f"seed_{n}" for n in _NEEDS[_name]]
 
 
@@ -510,7 +504,7 @@ def _path_sql(edges: str) -> str:
         edges,
         """select problem, case when hi - lo < 400 then ((lo + hi) // 2)::varchar else coalesce(path, '') end as path, (case when hi - lo < 400 then 0 else coalesce(b.cost, -1) end)::bigint as cost
         from reach left join best b on b.p = problem and b.node = hi left join (select p, string_agg(node::varchar, ',' order by node) as path from walk group by p) w on w.p = problem""",
-        f"""reach as materialized (select problem, min(src) as lo, max(dst) as hi from {edges} group by problem),
+        f"""reach as materialized (select problem, coalesce(min(src) filter (not closes), min(src)) as lo, max(dst) filter (closes) as hi from {edges} group by problem),
         best(p, node, cost) using key (p, node) as (select problem, lo, 0::bigint from reach
             union select e.problem, e.dst, min(b.cost + e.cost) from best b join {edges} e on e.problem = b.p and e.src = b.node
                 left join recurring.best c on c.p = e.problem and c.node = e.dst where c.cost is null or b.cost + e.cost < c.cost group by e.problem, e.dst),
@@ -562,7 +556,7 @@ ORACLES: dict[str, str] = {
     "bp_seeds": _sql("multi", "select pos::bigint as pos, n from multi"),
     "bp_closure": _sql("closed", "select pos::bigint as pos, n from closed"),
     "bp_weights": _sql("weight", "select pos::bigint as pos, weight from weight"),
-    "segment_edges": _sql("step", "select problem, count(*) as n_edges, sum(cost)::bigint as sum_cost, sum(src * 7 + dst * 13)::bigint as sum_ends from step group by problem"),
+    "segment_edges": _sql("step", "select problem, closes, count(*) as n_edges, sum(cost)::bigint as sum_cost, sum(src * 7 + dst * 13)::bigint as sum_ends from step group by problem, closes"),
     "segment_paths": _path_sql("step"),
     "seed_weights": _sql("seed_weight", "select pos::bigint as pos, weight from seed_weight"),
     "seed_edges": _sql("seed_step", "select * from seed_step"),
