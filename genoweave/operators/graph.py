@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoweave.functions.blocks import coverage, lift
+from genoweave.operators.biconnected import signs_by_block
 from genoweave.operators.components import connected_components
 from genoweave.operators.intervals import asof, containment_join, overlap_join
 from genoweave.operators.ordered import running_sum
@@ -109,13 +109,13 @@ def component_labels(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     return labelled.join(roots, "root").select("atom_nr", "class_nr", "root")
 
 
-def _signs(i: list[int], j: list[int], weight: list[int]) -> dict[int, int]:
-    """Sign of each node by depth-first search from the least one, neighbours in ascending order; an edge of negative weight turns it."""
+def walk_signs(i: list[int], j: list[int], weight: list[int], start: int) -> dict[int, int]:
+    """Sign of each node by depth-first search from ``start``, neighbours in ascending order; an edge of negative weight turns it."""
     near: dict[int, list[tuple[int, int]]] = {}
     for a, b, w in zip(i, j, weight, strict=True):
         near.setdefault(a, []).append((b, -1 if w < 0 else 1))
     signs: dict[int, int] = {}
-    stack = [(min(near), 1)]
+    stack = [(start, 1)]
     while stack:
         node, sign = stack.pop()
         if node in signs:
@@ -130,8 +130,8 @@ def classes(atoms: DataFrame, edges: DataFrame) -> DataFrame:
 
     Signs come from components of the doubled graph, with one node for each atom and
     sign: an edge of negative weight joins unlike signs. Where both nodes of an atom
-    fall together signs contradict each other, and only there the walk of ``_signs``
-    decides, with such a component in one task. Components without a negative edge are all '+'.
+    fall together signs contradict each other, and there the walk of ``walk_signs``
+    decides, block by block. Components without a negative edge are all '+'.
     """
     labels = write_table(component_labels(atoms, edges), "labels")
     own = edges.where("i <> j").join(labels.select((F.col("atom_nr") - 1).alias("i"), "root"), "i")
@@ -143,11 +143,11 @@ def classes(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     plain = found.where("node % 2 = 0").select(F.expr("node div 2 + 1").alias("atom_nr"), F.when(F.col("component") % 2 == 0, 1).otherwise(-1).alias("sign"))
     twisted = found.where("node % 2 = 1 and component = node - 1").select(F.expr("component div 2 + 1").alias("root"))
 
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        walked = _signs(rows.i.tolist(), rows.j.tolist(), rows.weight.tolist())
-        return pd.DataFrame({"atom_nr": [k + 1 for k in walked], "walked": list(walked.values())})
-
-    walked = own.join(twisted, "root", "left_semi").groupBy("root").applyInPandas(search, "atom_nr long, walked int")
+    signed_edges = own.join(twisted, "root", "left_semi").select("i", "j", F.when(F.col("weight") < 0, -1).otherwise(1).alias("sign"))
+    twisted = write_table(twisted.select((F.col("root") - 1).alias("node")), "twisted")
+    walked = atoms.select("atom_nr", F.lit(None).cast("int").alias("walked")).limit(0)
+    if not twisted.isEmpty():
+        walked = signs_by_block(signed_edges, twisted, walk_signs).select((F.col("node") + 1).alias("atom_nr"), F.col("sign").alias("walked"))
     signed = labels.join(plain, "atom_nr", "left").join(walked, "atom_nr", "left")
     return signed.select("atom_nr", "class_nr", F.when(F.coalesce("walked", "sign") < 0, "-").otherwise("+").alias("strand"))
 

@@ -93,22 +93,25 @@ def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, bucket:
     return a.join(b, ["__l", "__b"]).where(f"{low} <= last and first <= {high} and {once}").drop("__l", "__b", "__p", "__q")
 
 
-def asof(rows: DataFrame, at: str, regions: DataFrame, key: str, value: str, name: str, chunk: int = 1 << 20) -> DataFrame:
+#: Positions of a chunk of regions that rows look themselves up in.
+LOOKUP = 1 << 12
+
+
+def asof(rows: DataFrame, at: str, regions: DataFrame, key: str, value: str, name: str, chunk: int = LOOKUP) -> DataFrame:
     """Adds ``name``: ``value`` of the last region whose ``key`` is at most ``at``; of the first region where there is none.
 
-    Both sides are dealt by chunks of positions; a chunk begins with what the chunks before hand on.
+    The regions of a chunk of positions, at most ``chunk`` of them where keys are distinct, become a sorted list that begins with
+    what the chunks before hand on. Rows only join their chunk's list, so that a chunk of very many rows is split like any skewed join.
     """
-    keyed = regions.select(F.col(key).alias("__k"), F.col(value).alias("__val")).withColumn("__chunk", F.floor(F.col("__k") / chunk))
-    asked = rows.withColumn("__chunk", F.floor(F.col(at) / chunk)).withColumn("__k", F.col(at))
-    both = asked.withColumn("__val", F.lit(None).cast(keyed.schema["__val"].dataType)).withColumn("__side", F.lit(1)).unionByName(keyed.withColumn("__side", F.lit(0)), allowMissingColumns=True)
-    w = W.partitionBy("__chunk").orderBy("__k", "__side").rowsBetween(W.unboundedPreceding, 0)
-    local = both.withColumn("__local", F.last("__val", ignorenulls=True).over(w)).where("__side = 1")
-    ends = both.groupBy("__chunk").agg(F.max_by("__val", F.when(F.col("__side") == 0, F.col("__k"))).alias("__e"))
-    order = W.partitionBy(F.lit(1)).orderBy("__chunk")
-    carried = ends.select(F.col("__chunk").alias("__c"), F.last("__e", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("__from"))
+    keyed = regions.select(F.col(key).alias("__k"), F.struct(F.col(value).alias("v")).alias("__val"), F.floor(F.col(key) / chunk).alias("__chunk"))
+    lists = keyed.groupBy("__chunk").agg(F.sort_array(F.collect_list(F.struct(F.col("__k").alias("k"), F.col("__val").alias("v")))).alias("__found"), F.max_by("__val", "__k").alias("__last"))
+    asked = rows.select(F.floor(F.col(at) / chunk).alias("__chunk")).distinct()
+    w = W.partitionBy(F.lit(1)).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)  # a row a chunk
+    carried = lists.join(asked, "__chunk", "full").withColumn("__from", F.last("__last", ignorenulls=True).over(w)).drop("__last")
     least = keyed.agg(F.min_by("__val", "__k").alias("__least"))
-    out = local.join(carried, F.col("__chunk") == F.col("__c")).join(F.broadcast(least))
-    return out.withColumn(name, F.coalesce("__local", "__from", "__least")).select(*rows.columns, name)
+    out = rows.withColumn("__chunk", F.floor(F.col(at) / chunk)).join(carried, "__chunk").join(F.broadcast(least))
+    own = F.try_element_at(F.filter("__found", lambda x: x["k"] <= F.col(at)), F.lit(-1))["v"]
+    return out.withColumn(name, F.coalesce(own, "__from", "__least")["v"]).select(*rows.columns, name)
 
 
 def minimal_maximal(intervals: DataFrame, by: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from genoweave.config import SegmentationConfig
 from genoweave.functions.blocks import global_block, mirrored_blocks, split_at_gaps, zip_blocks
+from genoweave.operators.ordered import running_sums
 
 
 def identity_filter(psl: DataFrame, min_ident: int) -> DataFrame:
@@ -21,13 +21,12 @@ def identity_filter(psl: DataFrame, min_ident: int) -> DataFrame:
 def sequence_offsets(psl: DataFrame, order: str = "aln_id") -> DataFrame:
     """name, size, seq_idx, offset: sequences in order of first sight (query before target), each after the last's end.
 
-    The size is the one at first sight. One row per sequence is ordered in one task.
+    The size is the one at first sight.
     """
     seen = psl.select(F.explode(F.array(*(F.struct(F.struct(F.col(order).alias("o"), F.lit(k).alias("k")).alias("at"), F.col(f"{s}_name").alias("name"), F.col(f"{s}_size").alias("size")) for k, s in enumerate("qt")))).alias("x")).select("x.*")
-    first = seen.groupBy("name").agg(F.min(F.struct("at", "size")).alias("f")).select("name", "f.at", "f.size")
-    w = W.partitionBy(F.lit(1)).orderBy("at")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return first.select("name", "size", (F.row_number().over(w) - 1).alias("seq_idx"), before.cast("bigint").alias("offset"))
+    first = seen.groupBy("name").agg(F.min(F.struct("at", "size")).alias("f")).select("name", "f.size", "f.at.o", "f.at.k")
+    first = running_sums(first, {"__n": F.lit(1), "__end": F.col("size")}, ["o", "k"])
+    return first.select("name", "size", (F.col("__n") - 1).cast("int").alias("seq_idx"), (F.col("__end") - F.col("size")).cast("bigint").alias("offset"))
 
 
 def offset_join(psl: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -31,13 +31,21 @@ def max_before(rows: DataFrame, value: str, order: list[str], name: str, chunk:
     return local.join(carried, F.col("__chunk") == F.col("__c")).withColumn(name, F.greatest("__local", "__from")).drop("__chunk", "__c", "__from", "__local")
 
 
+def running_sums(rows: DataFrame, sums: dict[str, Column], order: list[str], chunk: int = CHUNK) -> DataFrame:
+    """Adds for each name of ``sums`` the sum of its column up to and with this row, all in one pass."""
+    cut, w = _chunked(rows.withColumns({f"__x{k}": v.cast("bigint") for k, v in enumerate(sums.values())}), order, chunk)
+    before = W.partitionBy(F.lit(1)).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy("__chunk").agg(*(F.sum(f"__x{k}").alias(f"__v{k}") for k in range(len(sums))))
+    carried = totals.select(F.col("__chunk").alias("__c"), *(F.coalesce(F.sum(f"__v{k}").over(before), F.lit(0)).alias(f"__from{k}") for k in range(len(sums))))
+    here = w.rowsBetween(W.unboundedPreceding, 0)
+    local = cut.withColumns({f"__local{k}": F.sum(f"__x{k}").over(here) for k in range(len(sums))})
+    out = local.join(carried, F.col("__chunk") == F.col("__c")).withColumns({name: F.col(f"__local{k}") + F.col(f"__from{k}") for k, name in enumerate(sums)})
+    return out.drop("__chunk", "__c", *(f"__{c}{k}" for c in ("x", "local", "from") for k in range(len(sums))))
+
+
 def running_sum(rows: DataFrame, value: Column, order: list[str], name: str, chunk: int = CHUNK) -> DataFrame:
     """Adds ``name``: the sum of ``value`` up to and with this row."""
-    cut, w = _chunked(rows.withColumn("__x", value.cast("bigint")), order, chunk)
-    before = W.partitionBy(F.lit(1)).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-    carried = _carried(cut, F.sum("__x")).select(F.col("__chunk").alias("__c"), F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__from"))
-    local = cut.withColumn("__local", F.sum("__x").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return local.join(carried, F.col("__chunk") == F.col("__c")).withColumn(name, F.col("__local") + F.col("__from")).drop("__chunk", "__c", "__from", "__local", "__x")
+    return running_sums(rows, {name: value}, order, chunk)
 
 
 def next_value(rows: DataFrame, value: str, order: list[str], name: str, chunk: int = CHUNK) -> DataFrame:

@@ -31,15 +31,14 @@ class Stages:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self.psl = fixtures.psl_rows(spark, sf_dir)
-        self.good = normalize.identity_filter(self.psl, CONFIG.min_ident)
-        self.sequences = normalize.sequence_offsets(self.good)
+        self.good = write_table(normalize.identity_filter(self.psl, CONFIG.min_ident), "good")
+        self.sequences = write_table(normalize.sequence_offsets(self.good), "sequences")
         self.placed = normalize.offset_join(self.good, self.sequences)
         self.blocks = normalize.global_blocks(self.placed)
         self.parts = normalize.gap_split(normalize.remove_zero_blocks(self.blocks), CONFIG.max_gap, CONFIG.min_aln_length)
 
     def stored(self) -> Stages:
         """Alignments, waste and atoms, the first two as tables."""
-        self.sequences = write_table(self.sequences, "sequences")
         self.alignments = write_table(normalize.mirror(self.parts), "alignments")
         self.waste = write_table(intervals.islands(intervals.breakpoints(self.alignments, self.sequences), CONFIG.min_length), "waste")
         self.atoms = intervals.gaps_between(self.waste)
@@ -243,6 +242,13 @@ def component_labels(spark, sf_dir):
     return graph.component_labels(s.atoms, write_table(s.edges(), "edges")).select("atom_nr", "class_nr")
 
 
+@query
+def signed_classes(spark, sf_dir):
+    """Classes and strands of the atoms between the initial waste."""
+    s = Stages(spark, sf_dir).stored()
+    return graph.classes(write_table(s.atoms, "atoms"), write_table(s.edges(), "edges")).select("atom_nr", "class_nr", "strand")
+
+
 @query
 def reoptimise(spark, sf_dir):
     s = Stages(spark, sf_dir).stored()
@@ -347,6 +353,10 @@ def seed_paths(spark, sf_dir):
     return _paths(weighted.strong(_seed_weights(spark, sf_dir)))
 
 
+#: Letters of a chunk in the genome queries, small so that the tables' genomes have several.
+GENOME_CHUNK = 6000
+
+
 @query
 def revcomp(spark, sf_dir):
     return fixtures.gene_records(spark, sf_dir).select("doc_id", fasta.reverse_complement(F.col("seq")).alias("seq"))
@@ -354,7 +364,26 @@ def revcomp(spark, sf_dir):
 
 @query
 def assemble_dna(spark, sf_dir):
-    return fasta.assemble(fixtures.gene_records(spark, sf_dir), "genome")
+    return fasta.assemble(fixtures.gene_records(spark, sf_dir), "genome", GENOME_CHUNK)
+
+
+@query
+def genome_files(spark, sf_dir):
+    """Genomes assembled, written as FASTA and read back, in chunks throughout."""
+    folder = f"{shared_folder(spark)}/genomes-{uuid.uuid4().hex}"
+    chunks = fasta.assemble(fixtures.gene_records(spark, sf_dir), "genome", GENOME_CHUNK)
+    fasta.write_sequences(chunks.select(F.col("genome").alias("place"), F.concat(F.lit("genome "), "genome").alias("header"), "chunk", "letters"), folder)
+    records, found = fasta.scan_sequences(spark, folder, GENOME_CHUNK, one=True)
+    return found.join(records, ["file", "record"]).select(F.substring_index("header", " ", -1).cast("bigint").alias("genome"), "chunk", "letters")
+
+
+@query
+def turned_genomes(spark, sf_dir):
+    """Reverse complements of whole genomes, chunk by chunk."""
+    chunks = fasta.assemble(fixtures.gene_records(spark, sf_dir), "genome", GENOME_CHUNK)
+    chunks = write_table(chunks.withColumn("start", F.col("chunk") * GENOME_CHUNK), "chunks")
+    sizes = chunks.groupBy("genome").agg(F.sum(F.length("letters")).alias("n"))
+    return fasta.chunked(fasta.turned(chunks.join(sizes, "genome"), "n"), ["genome"], GENOME_CHUNK)
 
 
 @query
@@ -368,6 +397,14 @@ def homology_edges(spark, sf_dir):
     return truth.homology_edges(fixtures.homology_matrix(spark, sf_dir))
 
 
+@query
+def homology_file(spark, sf_dir):
+    """The matrix written as a homology file and read back."""
+    path = f"{shared_folder(spark)}/homology-{uuid.uuid4().hex}"
+    fasta.write_homology(fixtures.homology_matrix(spark, sf_dir), path)
+    return truth.homology_edges(fasta.read_homology(spark, path))
+
+
 @query
 def homology_classes(spark, sf_dir):
     return truth.homology_classes(truth.homology_edges(fixtures.homology_matrix(spark, sf_dir)))
@@ -514,12 +551,25 @@ def _path_sql(edges: str) -> str:
     )
 
 
+HOMOLOGY_SQL = """select distinct least(g, h) as g1, (case when g <= h then x else y end)::int as x, greatest(g, h) as g2, (case when g <= h then y else x end)::int as y from (
+    select (l_suppkey % 5)::int as g, l_partkey as x, lead((l_suppkey % 5)::int) over w as h, lead(l_partkey) over w as y from lineitem
+    window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)) where h is not null"""
+
+
+def _genome_sql(letters: str) -> str:
+    """Genomes as whole strings, then cut."""
+    return f"""with whole as (select genome, string_agg(case when doc_id % 3 = 0 then translate(reverse(s), 'ACGT', 'TGCA') else s end, '' order by doc_id) as seq
+            from (select doc_id // 20 as genome, doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') as s from documents) group by genome),
+        cut as (select genome, {letters} as seq, unnest(range((length(seq) + 5999) // 6000)) as chunk from whole)
+        select genome, chunk, substr(seq, chunk * 6000 + 1, 6000) as letters from cut"""
+
+
 ORACLES: dict[str, str] = {
     "psl_scan": _sql("raw", "select aln_id as line_no, matches, mismatches, strand, q_name, 200000::bigint as q_size, t_name, (n + z)::int as block_count, sum(t_psl)::bigint as sum_t, sum(q_psl)::bigint as sum_q from raw group by all"),
     "psl_raw_scan": _sql("raw", "select aln_id as line_no, 200000::bigint as t_size, string_agg(size::varchar, ',' order by k) as sizes from raw group by aln_id"),
     "psl_files": _sql("raw", """select row_number() over (order by aln_id) as place, matches, strand, q_name, 200000::bigint as q_size, t_name, block_count, last_t
         from (select aln_id, matches, strand, q_name, t_name, (n + z)::int as block_count, max(t_psl)::bigint as last_t from raw group by all)"""),
-    "fasta_files": """select 'G' || doc_id || '_SE' || lpad((doc_id % 5)::varchar, 3, '0') as id, 'dna' as seq_type, (case when doc_id % 3 = 0 then -doc_id - 1 else doc_id + 1 end)::int as locus,
+    "fasta_files": """select 'G' || doc_id || '_SE' || case when doc_id // 20 < 1000 then lpad((doc_id // 20)::varchar, 3, '0') else (doc_id // 20)::varchar end as id, 'dna' as seq_type, (case when doc_id % 3 = 0 then -doc_id - 1 else doc_id + 1 end)::int as locus,
         regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') as seq from documents""",
     "genome_order": """select *, row_number() over (order by genome, file) - 1 as place from (
         select 'sim/SE' || (s_suppkey * 37 % 1009) || '_dna_' || s_suppkey || '.fa' as file, s_suppkey * 37 % 1009 as genome from supplier)""",
@@ -562,14 +612,14 @@ ORACLES: dict[str, str] = {
     "seed_edges": _sql("seed_step", "select * from seed_step"),
     "seed_paths": _path_sql("seed_step"),
     "revcomp": "select doc_id, translate(reverse(regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')), 'ACGT', 'TGCA') as seq from documents",
-    "assemble_dna": """select genome, string_agg(case when doc_id % 3 = 0 then translate(reverse(s), 'ACGT', 'TGCA') else s end, '' order by doc_id) as seq
-        from (select doc_id % 5 as genome, doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') as s from documents) group by genome""",
+    "assemble_dna": _genome_sql("seq"),
+    "genome_files": _genome_sql("seq"),
+    "turned_genomes": _genome_sql("translate(reverse(seq), 'ACGT', 'TGCA')"),
     "seq_type_flags": "select case when p_size > 25 then 'marker_' else 'intermarker_' end || p_partkey as header, case when p_size > 25 then 1 else 2 end as flag from part",
-    "homology_edges": """select distinct least(g, h) as g1, (case when g <= h then x else y end)::int as x, greatest(g, h) as g2, (case when g <= h then y else x end)::int as y from (
-        select (l_suppkey % 5)::int as g, l_partkey as x, lead((l_suppkey % 5)::int) over w as h, lead(l_partkey) over w as y from lineitem where l_returnflag = 'R'
-        window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)) where h is not null""",
+    "homology_edges": HOMOLOGY_SQL,
+    "homology_file": HOMOLOGY_SQL,
     "homology_classes": """with recursive link as materialized (select distinct (l_suppkey % 5) * 1000000000 + l_partkey as a, lead((l_suppkey % 5) * 1000000000 + l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as b
-            from lineitem where l_returnflag = 'R'),
+            from lineitem),
         ways as materialized (select a as i, b as j from link where b is not null union select b, a from link where b is not null),
         reach(n, l) using key (n) as (select i, least(i, min(j)) from ways group by i
             union select e.j, min(r.l) from reach r join ways e on e.i = r.n join recurring.reach c on c.n = e.j where r.l < c.l group by e.j)

@@ -8,7 +8,7 @@ from genoweave.plans.segmentation import step
 from genoweave.queries import CONFIG, ORACLES, QUERIES, SMALL_ORACLES, Stages
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"atoms_report", "reoptimise", "segmentation_waste", "run_stats"}
+SLOW = {"atoms_report", "reoptimise", "segmentation_waste", "run_stats", "signed_classes"}
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +95,25 @@ def test_rounds_that_only_follow_changes_against_whole_rounds(spark, sf):
     stats = QUERIES["run_stats"](spark, sf).orderBy("iteration").collect()
     assert [r.waste for r in stats] == counts
     assert {(r.sequences, r.alignments) for r in stats} == {(s.sequences.count(), s.alignments.count())}
+
+
+def test_signed_classes_against_a_walk(spark, sf):
+    """Every atom of the smallest tables: classes by order of their least atom, signs by walking neighbours in order."""
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{sf}/lineitem.parquet'")
+    near = {}
+    for i, j, weight in sorted(con.execute(ORACLES["atom_graph"]).fetchall()):
+        near.setdefault(i, []).append((j, -1 if weight < 0 else 1))
+    found, classes = {}, 0
+    for (atom,) in sorted(con.execute(f"select atom_nr from ({ORACLES['atoms']})").fetchall()):
+        if atom - 1 in found:
+            continue
+        classes += 1
+        todo = [(atom - 1, 1)]
+        while todo:
+            node, sign = todo.pop()
+            if node not in found:
+                found[node] = classes, sign
+                todo += [(other, sign * s) for other, s in reversed(near.get(node, []))]
+    got = {r.atom_nr: (r.class_nr, r.strand) for r in QUERIES["signed_classes"](spark, sf).collect()}
+    assert got == {node + 1: (nr, "-" if sign < 0 else "+") for node, (nr, sign) in found.items()}

@@ -1,5 +1,7 @@
 """Hand-derived segmentations and parser thresholds."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,16 +165,43 @@ def test_command_line():
 
 
 def test_signs_of_whole_and_twisted_components(spark):
-    from genoweave.operators.graph import _signs, classes
+    from genoweave.operators.graph import classes, walk_signs
 
     edges = [(0, 1, -2), (1, 2, 1), (2, 3, -1), (0, 3, 1), (4, 5, -1), (5, 6, -1), (4, 6, -1), (7, 8, 3), (9, 9, -2)]
     both = [*edges[:-1], *((b, a, w) for a, b, w in edges)]
     atoms = spark.createDataFrame([(k + 1,) for k in range(11)], "atom_nr long")
     got = {r.atom_nr - 1: r.strand for r in classes(atoms, spark.createDataFrame(both, "i long, j long, weight long")).collect()}
-    want = _signs(*map(list, zip(*[e for e in both if e[0] < 4], strict=True))) | _signs(*map(list, zip(*[e for e in both if 4 <= e[0] < 7], strict=True)))
+    want = walk_signs(*map(list, zip(*both, strict=True)), 0) | walk_signs(*map(list, zip(*both, strict=True)), 4)
     assert got == {k: "-" if want.get(k, 1) < 0 else "+" for k in range(11)} and "-" in got.values()
 
 
+def test_signs_block_by_block(spark):
+    """Random graphs of many blocks against one walk of each component."""
+    from genoweave.operators.graph import classes, walk_signs
+
+    rng = random.Random(6)
+    edges, n = {}, 0
+    for _ in range(30):  # components of blocks that hang together at single nodes
+        nodes, n = [n], n + 1
+        for _ in range(rng.randrange(1, 6)):
+            ring = [rng.choice(nodes), *range(n, n + rng.randrange(1, 7))]
+            n += len(ring) - 1
+            nodes += ring[1:]
+            for a, b in [*zip(ring, ring[1:], strict=False), (ring[-1], ring[0]), *(rng.sample(ring, 2) for _ in range(rng.randrange(3)))]:
+                if a != b:
+                    edges[min(a, b), max(a, b)] = rng.choice([-3, -1, 0, 2, 2, 5])
+    order = rng.sample(range(n), n)
+    edges = {tuple(sorted((order[a], order[b]))): w for (a, b), w in edges.items()}
+    both = [(a, b, w) for (a, b), w in edges.items()] + [(b, a, w) for (a, b), w in edges.items()]
+    want = {}
+    for k in range(n):
+        if k not in want:
+            want |= walk_signs(*map(list, zip(*both, strict=True)), k)
+    atoms = spark.createDataFrame([(k + 1,) for k in range(n)], "atom_nr long")
+    got = {r.atom_nr - 1: r.strand for r in classes(atoms, spark.createDataFrame(both, "i long, j long, weight long")).collect()}
+    assert got == {k: "-" if want[k] < 0 else "+" for k in range(n)}
+
+
 def test_report_text(psl, tmp_path):
     write_report(segment(psl(line("A", "B", [400], [100], [300]))), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
