@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,13 +126,18 @@ def walk_signs(i: list[int], j: list[int], weight: list[int], start: int) -> dic
     return signs
 
 
-def classes(atoms: DataFrame, edges: DataFrame) -> DataFrame:
+#: Edges of a component of contradicting signs up to which one task walks it whole.
+EDGES_AT_ONCE = 200_000
+
+
+def classes(atoms: DataFrame, edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """atom_nr, class_nr, strand: '-' for atoms that an odd number of negative edges parts from the least atom of their component.
 
     Signs come from components of the doubled graph, with one node for each atom and
     sign: an edge of negative weight joins unlike signs. Where both nodes of an atom
     fall together signs contradict each other, and there the walk of ``walk_signs``
-    decides, block by block. Components without a negative edge are all '+'.
+    decides: in one task for a component of up to ``at_once`` edges, block by block for
+    larger ones. Components without a negative edge are all '+'.
     """
     labels = write_table(component_labels(atoms, edges), "labels")
     own = edges.where("i <> j").join(labels.select((F.col("atom_nr") - 1).alias("i"), "root"), "i")
@@ -143,11 +149,18 @@ def classes(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     plain = found.where("node % 2 = 0").select(F.expr("node div 2 + 1").alias("atom_nr"), F.when(F.col("component") % 2 == 0, 1).otherwise(-1).alias("sign"))
     twisted = found.where("node % 2 = 1 and component = node - 1").select(F.expr("component div 2 + 1").alias("root"))
 
-    signed_edges = own.join(twisted, "root", "left_semi").select("i", "j", F.when(F.col("weight") < 0, -1).otherwise(1).alias("sign"))
-    twisted = write_table(twisted.select((F.col("root") - 1).alias("node")), "twisted")
-    walked = atoms.select("atom_nr", F.lit(None).cast("int").alias("walked")).limit(0)
-    if not twisted.isEmpty():
-        walked = signs_by_block(signed_edges, twisted, walk_signs).select((F.col("node") + 1).alias("atom_nr"), F.col("sign").alias("walked"))
+    contrary = own.join(twisted, "root", "left_semi").select("root", "i", "j", F.when(F.col("weight") < 0, -1).otherwise(1).alias("sign"))
+    sizes = write_table(contrary.groupBy("root").agg(F.count("*").alias("n")), "contrary")
+
+    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = walk_signs(rows.i.tolist(), rows.j.tolist(), rows.sign.tolist(), int(key[0]) - 1)
+        return pd.DataFrame({"node": list(found), "sign": list(found.values())})
+
+    walked = contrary.join(sizes.where(F.col("n") <= at_once), "root", "left_semi").groupBy("root").applyInPandas(search, "node long, sign int")
+    large = sizes.where(F.col("n") > at_once).select("root")
+    if not large.isEmpty():
+        walked = walked.unionByName(signs_by_block(contrary.join(large, "root", "left_semi"), large.select((F.col("root") - 1).alias("node")), walk_signs))
+    walked = walked.select((F.col("node") + 1).alias("atom_nr"), F.col("sign").alias("walked"))
     signed = labels.join(plain, "atom_nr", "left").join(walked, "atom_nr", "left")
     return signed.select("atom_nr", "class_nr", F.when(F.coalesce("walked", "sign") < 0, "-").otherwise("+").alias("strand"))
 

@@ -170,7 +170,7 @@ def test_signs_of_whole_and_twisted_components(spark):
     edges = [(0, 1, -2), (1, 2, 1), (2, 3, -1), (0, 3, 1), (4, 5, -1), (5, 6, -1), (4, 6, -1), (7, 8, 3), (9, 9, -2)]
     both = [*edges[:-1], *((b, a, w) for a, b, w in edges)]
     atoms = spark.createDataFrame([(k + 1,) for k in range(11)], "atom_nr long")
-    got = {r.atom_nr - 1: r.strand for r in classes(atoms, spark.createDataFrame(both, "i long, j long, weight long")).collect()}
+    got = {r.atom_nr - 1: r.strand for r in classes(atoms, spark.createDataFrame(both, "i long, j long, weight long"), 0).collect()}
     want = walk_signs(*map(list, zip(*both, strict=True)), 0) | walk_signs(*map(list, zip(*both, strict=True)), 4)
     assert got == {k: "-" if want.get(k, 1) < 0 else "+" for k in range(11)} and "-" in got.values()
 
@@ -198,8 +198,9 @@ def test_signs_block_by_block(spark):
         if k not in want:
             want |= walk_signs(*map(list, zip(*both, strict=True)), k)
     atoms = spark.createDataFrame([(k + 1,) for k in range(n)], "atom_nr long")
-    got = {r.atom_nr - 1: r.strand for r in classes(atoms, spark.createDataFrame(both, "i long, j long, weight long")).collect()}
-    assert got == {k: "-" if want[k] < 0 else "+" for k in range(n)}
+    for at_once in (40, 1000):  # some components by blocks, then none
+        got = {r.atom_nr - 1: r.strand for r in classes(atoms, spark.createDataFrame(both, "i long, j long, weight long"), at_once).collect()}
+        assert got == {k: "-" if want[k] < 0 else "+" for k in range(n)}
 
 
 def test_report_text(psl, tmp_path):
