@@ -11,6 +11,8 @@ from genoweave.operators.ordered import max_before, next_value, numbered_next
 
 #: Bins of an interval join: level k has bins of ``bucket`` * FACTOR^k positions, up to level TOP.
 FACTOR, TOP = 8, 2
+#: A bin of over HEAVY rows is dealt out if it is among the HEAVIEST bins (the others stay whole, with at most one row in so many).
+HEAVY, HEAVIEST = 1 << 14, 1 << 16
 
 
 def breakpoints(alignments: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -68,29 +70,45 @@ def _binned(rows: DataFrame, low: str, high: str, bucket: int, above: bool) -> D
     return at.withColumn("__b", F.explode(F.expr(f"sequence({low} div {size}, {high} div {size})")))
 
 
-def containment_join(inner: DataFrame, outer: DataFrame, bucket: int = 1000) -> DataFrame:
+def _meet(many: DataFrame, few: DataFrame, heavy: int) -> DataFrame:
+    """Pairs of rows of the same bin; a bin of over ``heavy`` rows of ``many`` is dealt out to cells by their hash.
+
+    The rows of ``few`` in such a bin go to all its cells. They are regions apart from each other or
+    distinct positions, so a bin's size bounds them. Each pair still meets once.
+    """
+    loads = many.groupBy("__l", "__b").agg(F.count("*").alias("__n")).where(F.col("__n") > heavy)
+    grid = F.broadcast(loads.orderBy(F.desc("__n"), "__l", "__b").limit(HEAVIEST).select("__l", "__b", F.ceil(F.col("__n") / heavy).alias("__cells")))
+    cell = F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("__cells")), F.lit(0)).alias("__cell")
+    cells = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__cells"), F.lit(1)) - 1)).alias("__cell")
+    dealt = many.join(grid, ["__l", "__b"], "left").select(*many.columns, cell)
+    copied = few.join(grid, ["__l", "__b"], "left").select(*few.columns, cells)
+    return copied.join(dealt, ["__l", "__b", "__cell"]).drop("__cell")
+
+
+def containment_join(inner: DataFrame, outer: DataFrame, bucket: int = 1000, heavy: int = HEAVY) -> DataFrame:
     """Pairs where outer's [t_start, t_end] contains inner's [first, last].
 
     Outer rows go to the few bins they touch at their level, inner rows to that of
     their middle at each level where an outer row can hold them: each pair meets once.
     All outer columns are copied to each bin; leave block lists out and fetch them for the pairs.
+    Bins of over ``heavy`` outer rows are dealt out.
     """
     wide = _binned(outer, "t_start", "t_end", bucket, above=False).drop("__own")
     levels = F.sequence(_level(F.col("last") - F.col("first"), bucket), F.lit(TOP))
     narrow = inner.withColumn("__l", F.explode(levels)).withColumn("__b", F.expr(f"((first + last) div 2) div {_size('__l', bucket)}"))
-    return narrow.join(wide, ["__l", "__b"]).where("t_start <= first and t_end >= last").drop("__l", "__b")
+    return _meet(wide, narrow, heavy).where("t_start <= first and t_end >= last").drop("__l", "__b")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, bucket: int = 1000) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, bucket: int = 1000, heavy: int = HEAVY) -> DataFrame:
     """Pairs where left's [low, high] and right's [first, last], closed, share a position.
 
-    A pair meets at the wider of its two levels, in the first bin that both touch.
+    A pair meets at the wider of its two levels, in the first bin that both touch. Bins of over ``heavy`` left rows are dealt out.
     """
     a = _binned(left, low, high, bucket, above=True).withColumnRenamed("__own", "__p")
     b = _binned(right, "first", "last", bucket, above=True).withColumnRenamed("__own", "__q")
     size = _size("__l", bucket)
     once = f"__l = greatest(__p, __q) and __b = greatest({low} div {size}, first div {size})"
-    return a.join(b, ["__l", "__b"]).where(f"{low} <= last and first <= {high} and {once}").drop("__l", "__b", "__p", "__q")
+    return _meet(a, b, heavy).where(f"{low} <= last and first <= {high} and {once}").drop("__l", "__b", "__p", "__q")
 
 
 #: Positions of a chunk of regions that rows look themselves up in.
@@ -124,8 +142,8 @@ def minimal_maximal(intervals: DataFrame, by: str) -> DataFrame:
     return marked.withColumn("maximal", ~F.col("minimal") & (wider.isNull() | (wider > F.col("first"))))
 
 
-def stab_join(points: DataFrame, spans: DataFrame, bucket: int = 1000) -> DataFrame:
-    """Pairs where ``pos`` lies strictly within (lo, hi)."""
+def stab_join(points: DataFrame, spans: DataFrame, bucket: int = 1000, heavy: int = HEAVY) -> DataFrame:
+    """Pairs where ``pos`` lies strictly within (lo, hi). Bins of over ``heavy`` spans are dealt out."""
     wide = _binned(spans, "lo", "hi", bucket, above=False).drop("__own")
     at = points.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(TOP)))).withColumn("__b", F.expr(f"pos div {_size('__l', bucket)}"))
-    return at.join(wide, ["__l", "__b"]).where("pos > lo and pos < hi").drop("__l", "__b")
+    return _meet(wide, at, heavy).where("pos > lo and pos < hi").drop("__l", "__b")
