@@ -5,7 +5,7 @@ is kept. A context's law gives each byte it has seen its count, leaves the numbe
 distinct bytes for the escape (method C), and passes the rest to the shorter context
 with the seen bytes excluded, down to a uniform law. Laws are worked out once for each
 distinct (context, byte) of the documents, where contexts with the same last two bytes
-meet; documents ask for theirs in groups, one request for each distinct (context, byte)
+meet (the same last three, where many do); documents ask for theirs in groups, one request for each distinct (context, byte)
 of a group, so what a task holds doesn't grow with the corpus's contexts.
 """
 
@@ -28,10 +28,12 @@ from genoweave.plans.durable import write_table
 ORDER = 5
 #: Bytes of text whose requests for laws are made together.
 GROUP_BYTES = 48 << 20
-#: Requests that meet their laws in one group, on average.
-REQUESTS = 1 << 20
-#: Rows of the count table whose laws are worked out at once, when no two bytes end more contexts.
+#: Laws of a part, and requests that meet them in one task, on average.
+PART, REQUESTS = 1 << 20, 1 << 22
+#: Rows of the count table whose laws are worked out at once, when no two bytes (three where hot) end more contexts.
 LAWS = 1 << 20
+#: Two bytes are hot if contexts of over LAWS rows, and of more than one row in HOT_ENDS, end in them; so at most HOT_ENDS are.
+HOT_ENDS = 1 << 12
 #: Words of at least one in so many training tokens go to every task; so there are at most so many.
 COMMON_WORDS = 1 << 20
 COMMON_BYTES = 32
@@ -199,17 +201,25 @@ def _found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, table[at] == values if len(table) else np.zeros(len(values), bool)
 
 
-def laws_of(gram: np.ndarray, n: np.ndarray, short: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+def laws_of(gram: np.ndarray, n: np.ndarray, short: tuple[np.ndarray, np.ndarray], order: int, hot: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """log10 of the probability of each gram's byte after its context.
 
     ``gram`` and ``n`` hold all rows of the count table whose contexts end in the same
     two bytes as any of them; ``short`` the counts of the whole corpus after one byte.
+    Where the last two bytes are hot, the rows need only be all with the same last
+    three, and ``hot`` holds the counts of the whole corpus after these two bytes.
     Bytes seen after a context were seen after every shorter one; so all that a longer
     context takes from a shorter one's law is what its own bytes count there. For each
     context, ``shared`` is what its parent's law divides by without these bytes, and
     ``escapes`` sums the logarithms of the escapes from its parent on downwards.
     """
     tables = [_summed(*short, k) for k in (0, 1)] + [_summed(gram[n > 0], n[n > 0], k) for k in range(2, order + 1)]
+    if hot is not None and order > 1:
+        mine = np.isin(hot[0] >> 8, (gram >> 8) & 0xFFFF)
+        others = ~np.isin(tables[2][0] >> 8, hot[0] >> 8)
+        rows, counts = (np.concatenate([tables[2][k][others], hot[k][mine]]) for k in (0, 1))
+        at = np.argsort(rows)
+        tables[2] = rows[at], counts[at]
     none = -np.log10(256 - len(tables[0][0]))
     value, below = np.full(len(gram), none), np.full(len(gram), none)
     seen_shorter = log_shorter = None
@@ -244,18 +254,33 @@ def _part(gram: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(gram) % np.uint64(parts)).astype(np.int32)
 
 
-def laws(counted: DataFrame, order: int = ORDER, parts: int = 1) -> DataFrame:
+def laws(counted: DataFrame, order: int = ORDER, parts: int = 1, many: int = LAWS) -> DataFrame:
     """Rows (gram, law, part): log10 of the byte's probability, for each gram of a table from ``count_corpus``.
 
-    What is sent to every task is the counts after one byte, 65,536 at most.
+    Rows meet by the last two bytes of their contexts; where these are hot (over ``many``
+    rows), by the last three, which 2^24 rows share at most. What is sent to every task
+    is the counts after one byte, 65,536 at most, and after hot ends, 256 for each.
     """
     rows = counted.where("gram is not null").select("gram", "n")
+    end, longer = F.shiftright("gram", 8).bitwiseAND(0xFFFF), F.shiftright("gram", 8).bitwiseAND(0xFFFFFF)
+    sizes = rows.groupBy(end.alias("end")).agg(F.count("*").alias("rows")).toPandas()  # 65,536 rows at most
+    is_hot = np.zeros(1 << 16, bool)
+    is_hot[sizes.end[(sizes.rows > many) & (sizes.rows * HOT_ENDS > sizes.rows.sum())].to_numpy(np.int64)] = True
+    ends = [int(x) for x in np.flatnonzero(is_hot)]
+    hot = None
+    if ends:
+        found = rows.where(end.isin(ends) & (F.col("n") > 0)).groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toPandas()
+        hot = found.gram.to_numpy(np.int64), found.n.to_numpy(np.int64)
     short = rows.where("n > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
-    shared = rows.sparkSession.sparkContext.broadcast((short.gram.to_numpy(np.int64), short.n.to_numpy(np.int64)))
+    shared = rows.sparkSession.sparkContext.broadcast(((short.gram.to_numpy(np.int64), short.n.to_numpy(np.int64)), hot, is_hot))
+
+    def meeting(gram: np.ndarray) -> np.ndarray:
+        context = gram >> 8
+        return np.where(shared.value[2][context & 0xFFFF], (1 << 24) + (context & 0xFFFFFF), context & 0xFFFF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            law = laws_of(gram, n, shared.value, order)
+            law = laws_of(gram, n, shared.value[0], order, shared.value[1])
             return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(law.astype(np.float32)), pa.array(_part(gram, parts))], names=["gram", "law", "part"])
 
         grams_held, counts_held, size = [], [], 0
@@ -265,8 +290,8 @@ def laws(counted: DataFrame, order: int = ORDER, parts: int = 1) -> DataFrame:
             size += batch.num_rows
             if size >= LAWS:
                 gram, n = np.concatenate(grams_held), np.concatenate(counts_held)
-                end = (gram >> 8) & 0xFFFF
-                cut = int(np.searchsorted(end, end[-1]))
+                keys = meeting(gram)
+                cut = int(np.searchsorted(keys, keys[-1]))
                 if cut:
                     yield work(gram[:cut], n[:cut])
                 grams_held, counts_held, size = [gram[cut:]], [n[cut:]], 0 if cut == 0 else len(gram) - cut
@@ -275,8 +300,8 @@ def laws(counted: DataFrame, order: int = ORDER, parts: int = 1) -> DataFrame:
             if len(gram):
                 yield work(gram, n)
 
-    end = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
-    return rows.repartition(end).sortWithinPartitions(end).mapInArrow(run, "gram long, law float, part int")
+    key = F.when(end.isin(ends), longer + (1 << 24)).otherwise(end) if ends else end
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, "gram long, law float, part int")
 
 
 def log10_probabilities(values: pa.Array, trie: Trie) -> np.ndarray:
@@ -337,7 +362,9 @@ def score_documents(documents: DataFrame) -> DataFrame:
     Words that make up at least one in ``COMMON_WORDS`` training tokens are counted
     against a table in every task; the others leave the task as one row per
     distinct word and document, and meet their counts in a join. Grams leave it as
-    one sorted list per group of documents, whose parts meet their laws; the laws
+    one sorted list per group of documents. Its parts, as many as the laws need, meet
+    their laws in lots of groups, to each of which the laws are copied: so parts and pieces grow
+    with the laws, lots with the requests. The laws
     then meet the group's texts, which move as compressed blocks. Null texts count as empty (one end token). Every
     row is scored, repeated ids too; without training rows every count is 0 and
     the law uniform.
@@ -401,14 +428,17 @@ def score_documents(documents: DataFrame) -> DataFrame:
 
     placed = write_table(marked.mapInArrow(run, fields), "scored")
     asked = placed.where("grams is not null").select("group", "grams")
-    parts = -(-(placed.agg(F.sum("kinds").alias("n")).first().n or 1) // REQUESTS)
+    requests = placed.agg(F.sum("kinds").alias("n")).first().n or 1
+    parts = -(-max(1, counted.where("gram is not null").count()) // PART)
+    lots = -(-requests // (parts * REQUESTS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group, steps in zip(batch.column("group").to_pylist(), batch.column("grams"), strict=True):
+                lot = _part(np.array([group]), lots)
                 for part, gram in enumerate(_dealt(_from_steps(steps), parts)[1]):
                     if len(gram):
-                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([group]), pa.array([_steps(gram)])], names=["part", "group", "grams"])
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array(lot), pa.array([group]), pa.array([_steps(gram)])], names=["part", "lot", "group", "grams"])
 
     def answer(wanted: pa.Table, known: pa.Table) -> pa.Table:
         gram, law = np.asarray(known.column("gram")), np.asarray(known.column("law"))
@@ -442,8 +472,9 @@ def score_documents(documents: DataFrame) -> DataFrame:
             sums.append(per_text(out, np.concatenate([[0], np.cumsum(np.diff(ends) + 1)])))
         return pa.table({"row": np.concatenate(ids), "score": np.concatenate(sums)})
 
-    dealt = asked.mapInArrow(deal, "part int, group long, grams binary")
-    answers = dealt.groupBy("part").cogroup(laws(counted, ORDER, parts).groupBy("part")).applyInArrow(answer, "group long, part int, laws binary")
+    dealt = asked.mapInArrow(deal, "part int, lot int, group long, grams binary")
+    known = laws(counted, ORDER, parts, LAWS).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    answers = dealt.groupBy("part", "lot").cogroup(known.groupBy("part", "lot")).applyInArrow(answer, "group long, part int, laws binary")
     sent = placed.where("block is not null or grams is not null").select("group", "row", "block", "sizes", "grams")
     scores = sent.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(total, "row long, score double")
     scored = placed.where("block is null and grams is null").drop("group", "kinds", "block", "sizes", "grams")

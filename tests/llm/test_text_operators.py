@@ -379,9 +379,11 @@ def test_lm_scores(docs, empty):
     assert ppm.score_documents(empty).count() == 0
 
 
-def test_no_context_is_lost(spark, monkeypatch):
-    """More contexts than the trie once held; every document's score by the book, held-out ones too."""
-    monkeypatch.setattr(ppm, "REQUESTS", 5000, raising=False)
+@pytest.mark.parametrize(("part", "requests", "many"), [(ppm.PART, ppm.REQUESTS, ppm.LAWS), (4000, 1000, 33)])
+def test_no_context_is_lost(spark, monkeypatch, part, requests, many):
+    """More contexts than the trie once held; every document's score by the book, held-out ones too, in many parts and lots and with hot ends."""
+    for name, value in (("PART", part), ("REQUESTS", requests), ("LAWS", many)):
+        monkeypatch.setattr(ppm, name, value)
     rng = np.random.default_rng(9)
     rows = [(k, "".join(chr(97 + c) for c in rng.integers(0, 26, 400))) for k in range(60)]
     train = [t for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
