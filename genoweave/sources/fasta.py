@@ -145,6 +145,10 @@ def in_file_order(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return counted.join(sizes.select("split", before.alias("before")), "split").select((F.col("k") + F.col("before")).alias("n"), "value")
 
 
+#: Pieces of the text that one task takes at a time. Their numbers leave none out, so that a chunk of them is full.
+PIECES = 1 << 16
+
+
 def read_homology(spark: SparkSession, path: str) -> DataFrame:
     """Rows (g1, g2, gene, others) of the nested list on the second line of a homology file, others 1-based as written.
 
@@ -153,18 +157,18 @@ def read_homology(spark: SparkSession, path: str) -> DataFrame:
     the line is never held whole.
     """
     rows = in_file_order(spark, path, "]")
-    lines = running_sum(rows, F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit(""))), ["n"], "newlines")
+    lines = running_sum(rows, F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit(""))), ["n"], "newlines", PIECES)
     own = F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))
     lines = lines.where((F.col("newlines") >= 1) & (F.col("newlines") - own <= 1))
     begins = (F.col("newlines") - own == 0) & (own > 0)  # the second line begins in this piece
     text = F.when(begins, F.expr("substr(value, instr(value, '\n') + 1)")).otherwise(F.col("value"))
     lines = write_table(lines.select("n", F.substring_index(text, "\n", 1).alias("value")), "lines")
     opened = F.length("value") - F.length(F.replace("value", F.lit("["), F.lit("")))
-    deep = running_sum(lines, opened - 1, ["n"], "after").withColumn("depth", F.col("after") + 1)
-    deep = write_table(running_sums(deep, {f"ended{d}": (F.col("depth") == d).cast("int") for d in (4, 3, 2)}, ["n"]), "ended")
+    deep = running_sum(lines, opened - 1, ["n"], "after", PIECES).withColumn("depth", F.col("after") + 1)
+    deep = write_table(running_sums(deep, {f"ended{d}": (F.col("depth") == d).cast("int") for d in (4, 3, 2)}, ["n"], PIECES), "ended")
     # lists of a depth that ended before the list around them began: those at the end of the last list of that depth
     for d in (4, 3):
-        deep = max_before(deep.withColumn("__e", F.when(F.col("depth") == d - 1, F.col(f"ended{d}"))), "__e", ["n"], f"past{d}").drop("__e")
+        deep = max_before(deep.withColumn("__e", F.when(F.col("depth") == d - 1, F.col(f"ended{d}"))), "__e", ["n"], f"past{d}", PIECES).drop("__e")
     deep = write_table(deep, "lists").where("depth = 4")
     inner = F.substring_index("value", "[", -1)
     return deep.select(
